@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from quillmask.llm import mixing
+from quillmask.llm import language, mixing, toxicity
 
 QUERIES = {
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op6_language_id": language.op6_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE = {

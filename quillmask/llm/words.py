@@ -30,16 +30,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a list of texts: byte offsets, and per document its first word and word count."""
+    """The words of a list of texts: byte offsets, and per document its first word and word count.
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    ``lower`` turns A-Z to a-z first; ``breaks`` marks the bytes between words (a line feed among them).
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = False, breaks: np.ndarray = SPACE):
         sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         self.data = b"\n".join(texts) + b"\n" + bytes(8)
         raw = np.frombuffer(self.data, np.uint8)
         if lower:
             raw = LOWER[raw]
             self.data = raw.tobytes()
-        space = SPACE[raw[: len(raw) - 8]]
+        space = breaks[raw[: len(raw) - 8]]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         if len(space) and not space[0]:
             edge = np.concatenate(([0], edge))
