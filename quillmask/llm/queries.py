@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillmask.llm import language, mixing, toxicity
+from quillmask.llm import editprint, language, mixing, toxicity
 
 QUERIES = {
+    "op1_edit_prints": editprint.op1_edit_prints,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op6_language_id": language.op6_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
