@@ -13,7 +13,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces held in a process; when it is full the cache starts anew, which changes no result.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
 LONG_PIECE = 200
 #: Where a vocabulary keeps spaces, one is a sure cut only between two characters that are not white space.
 
