@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from quillmask.llm import avi, editprint, huffman, language, mixing, packing, toxicity
+from quillmask.llm import avi, editprint, huffman, language, lines, minhash, mixing, packing, toxicity
 
 QUERIES = {
     "op1_edit_prints": editprint.op1_edit_prints,
     "op2_pack_sequences": packing.op2_pack_sequences,
     "op4_mix_sources": mixing.op4_mix_sources,
+    "op5_line_dedup": lines.op5_line_dedup,
     "op6_language_id": language.op6_language_id,
+    "op7_near_duplicates": minhash.op7_near_duplicates,
     "op8_huffman_tokens": huffman.op8_huffman_tokens,
     "op9_avi_media": avi.op9_avi_media,
     "op10_toxicity": toxicity.op10_toxicity,
@@ -16,4 +18,5 @@ QUERIES = {
 
 ORACLE = {
     "op4_mix_sources": mixing.SQL,
+    "op5_line_dedup": lines.SQL,
 }
