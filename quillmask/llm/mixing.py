@@ -26,7 +26,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def place(doc_id: Column) -> Column:
-    return F.substring(F.md5(F.concat(F.lit("mix:"), doc_id.cast("string"))), 1, DIGITS * LEVELS)
+    return F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, DIGITS * LEVELS)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -81,35 +81,47 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", F.when(~F.col("whole"), F.col("edge")).alias("edge"))
 
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES, name: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: how often the mix takes each document."""
-    sized = stage(
-        documents.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), place(F.col("doc_id")).alias("place")),
-        f"{name}-sizes",
-    )
+def limits(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """Per source: source_size, target, ``each`` (copies that every document gets) and ``edge``
+    (documents placed below it get one more; null: all do)."""
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     goal = stage(
         goal.withColumn("each", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0))
         .withColumn("budget", F.floor(F.col("target") - F.col("each") * F.col("source_size"))),
-        f"{name}-targets",
+        "mix-targets",
     )
     edges = thresholds(sized, goal)
-    limits = goal.alias("g").join(edges.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source"))).select("g.*", "edge")
-    extra = (F.col("l.each") < most) & (F.col("l.edge").isNull() | (F.col("d.place") < F.col("l.edge")))
-    return sized.alias("d").join(limits.alias("l"), F.col("d.source").eqNullSafe(F.col("l.source"))).select(
-        "d.doc_id", "d.source", "d.size", "l.source_size", "l.target", (F.col("l.each") + F.when((F.col("d.size") > 0) & extra, 1).otherwise(0)).cast("int").alias("copies")
-    )
+    return goal.alias("g").join(edges.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source"))).select("g.*", "edge")
+
+
+def sizes(documents: DataFrame) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return stage(documents.select("doc_id", "source", size.alias("size"), place(F.col("doc_id")).alias("place")), "mix-sizes")
+
+
+def copies(row_place: Column, most: int = MOST_COPIES) -> Column:
+    """How often the mix takes a document at this place, beside its source's limits ``l``."""
+    extra = (F.col("l.each") < most) & (F.col("l.edge").isNull() | (row_place < F.col("l.edge")))
+    return (F.col("l.each") + extra.cast("int")).cast("int")
+
+
+def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies: how often the mix takes each document."""
+    sized = sizes(documents)
+    bounds = limits(sized, weights, most).alias("l")
+    rows = sized.alias("d").join(bounds, F.col("d.source").eqNullSafe(F.col("l.source")))
+    return rows.select("d.doc_id", "d.source", "d.size", "l.source_size", "l.target", copies(F.col("d.place"), most).alias("copies"))
 
 
 def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns.
+    """The documents, with their own columns, as often as the mix takes them.
 
-    Copies follow from the row's source and id alone, so rows meet their source's limits in place.
+    Copies follow from a row's source and id alone, so texts stay where they are.
     """
-    taken = mix(documents, weights, most, "mixed").select("doc_id", "source", "copies").distinct()
-    kept = documents.alias("t").join(taken.alias("m"), F.col("t.doc_id").eqNullSafe(F.col("m.doc_id")) & F.col("t.source").eqNullSafe(F.col("m.source")))
-    repeated = F.explode(F.array_repeat(F.lit(0), F.col("m.copies")))
-    return kept.filter(F.col("m.copies") > 0).select("t.*", repeated.alias("_copy")).drop("_copy")
+    bounds = limits(sizes(documents), weights, most).alias("l")
+    rows = documents.alias("d").join(bounds, F.col("d.source").eqNullSafe(F.col("l.source")))
+    times = F.explode(F.array_repeat(F.lit(0), copies(place(F.col("d.doc_id")), most)))
+    return rows.select("d.*", times.alias("_copy")).drop("_copy")
 
 
 def op4_mix_sources(spark, sf_dir) -> DataFrame:
@@ -121,7 +133,7 @@ def op4_mix_sources(spark, sf_dir) -> DataFrame:
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         substr(md5('mix:' || CAST(doc_id AS VARCHAR)), 1, 12) AS place
+         substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS place
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight,
@@ -136,6 +148,6 @@ r AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.each,
       sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (each + CASE WHEN each < 3 AND size > 0 AND upto <= floor(target - each * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (each + CASE WHEN each < 3 AND upto <= floor(target - each * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r
 """

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quillmask.llm import avi, editprint, huffman, language, lines, minhash, mixing, packing, toxicity
+from quillmask.llm import avi, editprint, huffman, language, lines, minhash, mixing, packing, substrings, toxicity
 
 QUERIES = {
     "op1_edit_prints": editprint.op1_edit_prints,
     "op2_pack_sequences": packing.op2_pack_sequences,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_mix_sources": mixing.op4_mix_sources,
     "op5_line_dedup": lines.op5_line_dedup,
     "op6_language_id": language.op6_language_id,
