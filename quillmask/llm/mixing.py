@@ -33,7 +33,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     """(source, source_size) to (source, source_size, target).
 
     A source's level is the amount per unit of weight at which it reaches its most. In order of that
-    level, the sources below the common level stop at their most and the rest share what remains.
+    level, sources stop at their most until one would not; it and all after it share what remains.
     One row per source: the table is sorted whole, in one task.
     """
     order = F.expr("struct(source is null, source)")
@@ -46,16 +46,17 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
         sources.withColumn("weight", weight)
         .withColumn("cap", F.col("source_size") * most)
         .withColumn("share", shared)
-        .withColumn("stops", F.col("cap") <= F.col("weight") * F.col("share"))
-        .withColumn("common", F.min(F.when(~F.col("stops"), F.col("share"))).over(whole))
-        .select("source", "source_size", F.when(F.col("stops"), F.col("cap")).otherwise(F.col("weight") * F.col("common")).cast("double").alias("target"))
+        .withColumn("rank", F.row_number().over(level))
+        .withColumn("shares", F.min(F.when(F.col("cap") > F.col("weight") * F.col("share"), F.struct("rank", "share"))).over(whole))
+        .select("source", "source_size", F.when(F.col("rank") >= F.col("shares.rank"), F.col("weight") * F.col("shares.share")).otherwise(F.col("cap")).cast("double").alias("target"))
     )
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(source, size, place) and (source, budget) to (source, edge): places below ``edge`` hold at
-    most the budget, and those at the edge's last bucket would pass it. Null edge: the whole source."""
-    found = budgets.select("source", F.col("budget").alias("left"), F.lit("").alias("edge"), F.lit(False).alias("whole"))
+    """(source, size, place) and (source, budget) to (source, edge, closes): places below ``edge`` hold
+    at most the budget, and those at ``edge`` would pass it; ``closes``: with them it comes nearer.
+    Null edge: the whole source."""
+    found = budgets.select("source", F.col("budget").alias("left"), F.lit("").alias("edge"), F.lit(False).alias("whole"), F.lit(False).alias("closes"))
     for level in range(1, LEVELS + 1):
         width = DIGITS * level
         inner = sized.alias("d").join(
@@ -65,7 +66,7 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         sums = inner.groupBy(F.col("f.source").alias("source"), F.substring("d.place", 1, width).alias("bucket")).agg(F.sum("d.size").alias("sum"), F.first("f.left").alias("left"))
         run = sums.withColumn("upto", F.sum("sum").over(Window.partitionBy("source").orderBy("bucket")))
         past = run.groupBy("source").agg(
-            F.min(F.when(F.col("upto") > F.col("left"), F.col("bucket"))).alias("bucket"),
+            F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", "sum"))).alias("past"),
             F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))).alias("under"),
         )
         joined = found.alias("f").join(past.alias("p"), F.col("f.source").eqNullSafe(F.col("p.source")), "left")
@@ -73,17 +74,18 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
             joined.select(
                 F.col("f.source"),
                 (F.col("left") - F.coalesce("under", F.lit(0))).alias("left"),
-                F.coalesce("bucket", "edge").alias("edge"),
-                (F.col("whole") | F.col("bucket").isNull()).alias("whole"),
+                F.coalesce("past.bucket", "edge").alias("edge"),
+                (F.col("whole") | F.col("past").isNull()).alias("whole"),
+                F.coalesce(F.col("past.sum") < 2 * (F.col("left") - F.coalesce("under", F.lit(0))), F.lit(False)).alias("closes"),
             ),
             f"mix-edges{level}",
         )
-    return found.select("source", F.when(~F.col("whole"), F.col("edge")).alias("edge"))
+    return found.select("source", F.when(~F.col("whole"), F.col("edge")).alias("edge"), "closes")
 
 
 def limits(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
     """Per source: source_size, target, ``each`` (copies that every document gets) and ``edge``
-    (documents placed below it get one more; null: all do)."""
+    (documents placed below it, and at it where ``closes``, get one more; null: all do)."""
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     goal = stage(
         goal.withColumn("each", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0))
@@ -91,7 +93,7 @@ def limits(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
         "mix-targets",
     )
     edges = thresholds(sized, goal)
-    return goal.alias("g").join(edges.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source"))).select("g.*", "edge")
+    return goal.alias("g").join(edges.alias("e"), F.col("g.source").eqNullSafe(F.col("e.source"))).select("g.*", "edge", "closes")
 
 
 def sizes(documents: DataFrame) -> DataFrame:
@@ -101,7 +103,7 @@ def sizes(documents: DataFrame) -> DataFrame:
 
 def copies(row_place: Column, most: int = MOST_COPIES) -> Column:
     """How often the mix takes a document at this place, beside its source's limits ``l``."""
-    extra = (F.col("l.each") < most) & (F.col("l.edge").isNull() | (row_place < F.col("l.edge")))
+    extra = (F.col("l.each") < most) & (F.col("l.edge").isNull() | (row_place < F.col("l.edge")) | (F.col("l.closes") & (row_place == F.col("l.edge"))))
     return (F.col("l.each") + extra.cast("int")).cast("int")
 
 
@@ -140,14 +142,16 @@ w AS (SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) %
       3 * source_size AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source
-        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS share FROM w),
-c AS (SELECT *, cap <= weight * share AS stops FROM l),
-t AS (SELECT source, source_size, CAST(CASE WHEN stops THEN cap ELSE weight * (min(CASE WHEN NOT stops THEN share END) OVER ()) END AS DOUBLE) AS target FROM c),
+        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS share,
+      row_number() OVER (ORDER BY cap / weight, source IS NULL, source) AS rank FROM w),
+f AS (SELECT rank AS from_rank, share AS common FROM l WHERE cap > weight * share ORDER BY rank LIMIT 1),
+t AS (SELECT source, source_size, CAST(CASE WHEN rank >= from_rank THEN weight * common ELSE cap END AS DOUBLE) AS target FROM l LEFT JOIN f ON true),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS each FROM t),
 r AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.each,
-      sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+      sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+      sum(d.size) OVER (PARTITION BY d.source, d.place) AS here, floor(g.target - g.each * g.source_size) AS budget
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target,
-  CAST(size * (each + CASE WHEN each < 3 AND upto <= floor(target - each * source_size) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (each + CASE WHEN each < 3 AND (upto <= budget OR (upto - here <= budget AND here < 2 * (budget - (upto - here)))) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM r
 """
