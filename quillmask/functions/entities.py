@@ -15,6 +15,7 @@ ENTITY_TYPES = (
 
 #: Spark type of one detection; offsets count code points, half open.
 SPAN_DDL = "struct<start:int,end:int,text:string,entity_type:string,confidence:double,source:string,meta:map<string,string>>"
+SPAN_FIELDS = ("start", "end", "text", "entity_type", "confidence", "source", "meta")
 
 CHUNK_CHARS = 64 * 1024
 OVERLAP_CHARS = 4 * 1024

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmask.functions.entities import SPAN_DDL, Settings
+from quillmask.functions.entities import SPAN_DDL, SPAN_FIELDS, Settings
 from quillmask.functions.entities import settings as make_settings
 from quillmask.functions.local import LocalEngine
 from quillmask.functions.patterns import HAS_DIGIT
@@ -60,13 +60,17 @@ class Masker:
         return found.withColumn(out, applied(F.col(text), F.col(detections), self.settings.policy)).withColumn(detections, public(F.col(detections)))
 
     def spans(self, frame: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-        """One row a detection: keys, ord (place in the document) and the detection's fields."""
-        found = self.detect(frame.select(*keys, text), text, "_d")
-        return found.select(*keys, F.posexplode("_d").alias("ord", "_s")).select(*keys, "ord", "_s.*")
+        """One row a detection: keys, ord (place in the document) and the detection's fields; a field
+        that has a key's name is called span_ and its name."""
+        found = self.detect(frame.select(*dict.fromkeys([*keys, text])), text, "_d")
+        rows = found.select(*keys, F.posexplode("_d").alias("_ord", "_s"))
+        fields = [F.col("_ord").alias("span_ord" if "ord" in keys else "ord"), *[F.col(f"_s.{f}").alias(f"span_{f}" if f in keys else f) for f in SPAN_FIELDS]]
+        return rows.select(*keys, *fields)
 
     def summary(self, frame: DataFrame, by: list[str] | None = None, text: str = "text") -> DataFrame:
         """How many detections of each type, by the given columns."""
-        rows = self.spans(frame, by or [], text)
+        found = self.detect(frame.select(*dict.fromkeys([*(by or []), text])), text, "_d")
+        rows = found.select(*(by or []), F.explode("_d").alias("_s")).select(*(by or []), F.col("_s.entity_type").alias("entity_type"))
         return rows.groupBy(*(by or []), "entity_type").agg(F.count("*").alias("n"))
 
     # -- strings ----------------------------------------------------------

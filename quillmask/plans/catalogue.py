@@ -1,6 +1,424 @@
-"""Registered queries of the engine and the SQL that yields the same rows."""
+"""Registered queries of the engine and the SQL that yields the same rows.
+
+Each query reads whole tables; columns that are computed carry the same names on both sides. Types
+that the tables lack are shown on small inline rows, written alike for Spark and SQL.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillmask.functions import patterns as P
+from quillmask.functions import validators as V
+from quillmask.functions.entities import Policy, settings
+from quillmask.functions.local import CustomDetector, Span
+from quillmask.operators import evaluate, tiers
+from quillmask.operators.engine import Masker
+from quillmask.operators.scoring import resolved_rows
+from quillmask.session import ship_package
+from quillmask.streaming import halo, keyed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLE[name] = sql
+        return function
+
+    return add
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    cell = lambda v: "NULL" if v is None else _quoted(v) if isinstance(v, str) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({names})"
+
+
+def _inline(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {_values(rows, names)}".replace("\\", "\\\\"))
+
+
+# ---- scans: what a shape finds, before scoring --------------------------------------------------
+
+EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_ASSIGNED = next(s.regex for s in P.SHAPES if s.kind == "api_key")
+_IPV4_SQL = rf"list_filter(list_transform(regexp_extract_all(text, '[0-9.]+'), lambda r: regexp_extract(r, '^((?:{_OCTET}\.){{3}}{_OCTET})(?:\.(?:\..*)?)?$', 1)), lambda r: r <> '')"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN_SQL = (
+    "list_sum(list_transform(range(len(d)), lambda i: CASE WHEN (len(d) - i) % 2 = 0 THEN "
+    "(2 * CAST(d[i + 1] AS INT)) // 10 + (2 * CAST(d[i + 1] AS INT)) % 10 ELSE CAST(d[i + 1] AS INT) END)) % 10 = 0"
+)
+_PHONE_OK = rf"(len({_DIGITS}) BETWEEN 7 AND 15 AND NOT regexp_matches(m, '^(19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}$') AND NOT regexp_matches(m, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$'))"
+#: Neighbours are consumed here, so line feeds, which two cards can share, are doubled.
+_CARD_SQL = "regexp_extract_all(replace(text, chr(10), chr(10) || chr(10)), '(?:^|[^0-9-])((?:[0-9][ -]?){12,18}[0-9])(?:[^0-9-]|$)', 1)"
+
+
+def _found(frame: DataFrame, key: str, spans: Column) -> DataFrame:
+    """key, match and how often."""
+    return frame.select(key, F.explode(spans).alias("s")).groupBy(key, F.col("s.text").alias("match")).agg(F.count("*").alias("n"))
+
+
+def _scan_sql(table: str, key: str, column: str, matches: str, where: str = "true") -> str:
+    return f"WITH m AS (SELECT {key}, unnest({matches.replace('text', column) if column != 'text' else matches}) AS m FROM {table}) SELECT {key}, m AS match, count(*) AS n FROM m WHERE {where} GROUP BY ALL"
+
+
+def _shape(kind: str, nth: int = 0) -> tuple[int, P.Shape]:
+    return [(i, s) for i, s in enumerate(P.SHAPES) if s.kind == kind][nth]
+
+
+def _scan(kind: str, nth: int = 0, table: str = "documents", key: str = "doc_id", column: str = "text"):
+    i, shape = _shape(kind, nth)
+    return lambda spark, sf_dir: _found(_read(spark, sf_dir, table, key, column), key, tiers.shape_spans(F.col(column), shape, i))
+
+
+QUERIES["scan_email"] = _scan("email")
+ORACLE["scan_email"] = _scan_sql("documents", "doc_id", "text", f"regexp_extract_all(text, '{EMAIL}')")
+QUERIES["scan_api_key"] = _scan("api_key")
+ORACLE["scan_api_key"] = _scan_sql("documents", "doc_id", "text", f"regexp_extract_all(text, {_quoted(_ASSIGNED)}, 1)")
+QUERIES["scan_assigned_tokens_pages"] = _scan("api_key", table="pages", key="page_id", column="html")
+ORACLE["scan_assigned_tokens_pages"] = _scan_sql("pages", "page_id", "html", f"regexp_extract_all(text, {_quoted(_ASSIGNED)}, 1)")
+QUERIES["scan_email_pages"] = _scan("email", table="pages", key="page_id", column="html")
+ORACLE["scan_email_pages"] = _scan_sql("pages", "page_id", "html", f"regexp_extract_all(text, '{EMAIL}')")
+QUERIES["scan_ipv4"] = _scan("ipv4")
+ORACLE["scan_ipv4"] = _scan_sql("documents", "doc_id", "text", _IPV4_SQL)
+QUERIES["scan_cards_luhn"] = _scan("credit_card")
+ORACLE["scan_cards_luhn"] = (
+    f"WITH m AS (SELECT doc_id, unnest({_CARD_SQL}) AS m FROM documents), d AS (SELECT *, string_split({_DIGITS}, '') AS d FROM m) "
+    f"SELECT doc_id, m AS match, count(*) AS n FROM d WHERE len(d) BETWEEN 13 AND 19 AND {_LUHN_SQL} GROUP BY ALL"
+)
+QUERIES["scan_phone_structured"] = _scan("phone")
+ORACLE["scan_phone_structured"] = _scan_sql(
+    "documents", "doc_id", "text",
+    r"regexp_extract_all(text, '(?:^|[^\w.-])((?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?|\([0-9]{1,4}\)[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4})(?:[^\w.-]|\.[^0-9]|\.?$)', 1)", _PHONE_OK,
+)
+QUERIES["scan_phone_bare"] = _scan("phone", 1)
+ORACLE["scan_phone_bare"] = _scan_sql(
+    "documents", "doc_id", "text",
+    r"regexp_extract_all(text, '(?:^|[^\w.+(-])([0-9]{2,4}(?:[ .-][0-9]{2,4}){2,4})(?:[^\w.-]|\.[^0-9]|\.?$)', 1)", _PHONE_OK,
+)
+
+
+@query("scan_bare9", "WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9-]+')) AS m FROM documents) SELECT doc_id, m AS match, count(*) AS n FROM m WHERE regexp_full_match(m, '[0-9]{9}') GROUP BY ALL")
+def scan_bare9(spark, sf_dir):
+    documents = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return _found(documents, "doc_id", tiers.matches(F.col("text"), P.java(P.BARE_SSN)))
+
+
+@query(
+    "scan_entropy",
+    "WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/=_-]{20,}')) AS m FROM documents), "
+    "e AS (SELECT *, round(list_entropy(string_split(m, '')), 9) AS h FROM m) SELECT doc_id, m AS match, count(*) AS n FROM e "
+    "WHERE len(m) >= 24 AND NOT regexp_full_match(m, '[A-Za-z]+') AND CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN len(m) >= 32 AND h >= 3 ELSE h >= 4 END GROUP BY ALL",
+)
+def scan_entropy(spark, sf_dir):
+    return _found(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", tiers.entropy_spans(F.col("text")))
+
+
+# ---- types that the tables lack -----------------------------------------------------------------
+
+_AZ, _HEX = "Ab3dEf6hIj9lMn2pQr5tUv8xYz1BcD4FgH7JkL0", "0123456789abcdef0123456789abcdef"
+_SAMPLES = {
+    "private_key": ["-----BEGIN RSA " + "PRIVATE KEY-----\nMIIabc+/=\n-----END RSA " + "PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----\nMIIabc\n-----END PUBLIC KEY-----"],
+    "jwt": ["ey" + "JhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK", "ey" + "Jshort.abc.def"],
+    "aws_key": ["AKIA" + "ABCDEFGHIJKLMNOP", "AKIA" + "ABCDEFGHIJKLMNOPQ", "ASIA" + "0123456789ABCDEF"],
+    "github_token": ["gh" + "p_" + _AZ[:36], "github" + "_pat_" + _AZ[:22], "gh" + "x_" + _AZ[:36]],
+    "slack_token": ["xo" + "xb-1234567890ab-1234567890ab", "xo" + "xz-1234567890ab"],
+    "slack_webhook": ["https://hooks.slack" + ".com/services/T12345678/B12345678/" + _AZ[:20], "https://hooks.slack" + ".com/services/T1/B1/x"],
+    "stripe_key": ["sk" + "_live_" + _AZ[:20], "sk" + "_prod_" + _AZ[:20]],
+    "google_api_key": ["AI" + "za" + _AZ[:35], "AI" + "za" + _AZ[:30]],
+    "sendgrid_key": ["SG" + "." + _AZ[:22] + "." + (_AZ + _AZ)[:43], "SG" + "." + _AZ[:10]],
+    "twilio_key": ["SK" + _HEX, "SK" + _HEX.upper()],
+    "npm_token": ["np" + "m_" + _AZ[:36], "np" + "m_" + _AZ[:20]],
+}
+
+
+def _fixture(kind: str, rows: list[tuple]):
+    i, shape = _shape(kind)
+    return lambda spark, sf_dir: _found(_inline(spark, rows, "case_id, text"), "case_id", tiers.shape_spans(F.col("text"), shape, i))
+
+
+for _kind, _texts in _SAMPLES.items():
+    _rows = [(k, f"see {t} here") for k, t in enumerate(_texts)]
+    QUERIES[f"fixture_{_kind}"] = _fixture(_kind, _rows)
+    ORACLE[f"fixture_{_kind}"] = (
+        f"WITH m AS (SELECT case_id, unnest(regexp_extract_all(text, {_quoted(_shape(_kind)[1].regex)})) AS m FROM {_values(_rows, 'case_id, text')}) "
+        "SELECT case_id, m AS match, count(*) AS n FROM m GROUP BY ALL"
+    )
+_SSN_ROWS = [(0, "id 123-45-6789."), (1, "id 666-45-6789"), (2, "id 123-00-6789"), (3, "id 1123-45-6789"), (4, "id 900-12-3456"), (5, "a 219-09-9999 b 219-09-0000")]
+QUERIES["fixture_ssn"] = _fixture("ssn", _SSN_ROWS)
+ORACLE["fixture_ssn"] = (
+    f"WITH m AS (SELECT case_id, unnest(regexp_extract_all(text, '[0-9-]+')) AS m FROM {_values(_SSN_ROWS, 'case_id, text')}) SELECT case_id, m AS match, count(*) AS n FROM m "
+    "WHERE regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND m[1:3] NOT IN ('000', '666') AND m[1:1] <> '9' AND m[5:6] <> '00' AND m[8:11] <> '0000' GROUP BY ALL"
+)
+_IPV6_ROWS = [(0, "at 2001:db8::1 up"), (1, "at fe80:0:0:0:1:2:3:4 up"), (2, "at 1:2:3 up"), (3, "at :: up"), (4, "time 10:20:30 up"), (5, "at 1::2::3 up"), (6, "at ::1 up")]
+_IPV6_OK = (
+    "((len(string_split(t, ':')) = 8 AND NOT list_contains(string_split(t, ':'), '')) OR (len(t) - len(replace(t, '::', '')) = 2 AND NOT contains(t, ':::') "
+    "AND NOT regexp_matches(t, '^:[^:]') AND NOT regexp_matches(t, '[^:]:$') AND len(list_filter(string_split(t, ':'), lambda g: g <> '')) <= 7))"
+)
+QUERIES["fixture_ipv6"] = _fixture("ipv6", _IPV6_ROWS)
+ORACLE["fixture_ipv6"] = (
+    rf"WITH m AS (SELECT case_id, unnest(regexp_extract_all(text, '(?:^|[^\w:.])([0-9A-Fa-f]{{0,4}}(?::[0-9A-Fa-f]{{0,4}}){{2,7}})(?:[^\w:]|$)', 1)) AS t FROM {_values(_IPV6_ROWS, 'case_id, text')}) "
+    f"SELECT case_id, t AS match, count(*) AS n FROM m WHERE {_IPV6_OK} GROUP BY ALL"
+)
+
+
+# ---- validators and scalar functions ------------------------------------------------------------
+
+_NUMBERS = ["4111111111111111", "4111 1111 1111 1112", "378282246310005", "1234", "6011-1111-1111-1117", "0000000000000", "79927398713", "30569309025904"]
+_PHONES = ["+1 415 555 2671", "2020-01-02", "123-45-6789", "12 34", "(415) 555-2671", "1234567890123456"]
+_ADDRESSES = ["::", "::1", "1:2:3:4:5:6:7:8", "1::2::3", "1:2:3", ":1:2:3:4:5:6:7", "fe80::", "1:2:3:4:5:6:7::", ":::"]
+_TEXTS = ["", "a", "ab", "aab", "abcd", "0123456789abcdef", "hello world", "ééàa"]
+
+
+def _scalar(name: str, texts: list[str], function: Callable[[Column], Column], sql: str, places: int | None = None) -> None:
+    rows = [(i, t) for i, t in enumerate(texts)]
+
+    def run(spark, sf_dir):
+        value = function(F.col("t"))
+        return _inline(spark, rows, "i, t").select("t", (value if places is None else F.round(value, places)).alias("value"))
+
+    QUERIES[name] = run
+    ORACLE[name] = f"SELECT t, {sql} AS value FROM {_values(rows, 'i, t')}"
+
+
+_luhn = _LUHN_SQL.replace("d[", "string_split(regexp_replace(t, '[^0-9]', '', 'g'), '')[").replace("len(d)", "len(regexp_replace(t, '[^0-9]', '', 'g'))")
+_scalar("validator_luhn", _NUMBERS, V.luhn_ok, f"len(regexp_replace(t, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND {_luhn}")
+_scalar("validator_ssn", ["123-45-6789", "000-45-6789", "666-45-6789", "900-45-6789", "123-00-6789", "123-45-0000"], V.ssn_ok, "t[1:3] NOT IN ('000', '666') AND t[1:1] <> '9' AND t[5:6] <> '00' AND t[8:11] <> '0000'")
+_scalar("validator_phone", _PHONES, V.phone_ok, _PHONE_OK.replace("(m,", "(t,"))
+_scalar("validator_ipv6", _ADDRESSES, V.ipv6_ok, _IPV6_OK)
+_scalar("shannon_entropy", _TEXTS, V.shannon_entropy, "CASE WHEN t = '' THEN 0.0 ELSE round(list_entropy(string_split(t, '')), 6) END", 6)
+
+
+# ---- scoring ------------------------------------------------------------------------------------
+
+
+def _email_spans(spark, sf_dir, **options) -> DataFrame:
+    return Masker(types=("email",), **options).spans(_read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+
+
+#: Emails with their places: gaps and matches add up to the text.
+_EMAIL_ROWS = f"""
+WITH e AS (SELECT doc_id, text, regexp_extract_all(text, '{EMAIL}') AS ms FROM documents),
+g AS (SELECT *, string_split_regex(text, '{EMAIL}') AS gaps FROM e WHERE len(ms) > 0),
+p AS (SELECT doc_id, text, i, ms[i] AS m, list_sum(list_transform(range(1, i + 1), lambda k: len(gaps[k]))) + coalesce(list_sum(list_transform(range(1, i), lambda k: len(ms[k]))), 0) AS start
+      FROM g, unnest(range(1, len(ms) + 1)) AS u(i)),
+c AS (SELECT doc_id, i - 1 AS ord, m, CAST(start AS INT) AS start, lower(text[greatest(start - 48, 0) + 1:start]) AS wide, lower(text[greatest(start - 16, 0) + 1:start]) AS narrow FROM p),
+s AS (SELECT *, wide SIMILAR TO '(?s).*(email|e-mail|mail|contact).*' AS up, (narrow SIMILAR TO '(?s).*(example|sample|dummy|test|fake|placeholder|lorem|xxx-xx).*'
+      OR lower(m) SIMILAR TO '(?s).*(example|sample|dummy|test|fake|placeholder|lorem|xxx-xx).*') AS down FROM c),
+r AS (SELECT *, least(1.0::DOUBLE, 0.95::DOUBLE + CASE WHEN up THEN 0.2::DOUBLE ELSE 0 END) - CASE WHEN down THEN 0.4::DOUBLE ELSE 0 END AS confidence FROM s)
+"""
+
+
+@query("context_boost", _EMAIL_ROWS + "SELECT up AS boosted, count(*) AS n FROM r GROUP BY ALL")
+def context_boost(spark, sf_dir):
+    from quillmask.operators.scoring import boosted
+
+    found = Masker(types=("email",)).candidates(_read(spark, sf_dir, "documents", "doc_id", "text"), out="c")
+    return found.select("text", F.explode("c").alias("s")).groupBy(boosted(F.col("text"), F.col("s")).alias("boosted")).agg(F.count("*").alias("n"))
+
+
+@query("context_suppress", _EMAIL_ROWS + "SELECT down AS suppressed, count(*) AS n FROM r GROUP BY ALL")
+def context_suppress(spark, sf_dir):
+    from quillmask.operators.scoring import suppressed
+
+    found = Masker(types=("email",)).candidates(_read(spark, sf_dir, "documents", "doc_id", "text"), out="c")
+    return found.select("text", F.explode("c").alias("s")).groupBy(suppressed(F.col("text"), F.col("s")).alias("suppressed")).agg(F.count("*").alias("n"))
+
+
+@query("confidence_filter", _EMAIL_ROWS + 'SELECT doc_id, start, m AS text, round(confidence, 6) AS confidence FROM r WHERE confidence >= 0.6')
+def confidence_filter(spark, sf_dir):
+    return _email_spans(spark, sf_dir, min_confidence=0.6).select("doc_id", "start", "text", F.round("confidence", 6).alias("confidence"))
+
+
+@query("email_spans", _EMAIL_ROWS + 'SELECT doc_id, start, CAST(start + len(m) AS INT) AS "end", m AS text, round(confidence, 6) AS confidence, CASE WHEN down THEN \'suppressed\' WHEN up THEN \'boosted\' END AS context FROM r')
+def email_spans(spark, sf_dir):
+    return _email_spans(spark, sf_dir).select("doc_id", "start", "end", "text", F.round("confidence", 6).alias("confidence"), F.col("meta")["context"].alias("context"))
+
+
+@query("resolve_overlaps")
+def resolve_overlaps(spark, sf_dir):
+    """Intervals made from order lines; greedy resolution has no SQL form, tests hold it against brute force."""
+    lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    start = (F.col("l_partkey") % 97).cast("int")
+    rows = lines.select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + 1 + F.col("l_suppkey") % 19).cast("int").alias("end"), (F.col("l_linenumber") % 3 / 4 + 0.25).alias("confidence"), F.col("l_linenumber").cast("int").alias("ord"))
+    return resolved_rows(rows, ["doc_id"]).select("doc_id", "start", "end", F.round("confidence", 6).alias("confidence"), "ord")
+
+
+# ---- rewriting ----------------------------------------------------------------------------------
+
+
+def _redacted(spark, sf_dir, **policy) -> DataFrame:
+    masker = Masker(types=("email",), policy=Policy(**policy))
+    return masker.redact(_read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "redacted")
+
+
+_EACH = "list_reduce(list_concat([text], list_distinct(regexp_extract_all(text, '" + EMAIL + "'))), lambda a, m: replace(a, m, {shown}))"
+_KEY = b"a key for tests"
+_INNER, _OUTER = ("".join(f"{b ^ pad:02x}" for b in _KEY.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+_HMAC = f"sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(m))))"
+
+QUERIES["redact_replace"] = lambda spark, sf_dir: _redacted(spark, sf_dir)
+ORACLE["redact_replace"] = f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '[REDACTED]', 'g') AS redacted FROM documents"
+QUERIES["redact_mask"] = lambda spark, sf_dir: _redacted(spark, sf_dir, mode="mask")
+ORACLE["redact_mask"] = f"SELECT doc_id, {_EACH.replace("{shown}", "repeat('*', len(m) - 4) || m[-4:]")} AS redacted FROM documents"
+QUERIES["redact_pseudonymize"] = lambda spark, sf_dir: _redacted(spark, sf_dir, mode="pseudonymize", hmac_key=_KEY)
+ORACLE["redact_pseudonymize"] = f"SELECT doc_id, {_EACH.replace("{shown}", f"'<EMAIL_' || ({_HMAC})[1:10] || '>'")} AS redacted FROM documents"
+QUERIES["redact_per_type"] = lambda spark, sf_dir: _redacted(spark, sf_dir, mode="mask", replacements={"email": "<EMAIL>"})
+ORACLE["redact_per_type"] = f"SELECT doc_id, regexp_replace(text, '{EMAIL}', '<EMAIL>', 'g') AS redacted FROM documents"
+
+
+@query("redact_conversations", "SELECT conv_id, turn, text AS redacted FROM conversations")
+def redact_conversations(spark, sf_dir):
+    return Masker().redact(_read(spark, sf_dir, "conversations", "conv_id", "turn", "text")).select("conv_id", "turn", "redacted")
+
+
+@query("redact_documents")
+def redact_documents(spark, sf_dir):
+    """All tiers over all documents: how many detections each has and its rewritten text."""
+    return Masker().redact(_read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", F.size("detections").alias("n_spans"), "redacted")
+
+
+# ---- custom text and Python detectors -----------------------------------------------------------
+
+
+@query("custom_words", "SELECT doc_id, regexp_replace(text, '(?i)apache license|licensed', '[REDACTED]', 'g') AS redacted FROM documents")
+def custom_words(spark, sf_dir):
+    masker = Masker(types=(), custom_words=("Apache License", "licensed"))
+    return masker.redact(_read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "redacted")
+
+
+def _python(spark, sf_dir, **options) -> DataFrame:
+    spans = Masker(types=(), load_plugins=False, **options).spans(_read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    return spans.groupBy("doc_id", F.col("text").alias("match"), "entity_type").agg(F.count("*").alias("n"))
+
+
+def _python_sql(regex: str, kind: str) -> str:
+    return f"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{regex}')) AS m FROM documents) SELECT doc_id, m AS match, '{kind}' AS entity_type, count(*) AS n FROM m GROUP BY ALL"
+
+
+@query("custom_regex_udf", _python_sql(r"(?i)version [0-9]+\.[0-9]+", "custom"))
+def custom_regex_udf(spark, sf_dir):
+    return _python(spark, sf_dir, custom_patterns=(r"version [0-9]+\.[0-9]+",))
+
+
+class WordDetector:
+    """A detector of one literal word, as a plugin would bring."""
+
+    name = "plugin"
+
+    def __init__(self, word: str = "Apache", kind: str = "custom", confidence: float = 1.0):
+        self.word, self.kind, self.confidence = word, kind, confidence
+
+    def detect(self, text: str) -> list[Span]:
+        found = CustomDetector((self.word,), case_sensitive=True).detect(text)
+        return [Span(s.start, s.end, s.text, self.kind, self.confidence, self.name) for s in found]
+
+
+@query("plugin_udf", _python_sql("Apache", "custom"))
+def plugin_udf(spark, sf_dir):
+    ship_package(spark)
+    return _python(spark, sf_dir, extra_detectors=(WordDetector(),))
+
+
+@query("ner_stub", _python_sql("License", "org"))
+def ner_stub(spark, sf_dir):
+    """The place of a language model, taken by a detector of one word with the model's confidence."""
+    return _python(spark, sf_dir, extra_detectors=(WordDetector("License", "org", 0.7),))
+
+
+# ---- summaries ----------------------------------------------------------------------------------
+
+_COUNTED = f"""
+WITH f AS (SELECT doc_id, lang, source, 'email' AS entity_type, unnest(regexp_extract_all(text, '{EMAIL}')) AS m FROM documents
+UNION ALL SELECT doc_id, lang, source, 'ipv4', unnest({_IPV4_SQL}) FROM documents
+UNION ALL SELECT doc_id, lang, source, 'credit_card', m FROM (SELECT *, string_split({_DIGITS}, '') AS d FROM (SELECT doc_id, lang, source, unnest({_CARD_SQL}) AS m FROM documents))
+  WHERE len(d) BETWEEN 13 AND 19 AND {_LUHN_SQL})
+"""
+_COUNTED_TYPES = ("email", "ipv4", "credit_card")
+
+
+@query("summary_by_type", _COUNTED + "SELECT entity_type, count(*) AS n FROM f GROUP BY ALL")
+def summary_by_type(spark, sf_dir):
+    return Masker(types=_COUNTED_TYPES).summary(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("summary_by_lang_source", _COUNTED + "SELECT lang, source, entity_type, count(*) AS n FROM f GROUP BY ALL")
+def summary_by_lang_source(spark, sf_dir):
+    return Masker(types=_COUNTED_TYPES).summary(_read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), ["lang", "source"])
+
+
+@query("summary_by_label", _COUNTED + "SELECT toxic, entity_type, count(*) AS n FROM f JOIN labels USING (doc_id) GROUP BY ALL")
+def summary_by_label(spark, sf_dir):
+    found = Masker(types=_COUNTED_TYPES).spans(_read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    return found.join(_read(spark, sf_dir, "labels", "doc_id", "toxic"), "doc_id").groupBy("toxic", "entity_type").agg(F.count("*").alias("n"))
+
+
+@query("types_filter", _COUNTED + "SELECT doc_id, m AS match, count(*) AS n FROM f WHERE entity_type = 'ipv4' GROUP BY ALL")
+def types_filter(spark, sf_dir):
+    found = Masker(types=("ipv4",)).spans(_read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    return found.groupBy("doc_id", F.col("text").alias("match")).agg(F.count("*").alias("n"))
+
+
+@query("detect_listing")
+def detect_listing(spark, sf_dir):
+    """Detections of all tiers as JSON lines."""
+    from quillmask.sources.files import listing_json
+
+    return listing_json(Masker().spans(_read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"]))
+
+
+# ---- ranges, chunks and scores ------------------------------------------------------------------
+
+
+@query("halo_equivalence", ORACLE["redact_replace"])
+def halo_equivalence(spark, sf_dir):
+    """Documents cut in ranges of 2,000 characters with margins, put together again."""
+    return halo.halo_redact(_read(spark, sf_dir, "documents", "doc_id", "text"), Masker(types=("email",)), 2000, 256).select("doc_id", "redacted")
+
+
+@query("stream_chunks", ORACLE["redact_replace"])
+def stream_chunks(spark, sf_dir):
+    """Documents as chunks of 1,000 characters through a window of bounded memory, put together again."""
+    documents = _read(spark, sf_dir, "documents", "doc_id", "text")
+    numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / 1000).cast("int"))
+    parts = F.transform(numbers, lambda i: F.struct(i.cast("long").alias("chunk_no"), F.substring(F.col("text"), i * 1000 + 1, F.lit(1000)).alias("text")))
+    chunks = documents.select("doc_id", F.explode(parts).alias("c")).select("doc_id", "c.chunk_no", "c.text")
+    segments = keyed.redact_chunk_table(chunks, settings(types=("email",), overlap=256))
+    ordered = F.array_sort(F.collect_list(F.struct("seg_no", "redacted")))
+    return segments.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda s: s["redacted"]), "").alias("redacted"))
+
+
+_PREDICTED = [(1, "email", 0, 10), (1, "email", 20, 24), (1, "phone", 40, 50), (2, "ssn", 5, 16), (2, "ssn", 6, 16)]
+_GOLD = [(1, "email", 0, 12), (1, "email", 20, 40), (1, "phone", 41, 51), (2, "ssn", 5, 16), (2, "ipv4", 30, 40)]
+
+
+@query(
+    "score_prf",
+    f"""WITH p AS (SELECT * FROM {_values(_PREDICTED, 'doc_id, entity_type, a, b')}), g AS (SELECT * FROM {_values(_GOLD, 'doc_id, entity_type, c, d')}),
+    j AS (SELECT * FROM p JOIN g USING (doc_id, entity_type) WHERE least(b, d) - greatest(a, c) >= 0.5 * (d - c) AND a < d AND c < b),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type, a, b ORDER BY abs(a - c), c, d) AS r FROM j),
+    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type, c, d ORDER BY a, b) AS q FROM n WHERE r = 1),
+    t AS (SELECT entity_type, sum(p) AS p, sum(g) AS g, sum(m) AS m FROM (SELECT entity_type, 1 AS p, 0 AS g, 0 AS m FROM p UNION ALL SELECT entity_type, 0, 1, 0 FROM g
+      UNION ALL SELECT entity_type, 0, 0, 1 FROM o WHERE q = 1) GROUP BY ROLLUP (entity_type))
+    SELECT coalesce(entity_type, 'all') AS entity_type, CAST(m AS BIGINT) AS tp, CAST(p - m AS BIGINT) AS fp, CAST(g - m AS BIGINT) AS fn,
+      CASE WHEN p > 0 THEN round(m / p, 6) ELSE 0.0 END AS "precision", CASE WHEN g > 0 THEN round(m / g, 6) ELSE 0.0 END AS recall, CASE WHEN m > 0 THEN round(2 * m / (p + g), 6) ELSE 0.0 END AS f1 FROM t""",
+)
+def score_prf(spark, sf_dir):
+    rows = lambda given: _inline(spark, given, 'doc_id, entity_type, `start`, `end`')
+    rated = evaluate.scores(rows(_PREDICTED), rows(_GOLD), ["doc_id"])
+    return rated.select("entity_type", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
