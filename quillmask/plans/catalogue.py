@@ -64,8 +64,8 @@ _LUHN_SQL = (
     "(2 * CAST(d[i + 1] AS INT)) // 10 + (2 * CAST(d[i + 1] AS INT)) % 10 ELSE CAST(d[i + 1] AS INT) END)) % 10 = 0"
 )
 _PHONE_OK = rf"(len({_DIGITS}) BETWEEN 7 AND 15 AND NOT regexp_matches(m, '^(19|20)[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}}$') AND NOT regexp_matches(m, '^[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}$'))"
-#: Neighbours are consumed here, so line feeds, which two cards can share, are doubled.
-_CARD_SQL = "regexp_extract_all(replace(text, chr(10), chr(10) || chr(10)), '(?:^|[^0-9-])((?:[0-9][ -]?){12,18}[0-9])(?:[^0-9-]|$)', 1)"
+#: Neighbours are consumed here, so a space between two runs that are too long to be one is doubled.
+_CARD_SQL = "regexp_extract_all(regexp_replace(text, '([0-9]{13,}) ([0-9]{13,})', '\\1  \\2', 'g'), '(?:^|[^0-9-])((?:[0-9][ -]?){12,18}[0-9])(?:[^0-9-]|$)', 1)"
 
 
 def _found(frame: DataFrame, key: str, spans: Column) -> DataFrame:
