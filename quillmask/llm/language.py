@@ -100,7 +100,7 @@ class Codes:
             weight -= RATE * 0.1 * pace
             bias -= off.sum(axis=0)
         right = ((x @ weight + bias > 0) == (y > 0)).astype(np.float32)
-        trust = np.array([right[which == k].mean(axis=0) if (which == k).any() else np.ones(code.shape[1]) for k in range(len(langs))], np.float32).reshape(len(langs), -1)
+        trust = np.array([right[which == k].mean(axis=0) if (which == k).any() else np.ones(code.shape[1]) for k in range(len(langs))], np.float32).reshape(len(langs), code.shape[1])
         return cls(langs, code, weight, bias, trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9))
 
     def decode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
