@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,8 +99,6 @@ def public(spans: Column) -> Column:
 
 def register_sql(spark: SparkSession, masker: Masker) -> None:
     """SQL functions ``quill_redact(text)`` and ``quill_count(text)``, in Arrow batches."""
-    import pandas as pd
-
     ship_package(spark)
     chosen = masker.settings
 

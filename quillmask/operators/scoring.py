@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.functions import patterns as P
-from quillmask.operators.tiers import NONE, before, contains_any
+from quillmask.operators.tiers import NONE, before, has_word
 
 
 def boosted(text: Column, span: Column) -> Column:
@@ -16,13 +16,13 @@ def boosted(text: Column, span: Column) -> Column:
     for kind, words in P.BOOST_WORDS.items():
         kinds.setdefault(words, []).append(kind)
     for words, of in kinds.items():
-        found = found | (span["entity_type"].isin(*of) & contains_any(near, words))
+        found = found | (span["entity_type"].isin(*of) & has_word(near, words))
     return found
 
 
 def suppressed(text: Column, span: Column) -> Column:
     """Whether a placeholder word stands just before the span or in it."""
-    return contains_any(before(text, span["start"], P.SUPPRESS_WINDOW), P.SUPPRESS_WORDS) | contains_any(F.lower(span["text"]), P.SUPPRESS_WORDS)
+    return has_word(before(text, span["start"], P.SUPPRESS_WINDOW), P.SUPPRESS_WORDS) | has_word(F.lower(span["text"]), P.SUPPRESS_WORDS)
 
 
 def adjusted(text: Column, spans: Column) -> Column:
