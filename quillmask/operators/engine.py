@@ -32,7 +32,7 @@ class Masker:
     def candidates(self, frame: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
         """Adds every tier's candidates, before scoring."""
         column = F.col(text)
-        tiers = native_tiers(column, self.settings, F.col("_digits"))
+        tiers = native_tiers(text, self.settings, F.col("_digits"))
         python = detectors(self.settings)
         wide = frame.withColumn("_digits", column.rlike(HAS_DIGIT)).select("*", *[c.alias(n) for n, c in tiers.items()])
         if python:

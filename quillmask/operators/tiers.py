@@ -1,4 +1,4 @@
-"""Candidate spans of each tier as Column expressions over a text column.
+"""Candidate spans of each tier as Column expressions over a text column, which is given by name.
 
 Within a plan a candidate is struct<start, end, text, entity_type, confidence, source, context,
 entropy, ord>; ``ord`` is the place of its tier and shape, the last tie-break.
@@ -33,23 +33,37 @@ def possible(text: Column, needs: tuple[str, ...], digits: Column | None = None)
     return contains_any(text, needs) if needs else F.lit(True)
 
 
-def matches(text: Column, regex: str, maybe: Column | None = None) -> Column:
-    """array<struct<start, end, text>> of all matches, left to right.
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    The text between matches and the matches themselves add up to the text, so running lengths give
-    code-point offsets whatever the text holds. Texts without a match skip both passes, and those
-    that fail ``maybe`` are not searched at all.
+
+def matches_sql(text: str, regex: str) -> str:
+    """SQL of array<struct<start, end, text>> of all matches, left to right; null where there is none.
+
+    ``text`` is SQL too. The text between matches and the matches themselves add up to the text, so
+    running lengths give code-point offsets whatever the text holds. SQL text, and not one call a
+    function, since a plan of all shapes would take thousands of calls to the JVM.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(regex), F.lit(0)), F.split(text, regex, -1)
-    parts = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    rx = literal(regex)
+    hits = f"regexp_extract_all({text}, {rx}, 0)"
+    parts = f"zip_with(slice(split({text}, {rx}, -1), 1, size({hits})), {hits}, (g, h) -> named_struct('gap', length(g), 'hit', h))"
+    span = "named_struct('start', a.at + p.gap, 'end', a.at + p.gap + length(p.hit), 'text', p.hit)"
+    start = "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,text:string>>))"
+    fold = f"(a, p) -> named_struct('at', a.at + p.gap + length(p.hit), 'out', concat(a.out, array({span})))"
+    return f"CASE WHEN {text} RLIKE {rx} THEN aggregate({parts}, {start}, {fold}, a -> a.out) END"
+
+
+def matches(text: str, regex: str, maybe: Column | None = None) -> Column:
+    """The matches in a column of this name; texts that fail ``maybe`` are not searched at all."""
+    found = F.expr(matches_sql(f"`{text}`", regex))
+    return found if maybe is None else F.when(maybe, found)
 
-    def add(acc: Column, part: Column) -> Column:
-        first = acc["at"] + F.length(part["gap"])
-        last = first + F.length(part["hit"])
-        return F.struct(last.alias("at"), F.concat(acc["out"], F.array(F.struct(first.alias("start"), last.alias("end"), part["hit"].alias("text")))).alias("out"))
 
-    return F.when(text.rlike(regex) if maybe is None else maybe & text.rlike(regex), F.aggregate(parts, start, add, lambda acc: acc["out"]))
+def plain_candidates(text: str, regex: str, kind: str, confidence: float, source: str, ord_: int) -> Column:
+    """Every match as a candidate."""
+    fields = f"'start', h.start, 'end', h.end, 'text', h.text, 'entity_type', {literal(kind)}, 'confidence', {confidence}D, 'source', {literal(source)}"
+    one = f"named_struct({fields}, 'context', cast(null as string), 'entropy', cast(null as string), 'ord', {ord_})"
+    return F.expr(f"transform({matches_sql(f'`{text}`', regex)}, h -> {one})")
 
 
 def candidate(hit: Column, kind: str, confidence: float, source: str, ord_: int, entropy: Column | None = None) -> Column:
@@ -67,9 +81,12 @@ def _group(hit: Column, regex: str) -> Column:
     return F.struct((last - F.length(value)).alias("start"), last.alias("end"), value.alias("text"))
 
 
-def shape_spans(text: Column, shape: P.Shape, ord_: int, digits: Column | None = None) -> Column:
-    regex = P.java(shape.regex)
-    hits = matches(text, regex, possible(text, shape.needs, digits))
+def shape_spans(text: str, shape: P.Shape, ord_: int, digits: Column | None = None) -> Column:
+    regex, maybe = P.java(shape.regex), possible(F.col(text), shape.needs, digits)
+    if not shape.group and not shape.check:
+        found = plain_candidates(text, regex, shape.kind, shape.confidence, "deterministic", ord_)
+        return F.coalesce(F.when(maybe, found), none())
+    hits = matches(text, regex, maybe)
     if shape.group:
         hits = F.transform(hits, lambda h: _group(h, regex))
     if shape.check:
@@ -77,7 +94,7 @@ def shape_spans(text: Column, shape: P.Shape, ord_: int, digits: Column | None =
     return F.coalesce(F.transform(hits, lambda h: candidate(h, shape.kind, shape.confidence, "deterministic", ord_)), none())
 
 
-def entropy_spans(text: Column, min_length: int = P.SECRET_LENGTH, base64_entropy: float = P.BASE64_FLOOR, hex_entropy: float = P.HEX_FLOOR, confidence: float = P.SECRET_CONFIDENCE) -> Column:
+def entropy_spans(text: str, min_length: int = P.SECRET_LENGTH, base64_entropy: float = P.BASE64_FLOOR, hex_entropy: float = P.HEX_FLOOR, confidence: float = P.SECRET_CONFIDENCE) -> Column:
     def random(h: Column) -> Column:
         bits = F.round(shannon_entropy(h["text"]), 9)
         hexes = h["text"].rlike("^[0-9a-fA-F]+$")
@@ -108,21 +125,20 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
     return found
 
 
-def bare_ssn_spans(text: Column, digits: Column | None = None) -> Column:
-    hits = F.filter(matches(text, P.java(P.BARE_SSN), possible(text, P.DIGIT, digits)), lambda h: has_word(before(text, h["start"], P.BOOST_WINDOW), P.BOOST_WORDS["ssn"]))
+def bare_ssn_spans(text: str, digits: Column | None = None) -> Column:
+    hits = F.filter(matches(text, P.java(P.BARE_SSN), possible(F.col(text), P.DIGIT, digits)), lambda h: has_word(before(F.col(text), h["start"], P.BOOST_WINDOW), P.BOOST_WORDS["ssn"]))
     return F.coalesce(F.transform(hits, lambda h: candidate(h, "ssn", P.BARE_SSN_CONFIDENCE, "contextual", ORD_CONTEXT)), none())
 
 
-def word_spans(text: Column, words: Iterable[str], case_sensitive: bool = False) -> Column:
+def word_spans(text: str, words: Iterable[str], case_sensitive: bool = False) -> Column:
     """The user's literal words, tried in their order at each place."""
     quoted = "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in words if w)
     if not quoted:
         return none()
-    hits = matches(text, quoted if case_sensitive else f"(?iu){quoted}")
-    return F.coalesce(F.transform(hits, lambda h: candidate(h, "custom", 1.0, "custom", ORD_WORDS)), none())
+    return F.coalesce(plain_candidates(text, quoted if case_sensitive else f"(?iu){quoted}", "custom", 1.0, "custom", ORD_WORDS), none())
 
 
-def native_tiers(text: Column, settings: Settings, digits: Column | None = None) -> dict[str, Column]:
+def native_tiers(text: str, settings: Settings, digits: Column | None = None) -> dict[str, Column]:
     """Column name to candidates of every tier that needs no Python."""
     tiers = {f"_shape{i}": shape_spans(text, s, i, digits) for i, s in enumerate(P.SHAPES) if settings.wants(s.kind)}
     if settings.custom_words:

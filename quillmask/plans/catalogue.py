@@ -83,7 +83,7 @@ def _shape(kind: str, nth: int = 0) -> tuple[int, P.Shape]:
 
 def _scan(kind: str, nth: int = 0, table: str = "documents", key: str = "doc_id", column: str = "text"):
     i, shape = _shape(kind, nth)
-    return lambda spark, sf_dir: _found(_read(spark, sf_dir, table, key, column), key, tiers.shape_spans(F.col(column), shape, i))
+    return lambda spark, sf_dir: _found(_read(spark, sf_dir, table, key, column), key, tiers.shape_spans(column, shape, i))
 
 
 QUERIES["scan_email"] = _scan("email")
@@ -116,7 +116,7 @@ ORACLE["scan_phone_bare"] = _scan_sql(
 @query("scan_bare9", "WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9-]+')) AS m FROM documents) SELECT doc_id, m AS match, count(*) AS n FROM m WHERE regexp_full_match(m, '[0-9]{9}') GROUP BY ALL")
 def scan_bare9(spark, sf_dir):
     documents = _read(spark, sf_dir, "documents", "doc_id", "text")
-    return _found(documents, "doc_id", tiers.matches(F.col("text"), P.java(P.BARE_SSN)))
+    return _found(documents, "doc_id", tiers.matches("text", P.java(P.BARE_SSN)))
 
 
 @query(
@@ -126,7 +126,7 @@ def scan_bare9(spark, sf_dir):
     "WHERE len(m) >= 24 AND NOT regexp_full_match(m, '[A-Za-z]+') AND CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN len(m) >= 32 AND h >= 3 ELSE h >= 4 END GROUP BY ALL",
 )
 def scan_entropy(spark, sf_dir):
-    return _found(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", tiers.entropy_spans(F.col("text")))
+    return _found(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", tiers.entropy_spans("text"))
 
 
 # ---- types that the tables lack -----------------------------------------------------------------
@@ -149,7 +149,7 @@ _SAMPLES = {
 
 def _fixture(kind: str, rows: list[tuple]):
     i, shape = _shape(kind)
-    return lambda spark, sf_dir: _found(_inline(spark, rows, "case_id, text"), "case_id", tiers.shape_spans(F.col("text"), shape, i))
+    return lambda spark, sf_dir: _found(_inline(spark, rows, "case_id, text"), "case_id", tiers.shape_spans("text", shape, i))
 
 
 for _kind, _texts in _SAMPLES.items():
