@@ -4,10 +4,12 @@ A document's set is its word shingles; its sketch the ``K`` least hashes. Docume
 one class, which its least document stands for, so copies never meet in pairs. Inverted lists of the
 sketch values find candidates: two sets as alike as 0.8 share at least ``SHARED`` of ``K`` values (five
 standard errors under the mean; exact where sets are no larger than the sketch), so one of the rarest
-values of each must be common to both, and only the lists of these are read. In each list a member
-meets the least one; the union sketch of the two estimates their likeness, and what passes is
-verified on the full sets. Members of one list that then still are in different components are
-compared with each other, so that no link is lost.
+values of each must be common to both, and only the lists of these are read. In each list the members
+meet one leader, the most connected first, then others; the union sketch of two estimates their
+likeness, and the best of each document is verified on the full sets. Lists whose members are in one
+component need no more. The members of lists that are still in different components meet once more
+by the rarest shingles of their full sets, which is exact, so that no link is lost; what meets there
+is verified pair by pair.
 
 Null and empty texts have empty sets and link with nothing; rows with equal ids get the component of
 their least id; rows without an id are their own; other columns pass.
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.links import components
@@ -30,6 +32,8 @@ K = 64
 SHARED = 35
 #: Sets up to this size, and all sets as alike as 0.8 to them, are whole in their sketches.
 WHOLE = 51
+#: Rounds with a leader for each list before what is left is compared by full sets.
+ROUNDS = 3
 SETS = "doc_id long, n long, d1 long, d2 long, sketch array<long>"
 
 
@@ -67,16 +71,29 @@ def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
 
 
-def rare_lists(classes: DataFrame) -> DataFrame:
-    """(value, rep, n): of each class, the rarest of its sketch values, as many as two alike sets need."""
-    values = classes.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+def rare_lists(sets: DataFrame, needed: Column) -> DataFrame:
+    """(value, rep, n): of the ``values`` of each set, the rarest, as many as two sets must share one of
+    if they share ``needed``: all but that many, and one more."""
+    values = sets.select("rep", "n", F.explode("values").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * 0.8 - 1e-9)).otherwise(F.lit(SHARED))
     held = values.join(common, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
-    enough = held.withColumn("spare", F.size("held") - shared).filter("spare >= 0")
+    enough = held.withColumn("spare", F.size("held") - needed).filter("spare >= 0")
     return enough.select("rep", "n", F.explode(F.slice("held", 1, F.col("spare").cast("int") + 1)).alias("v")).select("v.value", "rep", "n")
 
 
+def full_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, n, values): all shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, raw in blocks(batches):
+            sets = shingle_hashes(raw, size)
+            cut = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), lists], ["rep", "n", "values"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, n long, values array<long>")
+
+
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose union sketch does not rule them out, with the estimate."""
     left = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
@@ -108,33 +125,93 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, near: int) -> DataFr
     return both.mapInArrow(run, "a long, b long")
 
 
+def unsettled(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The lists (value, rep, n, pop) whose members are in more than one component, with ``comp``."""
+    if comps is None:
+        return lists.select("value", "rep", "n", "pop", F.col("rep").alias("comp"))
+    held = lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", "pop", F.coalesce("comp", "rep").alias("comp"))
+    split = held.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("value")
+    return held.join(split, "value", "left_semi")
+
+
+def ordered_pairs(pairs: DataFrame, a: Column, b: Column, na: Column, nb: Column, near: int) -> DataFrame:
+    """Distinct (a, b), a < b, of sets whose sizes allow the likeness."""
+    fits = (na * 100 >= nb * near) & (nb * 100 >= na * near)
+    return pairs.filter(fits).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def fresh(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+
+def best_of(guessed: DataFrame) -> DataFrame:
+    """The pair of each document that looks most alike."""
+    guessed = stage(guessed, "guessed")
+    both = guessed.select("a", "b", "guess", F.col("a").alias("own")).unionByName(guessed.select("a", "b", "guess", F.col("b").alias("own")))
+    return both.groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("guess", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
+
+
+State = tuple[DataFrame | None, DataFrame | None, DataFrame | None]
+
+
+def some(rows: DataFrame) -> bool:
+    return bool(rows.limit(1).count())
+
+
+def linked(pairs: DataFrame, texts: DataFrame, size: int, near: int, state: State) -> State:
+    """Verifies the pairs: all links so far, their components, all pairs tried so far."""
+    pairs = stage(pairs, "pairs")
+    found, comps, tried = state
+    if not some(pairs):
+        return state
+    tried = pairs if tried is None else tried.unionByName(pairs)
+    links = stage(verified(pairs, texts, size, near), "linked")
+    if not some(links):
+        return found, comps, tried
+    found = links if found is None else found.unionByName(links)
+    return found, components(found), tried
+
+
 def near_components(documents: DataFrame, size: int, near: int = 80) -> DataFrame:
     """doc_id, n (set size) and comp of every distinct doc_id and set."""
     sets = stage(shingle_sets(documents, size), "sets")
     classes = sets.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = stage(classes, "classes")
-    lists = stage(rare_lists(classes), "lists")
-    least = lists.groupBy("value").agg(F.min("rep").alias("a"), F.count("*").alias("m")).filter("m > 1")
-    pairs = lists.join(least.select("value", "a"), "value").filter(F.col("rep") != F.col("a")).select("a", F.col("rep").alias("b")).distinct()
-    guessed = stage(estimated(pairs, classes), "guessed")
-    members = guessed.select(F.col("a").alias("doc_id")).union(guessed.select("b")).union(lists.join(least, "value", "left_semi").select("rep")).distinct()
-    texts = stage(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    best = guessed.groupBy("b").agg(F.max_by("a", F.struct("guess", -F.col("a"))).alias("a")).select("a", "b")
-    found = stage(verified(best, texts, size, near), "linked")
-    comps = components(found)
-
-    # Lists whose members are not all in one component: pairs across components, once each.
-    own = F.coalesce("comp", "rep")
-    held = lists.join(least.select("value"), "value", "left_semi").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", own.alias("comp"))
-    split = held.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("value")
-    open_ = stage(held.join(split, "value", "left_semi"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-    fits = (F.col("x.n") * 100 >= F.col("y.n") * near) & (F.col("y.n") * 100 >= F.col("x.n") * near)
-    rest = x.join(y, across & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(best, ["a", "b"], "left_anti")
-    more = stage(verified(estimated(rest, classes), texts, size, near), "linked")
-    if more.limit(1).count():
-        comps = components(found.unionByName(more))
+    enough = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * near / 100 - 1e-9)).otherwise(F.lit(SHARED))
+    met = stage(rare_lists(classes.withColumnRenamed("sketch", "values"), enough), "lists")
+    many = met.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1")
+    # A member of many large lists stands in the middle of its group.
+    shared = stage(met.join(many, "value"), "lists")
+    shared = stage(shared.join(shared.groupBy("rep").agg(F.sum("m").alias("pop")), "rep"), "lists")
+    members = shared.select(F.col("rep").alias("doc_id")).distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    texts = stage(texts.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+    state: State = (None, None, None)
+    for round_ in range(ROUNDS):
+        open_ = stage(unsettled(shared, state[1]), "open")
+        if not some(open_):
+            break
+        order = F.struct("pop", -F.col("rep")) if not round_ else F.struct(F.xxhash64(F.lit(round_), "value", "rep"), F.lit(0))
+        leaders = open_.groupBy("value").agg(F.max_by(F.struct("rep", "n", "comp"), order).alias("l"))
+        pairs = open_.join(leaders, "value").filter(F.col("comp") != F.col("l.comp"))
+        pairs = ordered_pairs(pairs, F.col("rep"), F.col("l.rep"), F.col("n"), F.col("l.n"), near)
+        state = linked(best_of(estimated(fresh(pairs, state[2]), classes)), texts, size, near, state)
+
+    # What is left of a list in different components: lists of the rarest shingles of the full sets,
+    # which need no slack, so a text that differs from all others in a fifth of its own is in none.
+    open_ = stage(unsettled(shared, state[1]).select("rep", "comp").distinct(), "open")
+    if some(open_):
+        left = texts.join(open_.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        exact = rare_lists(full_sets(left, size), F.ceil(F.col("n") * near / 100 - 1e-9)).join(open_, "rep")
+        exact = stage(exact, "exact")
+        x, y = exact.alias("x"), exact.alias("y")
+        across = (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
+        pairs = ordered_pairs(x.join(y, across), F.col("x.rep"), F.col("y.rep"), F.col("x.n"), F.col("y.n"), near)
+        state = linked(fresh(pairs, state[2]), texts, size, near, state)
+    comps = state[1]
+    if comps is None:
+        comps = documents.sparkSession.createDataFrame([], "node long, comp long")
     whole = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("comp"))
     return sets.join(whole, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("comp"))
 

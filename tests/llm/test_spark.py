@@ -205,9 +205,8 @@ def test_near_duplicates(documents, empty, rows, size):
 
 
 def test_left_over_pairs(documents, rows, monkeypatch):
-    """With a leader for no list at all, comparing pair by pair finds every link."""
-    monkeypatch.setattr(minhash, "ROUNDS", 1)
-    monkeypatch.setattr(minhash, "best_of", lambda guessed: guessed.limit(1).select("a", "b") if "own" not in guessed.columns else guessed)
+    """Without any round of leaders, the lists of full sets find every link."""
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
     got = {r["doc_id"]: r["comp"] for r in minhash.near_components(documents, 2).collect()}
     assert got == {i: c for i, (_, c) in _components(rows, 2).items()}
 
