@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmask.llm.ranges import NULL_KEY, id_bounds, range_of
 from quillmask.llm.staging import partitions, table
 
 SAMPLES = 256
@@ -140,23 +141,21 @@ def beside_next(documents: DataFrame, share: int = 4) -> DataFrame:
     spark = documents.sparkSession
     count = partitions(spark) * share
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    cuts = base.select("doc_id").approxQuantile("doc_id", [k / count for k in range(1, count)], 1 / (4 * count))
-    bounds = np.unique(np.array(cuts, np.float64))
+    bounds = id_bounds(base, count)
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(bounds, ids.to_numpy(np.float64, na_value=-np.inf), "right")).astype(np.int32))
+    def bucket_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(range_of(ids, bounds))
 
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    heads = {r[0]: r[1] for r in base.select(range_of("doc_id").alias("b"), key.alias("k")).groupBy("b").agg(F.min("k")).collect()}
+    key = F.coalesce("doc_id", F.lit(NULL_KEY))
+    heads = {r[0]: r[1] for r in base.select(bucket_of("doc_id").alias("b"), key.alias("k")).groupBy("b").agg(F.min("k")).collect()}
     order = sorted(heads)
     before = {heads[b]: order[i - 1] for i, b in enumerate(order)}
 
     @F.pandas_udf("array<int>")
     def places(ids: pd.Series) -> pd.Series:
-        own = np.where(ids.isna(), 0, np.searchsorted(bounds, ids.to_numpy(np.float64, na_value=-np.inf), "right"))
-        keys = [-(1 << 63) if pd.isna(i) else int(i) for i in ids]
-        return pd.Series([[2 * int(o)] + ([2 * before[k] + 1] if k in before else []) for o, k in zip(own, keys, strict=True)])
+        keys = [NULL_KEY if pd.isna(i) else int(i) for i in ids]
+        return pd.Series([[2 * int(o)] + ([2 * before[k] + 1] if k in before else []) for o, k in zip(range_of(ids, bounds), keys, strict=True)])
 
     place = base.select(F.explode(places("doc_id")).alias("place"), "doc_id", "text")
     dealt = place.select(F.shiftright("place", 1).alias("bucket"), (F.col("place") % 2).alias("halo"), "doc_id", "text")

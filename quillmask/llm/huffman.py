@@ -6,12 +6,12 @@ stand alone: the ids of whole documents, packed, with the bit offset of every ``
 reader needs the code lengths and a block; it looks up 16 bits at a time and decodes all segments of
 its blocks in step.
 
-The file: a folder of two Parquet tables, ``code`` (id, size) and ``blocks`` (part, block, first,
+The file: a folder of two Parquet tables, ``code`` (id, size) and ``blocks`` (part, first,
 doc_ids, counts, offsets, payload). ``part`` ascends with doc_id, ``first`` is the number of ids of
-the part before the block.
+the part before the block; in the order of both the blocks are the documents in ascending doc_id.
 
 Null texts are empty; an empty text is its end id alone; equal ids of rows keep together, ordered by
-text; a null doc_id comes first; an empty table gives an empty file. Other columns are not read.
+their ids; a null doc_id comes first; an empty table gives an empty file. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.bits import canonical, lookup, pack, unpack
+from quillmask.llm.ranges import id_bounds, range_of
 from quillmask.llm.staging import partitions, stage, table
 from quillmask.llm.tokens import pieces
 from quillmask.llm.words import blocks
@@ -65,30 +66,63 @@ def code_sizes(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
     return sizes
 
 
-def _ids(path: str, texts: list[bytes]) -> list[np.ndarray]:
-    return [np.append(np.frombuffer(b, "<u4"), np.uint32(END)) for b in pieces(path, False).encode([t.decode() for t in texts])]
+TOKENS = "part int, doc_id long, ids binary"
+ORDERED = "part int, first long, doc_id long, ids binary"
 
 
-def id_counts(documents: DataFrame, path: str) -> np.ndarray:
+def _ids(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(raw), "<u2")
+
+
+def ordered_ids(documents: DataFrame, path: str) -> DataFrame:
+    """(part, first, doc_id, ids): each document's ids, compressed; ``part`` is a range of doc_ids and
+    ``first`` counts the ids before the document in its part. Texts are tokenised once."""
+    spark = documents.sparkSession
+    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bounds = id_bounds(base, 2 * partitions(spark))
+
+    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack_ = zstandard.ZstdCompressor(level=1).compress
+        for rows, texts in blocks(batches):
+            found = pieces(path, False).encode([t.decode() for t in texts])
+            ids = [np.append(np.frombuffer(b, "<u4"), np.uint32(END)) for b in found]
+            if any(len(x) and x.max() > 0xFFFF for x in ids):
+                raise ValueError("a vocabulary of more than 65,536 ids")
+            yield pa.RecordBatch.from_arrays([pa.array(range_of(rows.column(0), bounds)), rows.column(0), pa.array([pack_(x.astype("<u2").tobytes()) for x in ids], pa.binary())], ["part", "doc_id", "ids"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = None, 0
+        for batch in batches:
+            firsts = []
+            for p, raw in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                part, at = p, at if p == part else 0
+                firsts.append(at)
+                at += zstandard.frame_content_size(raw) // 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, pa.int64()), batch.column(1), batch.column(2)], ["part", "first", "doc_id", "ids"])
+
+    dealt = base.mapInArrow(tokenise, TOKENS).repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "ids")
+    return stage(dealt.mapInArrow(count, ORDERED), "huffman-ids")
+
+
+def id_counts(ordered: DataFrame) -> np.ndarray:
     """How often each id occurs, end ids included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1, np.int64)
-        for _, texts in blocks(batches):
-            here = np.bincount(np.concatenate(_ids(path, texts)))
-            total = np.pad(total, (0, max(0, len(here) - len(total))))
-            total[: len(here)] += here
+        total = np.zeros(1 << 16, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                total += np.bincount(np.concatenate([_ids(b) for b in batch.column(0).slice(at, 512).to_pylist()]), minlength=1 << 16)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
 
-    found = documents.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = ordered.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(max(found["id"].to_pylist(), default=0) + 1, np.int64)
     counts[found["id"].to_numpy()] = found["n"].to_numpy()
     return counts
 
 
-BLOCKS = "part int, block int, first long, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary"
-_BLOCK_TYPES = [pa.int32(), pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]
+BLOCKS = "part int, first long, doc_ids array<long>, counts array<long>, offsets array<long>, payload binary"
+_BLOCK_TYPES = [pa.int32(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary()]
 
 
 def encode_block(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -110,28 +144,28 @@ def decode_blocks(payloads: list[bytes], offsets: list[np.ndarray], counts: list
 
 def write(documents: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Writes the file to the shared folder; returns its tables ``code`` and ``blocks`` as read back."""
-    sizes = code_sizes(id_counts(documents, path))
+    ordered = ordered_ids(documents, path)
+    sizes = code_sizes(id_counts(ordered))
     codes = canonical(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, first = TaskContext.get().partitionId(), 0, 0
+        part, first, waiting = 0, 0, 0
         docs: list[int | None] = []
         held: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, first, docs, held
-            ids = np.concatenate(held)
-            payload, offsets = encode_block(ids, sizes, codes)
-            row = (part, block, first, docs, [len(x) for x in held], offsets, payload)
-            block, first, docs, held = block + 1, first + len(ids), [], []
+            payload, offsets = encode_block(np.concatenate(held), sizes, codes)
+            row = (part, first, docs, [len(x) for x in held], offsets, payload)
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES, strict=True)], [c.split()[0] for c in BLOCKS.split(", ")])
 
-        for rows, texts in blocks(batches):
-            waiting = sum(map(len, held))
-            for doc_id, ids in zip(rows.column(0).to_pylist(), _ids(path, texts), strict=True):
-                if held and waiting + len(ids) > BLOCK:
+        for batch in batches:
+            for p, f, doc_id, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids = _ids(raw)
+                if held and (p != part or f != first + waiting or waiting + len(ids) > BLOCK):
                     yield flush()
-                    waiting = 0
+                    docs, held, waiting = [], [], 0
+                if not held:
+                    part, first = p, f
                 docs.append(doc_id)
                 held.append(ids)
                 waiting += len(ids)
@@ -139,9 +173,7 @@ def write(documents: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
             yield flush()
 
     spark = documents.sparkSession
-    order = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = order.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    written = stage(order.mapInArrow(run, BLOCKS), "huffman-blocks")
+    written = stage(ordered.mapInArrow(run, BLOCKS), "huffman-blocks")
     used = np.flatnonzero(sizes)
     code = spark.createDataFrame([(int(i), int(sizes[i])) for i in used], "id int, size int").coalesce(1)
     return stage(code, "huffman-code"), written

@@ -7,6 +7,7 @@ ids of the text. The pieces' ids are cached as little-endian unsigned 32-bit byt
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -15,24 +16,62 @@ import numpy as np
 #: Pieces held in a process; when it is full the cache starts anew, which changes no result.
 CACHE_PIECES = 800_000
 LONG_PIECE = 200
+#: Pieces encoded as one text.
+JOINED = 1000
 #: Where a vocabulary keeps spaces, one is a sure cut only between two characters that are not white space.
 
 
+#: Letters that every version of Unicode knows, composed already.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
 class Pieces:
     """``spaced``: the vocabulary keeps a space at the head of the following word (byte-level
     pre-tokeniser without added prefix); otherwise white space is dropped by the tokeniser."""
 
     def __init__(self, path: str, spaced: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.spaced = spaced
+        self.mark_id, added = max(self.tokenizer.get_added_tokens_decoder().items())
+        self.mark = added.content
+        self.plain = Tokenizer.from_file(path)
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        if not spaced:
+            self.plain.normalizer = None  # of these words only the case changes
         self.cache: dict[str, bytes | None] = {}
         self.heads: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joined_ids(self, tokenizer, texts: list[str]) -> list[bytes]:
+        """The ids of many short texts, encoded as few long ones: a special token between two texts
+        cuts them apart before any other rule, and its id marks the places."""
+        joins = [texts[i : i + JOINED] for i in range(0, len(texts), JOINED)]
+        out: list[bytes] = []
+        for part, encoding in zip(joins, tokenizer.encode_batch_fast([self.mark.join(p) for p in joins], add_special_tokens=False), strict=True):
+            ids = np.asarray(encoding.ids, "<u4")
+            cut = 4 * np.flatnonzero(ids == self.mark_id)
+            if len(cut) != len(part) - 1:
+                raise ValueError("the special token did not part the texts")
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True)]
+        return out
+
+    def _each(self, texts: list[str], lead: str) -> list[bytes]:
+        """Words of letters alone are one pre-token whatever the pre-tokeniser, so they skip it; texts
+        that hold a special token are encoded alone."""
+        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
+        for t in texts:
+            kinds[0 if _LETTERS.fullmatch(t) else 2 if "<|" in t else 1].append(t)
+        words, marked, odd = kinds
+        found = dict(zip(words, self._joined_ids(self.plain, [lead + (t if self.spaced else t.lower()) for t in words]), strict=True))
+        found.update(zip(marked, self._joined_ids(self.tokenizer, [lead + t for t in marked]), strict=True))
+        found.update(zip(odd, self._ids([lead + t for t in odd]), strict=True))
+        return [found[t] for t in texts]
 
     def _fill(self, cache: dict[str, bytes | None], wanted: set[str], lead: str) -> list[str]:
         """Encodes what ``cache`` lacks; returns the long pieces, which go again after the batch."""
@@ -42,7 +81,7 @@ class Pieces:
             missing = list(wanted)
         sure = [p for p in missing if not self.spaced or p and p == p.strip()]
         cache.update(dict.fromkeys(missing))
-        cache.update(zip(sure, self._ids([lead + p for p in sure]), strict=True))
+        cache.update(zip(sure, self._each(sure, lead), strict=True))
         return [p for p in missing if len(p) > LONG_PIECE]
 
     def encode(self, texts: list[str]) -> list[bytes]:
