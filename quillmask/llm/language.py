@@ -5,13 +5,15 @@ bytes) of the whole text and predicts that bit. Decoding adds up, for each langu
 loss of its bits, weighted by how well each classifier does on that language, and takes the nearest
 codeword; a text whose two nearest codewords are almost as near is flagged as ambiguous.
 
-Learning reads at most ``SAMPLE`` labelled documents (an expected number, held by a hash of the id
-and a limit); prediction reads every document whole. Null texts and texts without a letter get
-``und``, score 0. Null labels are not learned from. Without any label every text is ``und``.
+Learning reads about ``SAMPLE`` labelled documents, or ``EACH`` a language if that is more (expected
+numbers, held by a hash of id and text); every label that has a text with a letter is learned, from
+one document at least. Prediction reads every document whole. Null texts and texts without a letter
+get ``und``, score 0. Null labels are not learned from. Without any label every text is ``und``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,14 @@ from pyspark.sql import functions as F
 from quillmask.llm.staging import table
 from quillmask.llm.words import blocks
 
-#: Most labelled documents that a model is fitted on.
-SAMPLE = 1600
+#: Labelled documents that a model is fitted on, and the least for each language.
+SAMPLE, EACH = 1600, 4
 BITS = 13
 ORDERS = (1, 2, 3, 4)
-#: Most columns of a code; up to this many, every split of the languages in two is a column.
+#: Up to this many columns, every split of the languages in two is a column.
 COLUMNS = 15
+#: Columns of a longer code for each doubling of the languages, and its least distance of two rows.
+SPREAD, DISTANCE = 6, 5
 STEPS, RATE, DECAY = 150, 40.0, 1e-5
 AMBIGUOUS = 0.1
 FOLDS, HELD = 4, 2
@@ -65,16 +69,38 @@ def features(texts: list[str]) -> np.ndarray:
     return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
 
 
+def distance(code: np.ndarray) -> int:
+    """The least number of columns in which two rows differ."""
+    wide, least = code.astype(np.float32), code.shape[1]
+    for first in range(0, len(wide), 512):
+        alike = wide[first : first + 512] @ wide.T
+        at = np.arange(len(alike))
+        alike[at, first + at] = -code.shape[1]
+        least = min(least, int(code.shape[1] - alike.max()) // 2)
+    return least
+
+
 def codewords(n: int) -> np.ndarray:
-    """n rows of +1 and -1 whose columns are all different splits, none the inverse of another."""
+    """n rows of +1 and -1 whose columns are all different splits, none the inverse of another.
+
+    Two languages have one split and three have three, so their rows are 1 and 2 apart; four are 4
+    and five are 8 apart. From six on the bits are drawn, until all rows are ``DISTANCE`` apart.
+    """
     if n < 2:
         return np.ones((n, 1), np.int8)
     if 2 ** (n - 1) - 1 <= COLUMNS:
-        picks = range(1, 2 ** (n - 1))
-    else:
-        rng = np.random.default_rng(n)
-        picks = sorted({int(x) for x in rng.integers(1, 2 ** min(n - 1, 60), 4 * COLUMNS)})[:: 4][:COLUMNS]
-    return np.array([[1 if row and p >> (row - 1) & 1 else -1 for p in picks] for row in range(n)], np.int8)
+        return np.array([[1 if row and p >> (row - 1) & 1 else -1 for p in range(1, 2 ** (n - 1))] for row in range(n)], np.int8)
+    rng, width = np.random.default_rng(n), max(COLUMNS, math.ceil(SPREAD * math.log2(n)))
+    while True:
+        columns: dict[bytes, np.ndarray] = {}
+        while len(columns) < width:
+            column = rng.integers(0, 2, n, dtype=np.int8)
+            column ^= column[0]
+            if column.any():
+                columns[column.tobytes()] = column
+        code = 2 * np.stack(list(columns.values()), axis=1) - 1
+        if distance(code) >= DISTANCE:
+            return code
 
 
 class Codes:
@@ -87,7 +113,8 @@ class Codes:
     def fit(cls, texts: list[str], labels: list[str]) -> Codes:
         langs = sorted(set(labels))
         code = codewords(len(langs))
-        which = np.array([langs.index(x) for x in labels], int)
+        place = {x: k for k, x in enumerate(langs)}
+        which = np.array([place[x] for x in labels], int)
         x = np.concatenate([features(texts[i : i + 256]) for i in range(0, len(texts), 256)]) if texts else np.zeros((0, 1 << BITS), np.float32)
         y = (code[which] > 0).astype(np.float32)
         share = np.bincount(which, minlength=len(langs)) if len(which) else np.ones(1)
@@ -106,7 +133,8 @@ class Codes:
     def decode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, score between 0 and 1, whether it is ambiguous."""
         margin = np.clip(features(texts) @ self.weight + self.bias, -4, 4)
-        loss = np.einsum("lb,nlb->nl", self.trust, np.exp(-margin[:, None, :] * self.code[None]))
+        # A bit's loss is one of two values, so all languages are two products of matrices.
+        loss = np.exp(-margin) @ (self.trust * (self.code > 0)).T + np.exp(margin) @ (self.trust * (self.code < 0)).T
         near = np.exp(-loss)
         chance = near / near.sum(axis=1, keepdims=True)
         best = chance.argmax(axis=1)
@@ -119,13 +147,16 @@ def fit(documents: DataFrame, held: int | None = HELD, sample: int = SAMPLE) ->
     ids = documents.filter("lang is not null and text is not null")
     if held is not None:
         ids = ids.filter(fold(F.col("doc_id")) != held)
-    counts = {r["lang"]: r["count"] for r in ids.groupBy("lang").count().orderBy("lang").limit(1 << 12).collect()}
+    unit = F.pmod(F.xxhash64(F.lit("lang"), "doc_id", "text"), F.lit(1 << 40)) / (1 << 40)
+    ids = ids.filter(F.col("text").rlike(r"\p{L}")).select("text", "lang", unit.alias("unit"))
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"), F.min("unit").alias("least")).collect()
     if not counts:
         return Codes.fit([], [])
-    rate = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, sample / len(counts) / n))])
-    unit = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    rows = ids.filter(unit < rate[F.col("lang")]).select("text", "lang").limit(sample).toLocalIterator()
-    kept = [(r["text"], r["lang"]) for r in rows if has_letter(r["text"])]
+    each = max(EACH, sample / len(counts))
+    rates = documents.sparkSession.createDataFrame([(r["lang"], each / r["n"], r["least"]) for r in counts], "lang string, rate double, least double")
+    # The document of the least hash always stays; copies, which have one hash, are learned once.
+    taken = ids.join(F.broadcast(rates), "lang").filter("unit < rate or unit = least").dropDuplicates(["lang", "unit"])
+    kept = sorted((r["text"], r["lang"]) for r in taken.select("text", "lang").toLocalIterator() if has_letter(r["text"]))
     return Codes.fit([t for t, _ in kept], [x for _, x in kept])
 
 

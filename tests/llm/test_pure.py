@@ -144,6 +144,23 @@ def test_codewords_and_languages():
     assert not language.has_letter("12 $$ ") and language.has_letter("1é")
 
 
+@pytest.mark.parametrize("n", [6, 7, 9, 20, 30, 40, 50, 60, 62, 63, 70, 100, 300])
+def test_codewords_are_apart(n):
+    code = language.codewords(n)
+    apart = (code[:, None] != code[None]).sum(axis=2)[~np.eye(n, dtype=bool)]
+    assert code.shape[0] == n and apart.min() >= 3 and apart.min() == language.distance(code)
+    assert len({tuple(c) for c in code.T} | {tuple(-c) for c in code.T}) == 2 * code.shape[1]
+
+
+def test_more_languages_than_a_word_has_bits():
+    rng = random.Random(8)
+    bags = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(6)] for k in range(66)}
+    make = lambda k: " ".join(rng.choice(bags[k]) for _ in range(30))
+    model = language.Codes.fit([make(k) for k in bags for _ in range(6)], [k for k in bags for _ in range(6)])
+    best, _, _ = model.decode([make(k) for k in bags])
+    assert [model.langs[b] for b in best] == list(bags)
+
+
 def test_toxicity_learns_words_and_forms():
     rng = random.Random(7)
     plain = "one two three four five six seven eight".split()

@@ -221,6 +221,16 @@ def test_languages(spark, documents, empty):
     assert kept.columns == documents.columns and kept.count() <= documents.count() - 4
 
 
+def test_every_label_is_learned(spark, monkeypatch):
+    """More labels than the old limit of 4,096, some of them in the text of one document only."""
+    seen = []
+    monkeypatch.setattr(language.Codes, "fit", classmethod(lambda cls, texts, labels: seen.append(labels)))
+    rows = spark.range(10000).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id % 4200) as lang")
+    odd = spark.createDataFrame([(-1, "12", "none"), (-2, "12", "some"), (-3, "a", "some"), *[(-4, "copy", "copies")] * 50], "doc_id long, text string, lang string")
+    language.fit(rows.unionByName(odd), held=None)
+    assert set(seen[0]) == {f"l{k}" for k in range(4200)} | {"some", "copies"} and seen[0].count("copies") == 1
+
+
 def test_toxicity(spark, documents, empty):
     labels = documents.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic", "1 as text")
     got = toxicity.scores(documents, toxicity.fit(documents, labels)).collect()
