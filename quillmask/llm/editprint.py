@@ -7,8 +7,9 @@ what the walks wrote. A symbol is a character with the three before it.
 
 The fingerprint samples what was written: every 2^k-th place, k the least that leaves at most
 ``SAMPLES``. The places of a coarser k are among those of a finer one, so texts of different lengths
-compare at the coarser of their two scales. Bands of bit-sampled places give candidates for near
-duplicates; comparing whole fingerprints verifies them.
+compare at the coarser of their two scales. Two near prints differ in so few places that one of a
+number of bands of places is equal in both, so bands give every candidate for near duplicates;
+comparing whole fingerprints verifies them.
 
 A null text counts as empty; equal texts have equal fingerprints; repeated rows are documents that
 follow each other; a null id comes before all others; other columns are not read.
@@ -16,7 +17,9 @@ follow each other; a null id comes before all others; other columns are not read
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmask.llm.links import components
 from quillmask.llm.ranges import NULL_KEY, id_bounds, range_of
-from quillmask.llm.staging import partitions, table
+from quillmask.llm.staging import partitions, stage, table
 
 SAMPLES = 256
 CLASSES, PERIOD = 64, 4096
 #: Characters walked at once; bounds the memory of a very long text.
 BLOCK = 1 << 16
 PHASE = 0x2545F491
-BANDS, BAND_WIDTH = 32, 8
 CHANCE = 1 / 16
 NEAR = 0.8
+#: Rounds in which a band's members meet one of them before all that are still apart meet.
+ROUNDS = 2
+#: Bands of up to so many members are left to a join; larger ones are compared in blocks of chunks.
+SMALL, CHUNK = 32, 512
 
 
 def _gaps() -> list[bytes]:
@@ -197,45 +204,151 @@ def _row(held: tuple[int, int | None, Walked], following: Walked) -> tuple:
     return doc_id, len(mine.text), digest, mine.print, print_, likeness(mine.print, print_), likeness(mine.print, following.print)
 
 
-def bands(print_: str) -> list[tuple[int, int, str]]:
-    """(scale, band, digits at the band's sampled places), at the print's scale and the next."""
-    own, out = int(print_.partition("-")[0], 16), []
-    for scale in (own, own + 1):
+@functools.lru_cache(maxsize=None)
+def widths(length: int, near: float) -> dict[int, int]:
+    """Places in a band, and the bands of that width, for a print of ``length`` places.
+
+    Prints that have at least n places differ in at most d of the n if they are near, so one of d + 1
+    bands is equal in both. A print shares the widths of all lengths n that a near one may have.
+    """
+    equal = near * (1 - CHANCE) + CHANCE
+    out: dict[int, int] = {}
+    for n in range(max(1, math.ceil(equal * length - 1e-9)), length + 1):
+        count = math.floor(n * (1 - equal) + 1e-9) + 1
+        out[n // count] = max(out.get(n // count, 0), count)
+    return out
+
+
+def bands(print_: str, near: float = NEAR) -> list[tuple[int, int, int, str]]:
+    """(scale, width, band, digits at the band's places), at the print's scale and at each coarser one
+    at which a print of that scale, which has SAMPLES / 2 places at least, can be near."""
+    scale, out = int(print_.partition("-")[0], 16), []
+    fewest = (near * (1 - CHANCE) + CHANCE) * SAMPLES / 2 - 1e-9
+    digits = _at_scale(print_, scale)[1].decode()
+    while True:
+        for width, count in widths(len(digits), near).items():
+            out += [(scale, width, k, digits[k * width : (k + 1) * width]) for k in range(min(count, len(digits) // width))]
+        scale += 1
         digits = _at_scale(print_, scale)[1].decode()
-        for band in range(BANDS):
-            out.append((scale, band, "".join(digits[p] if p < len(digits) else "-" for p in PICKS[band])))
+        if len(digits) < fewest:
+            return out
+
+
+def _grid(prints: list[str], scale: int, fill: int) -> tuple[np.ndarray, np.ndarray]:
+    rows = [_at_scale(p, scale)[1] for p in prints]
+    data = b"".join(r.ljust(SAMPLES, bytes([fill])) for r in rows)
+    return np.frombuffer(data, np.uint8).reshape(-1, SAMPLES), np.array([len(r) for r in rows])
+
+
+def near_pairs(node: np.ndarray, comp: np.ndarray, prints: list[str], near: float) -> list[tuple[int, int]]:
+    """The pairs (a, b), a < b, of near prints in different components, all against all."""
+    own, out = np.array([int(p.partition("-")[0], 16) for p in prints]), []
+    for scale in np.unique(own):
+        here, other = np.flatnonzero(own == scale), np.flatnonzero(own <= scale)
+        mine, size = _grid([prints[i] for i in here], int(scale), 0)
+        theirs, sizes = _grid([prints[i] for i in other], int(scale), 1)
+        for i, row, n in zip(here, mine, size, strict=True):
+            same = np.count_nonzero(theirs == row, axis=1) / np.maximum(np.maximum(sizes, n), 1)
+            hit = other[((same - CHANCE) / (1 - CHANCE) >= near) & (comp[other] != comp[i])]
+            out += [(min(node[i], x), max(node[i], x)) for x in node[hit].tolist()]
     return out
 
 
-PICKS = np.random.default_rng(7).integers(0, SAMPLES // 2, (BANDS, BAND_WIDTH)).tolist()
+def _apart(shared: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """The bands (key, node, m) whose members are in more than one component, with ``comp``."""
+    if comps is None:
+        return shared.withColumn("comp", F.col("node"))
+    held = shared.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    return held.join(split, "key", "left_semi")
+
+
+def near_links(classes: DataFrame, near: float) -> DataFrame | None:
+    """(node, comp) of the prints (node, print) that are near another one, None if there are none.
+
+    In each band the members first meet one of them, by rounds. Then members that are still in
+    different components meet each other, so the links left out join what is joined already. Where
+    many texts that are not near share a band, this last step grows with the square of their number.
+    """
+
+    @F.pandas_udf("array<string>")
+    def keys(prints: pd.Series) -> pd.Series:
+        return prints.map(lambda p: [":".join(map(str, b)) for b in bands(p, near)])
+
+    @F.pandas_udf("double")
+    def like(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)])
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(classes.toDF("a", "pa"), "a").join(classes.toDF("b", "pb"), "b")
+        return both.filter(like("pa", "pb") >= near).select("a", "b")
+
+    banded = stage(classes.select("node", F.explode(keys("print")).alias("key")).select(F.xxhash64("key").alias("key"), "node").distinct(), "bands")
+    shared = stage(banded.join(banded.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key"), "bands")
+    links, comps, tried = None, None, None
+
+    def joined(more: DataFrame) -> None:
+        nonlocal links, comps
+        more = stage(more, "near")
+        if more.limit(1).count():
+            links = more if links is None else links.unionByName(more)
+            comps = components(links)
+
+    def fresh(pairs: DataFrame) -> DataFrame:
+        nonlocal tried
+        pairs = pairs.distinct()
+        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        return pairs
+
+    for round_ in range(ROUNDS):
+        open_ = stage(_apart(shared, comps), "open")
+        order = F.xxhash64(F.lit(round_), "key", "node") if round_ else F.lit(0).cast("long")
+        leaders = open_.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "comp")).alias("l"))
+        met = open_.join(leaders, "key").filter(F.col("comp") != F.col("l.comp"))
+        joined(alike(fresh(met.select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")))))
+
+    open_ = stage(_apart(shared, comps), "open")
+    few = open_.filter(F.col("m") <= SMALL)
+    x, y = few.alias("x"), few.alias("y")
+    across = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp"))
+    joined(alike(fresh(x.join(y, across).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))))
+
+    many = stage(_apart(shared.filter(F.col("m") > SMALL), comps), "open").join(classes, "node")
+    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    dealt = many.withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "comp", "print")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        found = near_pairs(group["node"].to_numpy(), group["comp"].to_numpy(), group["print"].tolist(), near)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    joined(dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct())
+    return comps
 
 
 def near_duplicates(documents: DataFrame, near: float = NEAR) -> DataFrame:
-    """doc_id, class_id, likeness: each document with the least document it is near to (itself, if
-    none). Equal prints are one class first; a band's members are compared with its least member,
-    not with each other, so a band of any size costs one comparison a member."""
+    """doc_id, class_id, likeness: each document with the least document of its class, and how alike
+    the two are. A class is joined by prints that are at least ``near`` alike, above 0, so two of a
+    class can be less alike than that."""
 
     @F.pandas_udf("string")
     def printed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: fingerprint(t or ""))
 
-    @F.pandas_udf("array<string>")
-    def keys(prints: pd.Series) -> pd.Series:
-        return prints.map(lambda p: [f"{s}:{b}:{d}" for s, b, d in bands(p)])
-
     @F.pandas_udf("double")
     def like(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)])
 
-    prints = documents.select("doc_id", printed(F.coalesce("text", F.lit(""))).alias("print"))
-    classes = prints.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    banded = classes.select("rep", "print", F.explode(keys("print")).alias("key"))
-    least = banded.groupBy("key").agg(F.min(F.struct("rep", "print")).alias("least"))
-    pairs = banded.join(least, "key").filter(F.col("least.rep") < F.col("rep")).select("rep", "print", "least").distinct()
-    found = pairs.withColumn("likeness", like("print", "least.print")).filter(F.col("likeness") >= near)
-    best = found.groupBy("rep").agg(F.min(F.struct("least.rep", "likeness")).alias("best"))
-    linked = classes.join(best, "rep", "left").select("print", F.coalesce("best.rep", "rep").alias("class_id"), F.coalesce("best.likeness", F.lit(1.0)).alias("likeness"))
-    return prints.join(linked, "print").select("doc_id", "class_id", "likeness")
+    prints = stage(documents.select("doc_id", printed(F.coalesce("text", F.lit(""))).alias("print")), "prints")
+    equal = prints.groupBy("print").agg(F.min("doc_id").alias("rep"))
+    equal = stage(equal.withColumn("node", F.monotonically_increasing_id()), "prints")
+    comps = near_links(equal.select("node", "print"), near)
+    whole = equal.withColumn("comp", F.col("node")) if comps is None else equal.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    # A null id comes before all others.
+    least = whole.groupBy("comp").agg(F.min(F.struct("rep", "print")).alias("least"))
+    classed = whole.join(least, "comp").select("print", F.col("least.rep").alias("class_id"), like("print", "least.print").alias("likeness"))
+    return prints.join(classed, "print").select("doc_id", "class_id", "likeness")
 
 
 def op1_edit_prints(spark, sf_dir) -> DataFrame:

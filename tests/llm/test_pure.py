@@ -51,6 +51,21 @@ def test_prints():
     assert editprint.likeness(editprint.fingerprint(""), editprint.fingerprint(text)) == 0
 
 
+@pytest.mark.parametrize("near", [0.5, 0.8, 1.0])
+def test_near_prints_share_a_band(near):
+    """Prints of any two lengths that differ in as many places as near prints may."""
+    rng, equal = random.Random(9), near * (1 - editprint.CHANCE) + editprint.CHANCE
+    for n in range(1, 257):
+        for m in {n, min(256, n + 1), min(256, int(n / equal + 1e-9))}:
+            x = [rng.choice("0123456789abcdef") for _ in range(m)]
+            y = x[:n]
+            for at in rng.sample(range(n), int(n - equal * m + 1e-9)):
+                y[at] = "0" if y[at] == "f" else "f"
+            a, b = (f"0-{len(d):x}-" + "".join(d) for d in (x, y))
+            if editprint.likeness(a, b) >= near:
+                assert set(editprint.bands(a, near)) & set(editprint.bands(b, near))
+
+
 def test_packing_bounds():
     rng = np.random.default_rng(3)
     for _ in range(60):

@@ -79,6 +79,51 @@ def test_near_prints(documents, rows):
     assert got[max(i for i, t in texts.items() if t == texts[0])] == 0 and got[8 * 3 + 3] == 0
 
 
+def _print_classes(texts):
+    prints = {i: editprint.fingerprint(t or "") for i, t in texts.items()}
+    least = {i: i for i in prints}
+    for i in sorted(prints):
+        for j in sorted(prints):
+            if i < j and least[i] != least[j] and editprint.likeness(prints[i], prints[j]) >= editprint.NEAR:
+                low, high = sorted((least[i], least[j]))
+                least = {k: low if c == high else c for k, c in least.items()}
+    return {i: (c, editprint.likeness(prints[i], prints[c])) for i, c in least.items()}
+
+
+@pytest.fixture(scope="module")
+def prone():
+    """Short texts, heads shared by texts that are not near, and chains of edits."""
+    rng = random.Random(21)
+    draw = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    texts = [draw(n) for n in (1, 2, 3, 5, 8, 10, 13, 17, 24, 40, 60, 90) for _ in range(5)]
+    texts += [t[:-1] + "X" for t in texts] + [t + "Y" for t in texts]
+    head = draw(250)
+    own = [draw(750) for _ in range(30)]
+    texts += [head + t for t in own] + [head + t[:-60] + draw(60) for t in own] + [head[:100] + draw(40) for _ in range(10)]
+    for size in (12, 40, 400, 1500):
+        text = draw(size)
+        for k in range(8):
+            at = size - (k + 1) * size // 8
+            texts.append(text := text[:at] + draw(size // 8) + text[at + size // 8 :])
+    rng.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("small, rounds", [(32, 2), (1, 0)])
+def test_near_prints_against_all_pairs(spark, prone, small, rounds, monkeypatch):
+    monkeypatch.setattr(editprint, "SMALL", small)
+    monkeypatch.setattr(editprint, "CHUNK", 50)
+    monkeypatch.setattr(editprint, "ROUNDS", rounds)
+    frame = spark.createDataFrame(list(prone.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["class_id"], r["likeness"]) for r in editprint.near_duplicates(frame).collect()}
+    want = _print_classes(prone)
+    assert got == want and sum(i != c for i, (c, _) in want.items()) > 50 and any(like < editprint.NEAR for _, like in want.values())
+
+
+def test_near_prints_of_no_rows(empty):
+    assert editprint.near_duplicates(empty).collect() == []
+
+
 def test_packing(documents, empty, rows):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack_documents(documents, path).toPandas()
