@@ -2,13 +2,17 @@
 
 import subprocess
 import sys
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import pytest
 
+from quillmask.operators.engine import Masker
 from quillmask.plans import catalogue
 
+from test_engine import AZ, KNOWN
+
 ROOT = Path(__file__).resolve().parent.parent
 DATA = Path("/root/testdata/sf0.001")
 
@@ -30,6 +34,37 @@ def test_query_equals_sql(spark, name):
     assert sorted(repr([_value(r[c]) for c in sorted(frame.columns)]) for r in frame.collect()) == want
 
 
+SUMMARIES = {"summary_by_type": (), "summary_by_lang_source": ("lang", "source"), "summary_by_label": ("toxic",)}
+
+
+@pytest.mark.parametrize("name", SUMMARIES)
+def test_summary_counts_all_types(spark, name, tmp_path):
+    """One text of each type, a key by its name, an unnamed secret, and spans that overlap."""
+    texts = [*[f"see {v} now" for v in KNOWN.values()], "API_KEY = 'abcdEFGH12345678'", f"commit {AZ[::-1]}", None, ""]
+    texts += [f"{KNOWN['email']} {KNOWN['credit_card']} {KNOWN['phone']} token = {AZ}", "call 415-555-2671, ssn 123456789"]
+    rows = [(i, t, ("en", None)[i % 2], f"s{i % 3}", i % 2) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, toxic int")
+    frame.drop("toxic").write.parquet(str(tmp_path / "documents.parquet"))
+    frame.select("doc_id", "toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    local, by, want = Masker().local(), SUMMARIES[name], Counter()
+    for row in rows:
+        named = dict(zip(("doc_id", "text", "lang", "source", "toxic"), row, strict=True))
+        want.update((*[named[c] for c in by], s.entity_type) for s in local.detect(named["text"] or ""))
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(*[r[c] for c in by], r["entity_type"]): r["n"] for r in got} == want and len(got) == len(want)
+    assert {k[-1] for k in want} == {*KNOWN, "api_key", "secret"}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables here")
+def test_entry_counts_all_types(spark):
+    import __spark_entry__
+
+    want, local = Counter(), Masker().local()
+    for (text,) in duckdb.sql(f"SELECT text FROM '{DATA}/documents.parquet' WHERE text IS NOT NULL").fetchall():
+        want.update(s.entity_type for s in local.detect(text))
+    assert {r["entity_type"]: r["n"] for r in __spark_entry__.entry(spark).collect()} == want and len(want) > 3
+
+
 def test_registry_imports_without_optional_parts(tmp_path):
     """As after the optional subpackage and the pipeline are deleted."""
     import shutil
