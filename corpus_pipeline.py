@@ -17,7 +17,7 @@ SHINGLE = 5
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter go, and those whose language is ambiguous at a low score."""
+    """Documents without a letter go, and those in none of the languages that the labels name."""
     return language.identified(docs)
 
 

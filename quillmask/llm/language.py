@@ -34,6 +34,9 @@ COLUMNS = 15
 SPREAD, DISTANCE = 6, 5
 STEPS, RATE, DECAY = 150, 40.0, 1e-5
 AMBIGUOUS = 0.1
+#: A text this far from the nearest codeword is in no language: a guess is 1 away. More, if learned
+#: texts are farther from their own: FARTHER times what a hundredth of them exceed, at most FARTHEST.
+FAR, FARTHER, FARTHEST = 0.3, 1.5, 0.9
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
 TURN = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
@@ -128,13 +131,28 @@ class Codes:
             bias -= off.sum(axis=0)
         right = ((x @ weight + bias > 0) == (y > 0)).astype(np.float32)
         trust = np.array([right[which == k].mean(axis=0) if (which == k).any() else np.ones(code.shape[1]) for k in range(len(langs))], np.float32).reshape(len(langs), code.shape[1])
-        return cls(langs, code, weight, bias, trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9))
+        model = cls(langs, code, weight, bias, trust / np.maximum(trust.sum(axis=1, keepdims=True), 1e-9))
+        if len(langs) > 1:
+            own = model.losses(x)[np.arange(len(which)), which]
+            model.far = min(FARTHEST, max(FAR, FARTHER * float(np.quantile(own, 0.99))))
+        return model
+
+    #: With one language or none there is nothing to tell a text by, so none is too far.
+    far = math.inf
+
+    def losses(self, x: np.ndarray) -> np.ndarray:
+        """How far rows of features are from each codeword: 0 is on it, 1 is a guess."""
+        margin = np.clip(x @ self.weight + self.bias, -4, 4)
+        # A bit's loss is one of two values, so all languages are two products of matrices.
+        return np.exp(-margin) @ (self.trust * (self.code > 0)).T + np.exp(margin) @ (self.trust * (self.code < 0)).T
+
+    def known(self, texts: list[str]) -> np.ndarray:
+        """Whether each text is near the codeword of a language."""
+        return self.losses(features(texts)).min(axis=1) < self.far
 
     def decode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, score between 0 and 1, whether it is ambiguous."""
-        margin = np.clip(features(texts) @ self.weight + self.bias, -4, 4)
-        # A bit's loss is one of two values, so all languages are two products of matrices.
-        loss = np.exp(-margin) @ (self.trust * (self.code > 0)).T + np.exp(margin) @ (self.trust * (self.code < 0)).T
+        loss = self.losses(features(texts))
         near = np.exp(-loss)
         chance = near / near.sum(axis=1, keepdims=True)
         best = chance.argmax(axis=1)
@@ -180,9 +198,9 @@ def predict(documents: DataFrame, model: Codes) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PREDICTED)
 
 
-def identified(documents: DataFrame, lowest: float = 0.3) -> DataFrame:
-    """The documents whose language is known: those without a letter, and ambiguous ones that score
-    under ``lowest``, go. The decision rests on the text alone, so it is made row by row."""
+def identified(documents: DataFrame) -> DataFrame:
+    """The documents whose language is known: those without a letter, and those that are far from the
+    codeword of every language, go. The decision rests on the text alone, so it is made row by row."""
     model = fit(documents, held=None)
     columns = documents.schema
 
@@ -193,11 +211,7 @@ def identified(documents: DataFrame, lowest: float = 0.3) -> DataFrame:
             known = [i for i, t in enumerate(texts) if has_letter(t)]
             for first in range(0, len(known), 256):
                 at = known[first : first + 256]
-                if model.langs:
-                    _, sure, two = model.decode([texts[i] for i in at])
-                    keep[at] = ~two | (sure >= lowest)
-                else:
-                    keep[at] = True
+                keep[at] = model.known([texts[i] for i in at]) if model.langs else True
             yield part.filter(pa.array(keep))
 
     return documents.mapInArrow(run, columns)

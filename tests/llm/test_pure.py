@@ -176,6 +176,19 @@ def test_more_languages_than_a_word_has_bits():
     assert [model.langs[b] for b in best] == list(bags)
 
 
+@pytest.mark.parametrize("n", [2, 3, 4, 30])
+def test_letter_noise_has_no_language(n):
+    rng = random.Random(10)
+    bags = [["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(8)] for _ in range(n)]
+    make = lambda bag: " ".join(rng.choice(bag) for _ in range(30))
+    model = language.Codes.fit([make(b) for b in bags for _ in range(40)], [f"l{k:02}" for k in range(n) for _ in range(40)])
+    assert model.known([make(b) for b in bags for _ in range(20)]).mean() > 0.98
+    noise = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(400)) for _ in range(20)]
+    noise += ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(400)) for _ in range(20)]
+    assert not model.known(noise).any()
+    assert language.Codes.fit(["a b"], ["x"]).known(noise).all()
+
+
 def test_toxicity_learns_words_and_forms():
     rng = random.Random(7)
     plain = "one two three four five six seven eight".split()
