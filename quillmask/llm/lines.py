@@ -4,7 +4,8 @@ Lines are told apart by 128 bits of hash. For each line a HyperLogLog sketch of
 that have it is built, merged by aggregation, so a line on any number of rows costs one sketch a task.
 Lines whose estimate is near the threshold get an exact distinct count; the others go by the sketch.
 A line on ``SITES`` sites or more is boilerplate: it stays in the document with the least doc_id that
-has it, and goes from every other.
+has it, and goes from every other. ``SITES`` is a fixed number, as in the SQL twin: in a table of fewer
+sites every line stays, even one that is in every document, unless a caller gives a lower number.
 
 Blank lines are neither counted nor removed. A null source is a site of its own, a null text has no
 lines, rows without a doc_id stay as they are, repeated rows are treated alike, other columns pass.
