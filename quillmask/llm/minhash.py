@@ -2,8 +2,8 @@
 
 A document's set is its word shingles; its sketch the ``K`` least hashes. Documents of equal sets are
 one class, which its least document stands for, so copies never meet in pairs. Inverted lists of the
-sketch values find candidates: two sets as alike as 0.8 share at least ``SHARED`` of ``K`` values (five
-standard errors under the mean; exact where sets are no larger than the sketch), so one of the rarest
+sketch values find candidates: two sets that are near share at least ``shared`` of ``K`` values (five
+standard errors under the mean; exact where both sets are whole in their sketches), so one of the rarest
 values of each must be common to both, and only the lists of these are read. In each list the members
 meet one leader, the most connected first, then others; the union sketch of two estimates their
 likeness, and the best of each document is verified on the full sets. Lists whose members are in one
@@ -17,6 +17,7 @@ their least id; rows without an id are their own; other columns pass.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +30,22 @@ from quillmask.llm.staging import stage, table
 from quillmask.llm.words import Words, blocks, mix, runs
 
 K = 64
-SHARED = 35
-#: Sets up to this size, and all sets as alike as 0.8 to them, are whole in their sketches.
-WHOLE = 51
 #: Rounds with a leader for each list before what is left is compared by full sets.
 ROUNDS = 3
 SETS = "doc_id long, n long, d1 long, d2 long, sketch array<long>"
 
 
+def shared(near: int) -> int:
+    """The least number of the union's ``K`` values in both sets, of sets ``near`` hundredths alike."""
+    p = near / 100
+    return max(1, math.floor(K * p - 5 * math.sqrt(K * p * (1 - p))))
+
+
+def whole(near: int) -> int:
+    """Sets up to this size, and all sets that are near to them, are whole in their sketches."""
+    return K * near // 100
+
+
 def shingle_hashes(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Ascending distinct hashes of each text's shingles; A-Z count as a-z."""
     words = Words(texts, lower=True)
@@ -94,14 +103,14 @@ def full_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(run, "rep long, n long, values array<long>")
 
 
-def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def estimated(pairs: DataFrame, classes: DataFrame, near: int) -> DataFrame:
     """The pairs (a, b) whose union sketch does not rule them out, with the estimate."""
     left = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
     right = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     return both.withColumn("u", union).withColumn("shared", F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb"))).withColumn(
-        "least", F.when(F.size("u") < K, F.ceil(F.size("u") * 0.8 - 1e-9)).otherwise(F.lit(SHARED))
+        "least", F.when(F.size("u") < K, F.ceil(F.size("u") * near / 100 - 1e-9)).otherwise(F.lit(shared(near)))
     ).filter(F.col("shared") >= F.col("least")).select("a", "b", (F.col("shared") / F.size("u")).alias("guess"))
 
 
@@ -177,30 +186,30 @@ def near_components(documents: DataFrame, size: int, near: int = 80) -> DataFram
     sets = stage(shingle_sets(documents, size), "sets")
     classes = sets.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     classes = stage(classes, "classes")
-    enough = F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * near / 100 - 1e-9)).otherwise(F.lit(SHARED))
+    enough = F.when(F.col("n") <= whole(near), F.ceil(F.col("n") * near / 100 - 1e-9)).otherwise(F.lit(shared(near)))
     met = stage(rare_lists(classes.withColumnRenamed("sketch", "values"), enough), "lists")
     many = met.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1")
     # A member of many large lists stands in the middle of its group.
-    shared = stage(met.join(many, "value"), "lists")
-    shared = stage(shared.join(shared.groupBy("rep").agg(F.sum("m").alias("pop")), "rep"), "lists")
-    members = shared.select(F.col("rep").alias("doc_id")).distinct()
+    common = stage(met.join(many, "value"), "lists")
+    common = stage(common.join(common.groupBy("rep").agg(F.sum("m").alias("pop")), "rep"), "lists")
+    members = common.select(F.col("rep").alias("doc_id")).distinct()
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     texts = stage(texts.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     state: State = (None, None, None)
     for round_ in range(ROUNDS):
-        open_ = stage(unsettled(shared, state[1]), "open")
+        open_ = stage(unsettled(common, state[1]), "open")
         if not some(open_):
             break
         order = F.struct("pop", -F.col("rep")) if not round_ else F.struct(F.xxhash64(F.lit(round_), "value", "rep"), F.lit(0))
         leaders = open_.groupBy("value").agg(F.max_by(F.struct("rep", "n", "comp"), order).alias("l"))
         pairs = open_.join(leaders, "value").filter(F.col("comp") != F.col("l.comp"))
         pairs = ordered_pairs(pairs, F.col("rep"), F.col("l.rep"), F.col("n"), F.col("l.n"), near)
-        state = linked(best_of(estimated(fresh(pairs, state[2]), classes)), texts, size, near, state)
+        state = linked(best_of(estimated(fresh(pairs, state[2]), classes, near)), texts, size, near, state)
 
     # What is left of a list in different components: lists of the rarest shingles of the full sets,
     # which need no slack, so a text that differs from all others in a fifth of its own is in none.
-    open_ = stage(unsettled(shared, state[1]).select("rep", "comp").distinct(), "open")
+    open_ = stage(unsettled(common, state[1]).select("rep", "comp").distinct(), "open")
     if some(open_):
         left = texts.join(open_.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
         exact = rare_lists(full_sets(left, size), F.ceil(F.col("n") * near / 100 - 1e-9)).join(open_, "rep")
@@ -212,8 +221,8 @@ def near_components(documents: DataFrame, size: int, near: int = 80) -> DataFram
     comps = state[1]
     if comps is None:
         comps = documents.sparkSession.createDataFrame([], "node long, comp long")
-    whole = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("comp"))
-    return sets.join(whole, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("comp"))
+    classed = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("comp"))
+    return sets.join(classed, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("comp"))
 
 
 def one_of_each(documents: DataFrame, size: int = 5, near: int = 80) -> DataFrame:

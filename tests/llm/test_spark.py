@@ -249,6 +249,19 @@ def test_near_duplicates(documents, empty, rows, size):
         assert minhash.near_components(empty, size).collect() == []
 
 
+def test_lower_likeness(documents, rows):
+    got = {r["doc_id"]: r["comp"] for r in minhash.near_components(documents, 2, 45).collect()}
+    assert got == {i: c for i, (_, c) in _components(rows, 2, 45).items()}
+    assert (minhash.shared(80), minhash.whole(80)) == (35, 51)
+
+
+def test_lower_likeness_of_lone_pairs(spark):
+    """Nothing else shares these texts' shingles: about half of a sketch's values are common."""
+    pairs = [(2 * k + e, " ".join(f"p{k}w{i}" for i in range(e * 60, e * 60 + 180))) for k in range(8) for e in (0, 1)]
+    got = minhash.near_components(spark.createDataFrame(pairs, "doc_id long, text string"), 2, 45).collect()
+    assert {r["doc_id"]: r["comp"] for r in got} == {i: i - i % 2 for i, _ in pairs}
+
+
 def test_left_over_pairs(documents, rows, monkeypatch):
     """Without any round of leaders, the lists of full sets find every link."""
     monkeypatch.setattr(minhash, "ROUNDS", 0)
