@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.staging import stage
+from quillmask.llm.staging import stage, unstage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,13 +15,16 @@ def components(links: DataFrame) -> DataFrame:
     the number of rounds grows with the logarithm of a component's width. Labels are staged each round.
     """
     both = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp")), "labels")
+    labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("comp"), F.lit(True).alias("moved")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
+        near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         lower = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("lower"))
         jump = labels.select(F.col("node").alias("lower"), F.col("comp").alias("jumped"))
-        moved = lower.join(jump, "lower", "left").select("node", F.col("comp").alias("was"), F.least("lower", "jumped").alias("comp"))
-        moved = stage(moved, "labels")
-        labels = moved.select("node", "comp")
-        if not moved.filter(F.col("was") != F.col("comp")).limit(1).count():
-            return labels
+        moved = lower.join(jump, "lower", "left").select("node", F.least("lower", "jumped").alias("comp"), (F.least("lower", "jumped") < F.col("comp")).alias("moved"))
+        before, labels = labels, stage(moved, "labels")
+        unstage(before)
+        if not labels.filter("moved").limit(1).count():
+            unstage(both)
+            out = labels.select("node", "comp")
+            out._staged_at = labels._staged_at
+            return out

@@ -4,15 +4,20 @@ A document's set is its word shingles; its sketch the ``K`` least hashes. Docume
 one class, which its least document stands for, so copies never meet in pairs. Inverted lists of the
 sketch values find candidates: two sets that are near share at least ``shared`` of ``K`` values (five
 standard errors under the mean; exact where both sets are whole in their sketches), so one of the rarest
-values of each must be common to both, and only the lists of these are read. In each list the members
-meet one leader, the most connected first, then others; the union sketch of two estimates their
-likeness, and the best of each document is verified on the full sets. Lists whose members are in one
-component need no more. The members of lists that are still in different components meet once more
-by the rarest shingles of their full sets, which is exact, so that no link is lost; what meets there
-is verified pair by pair.
-
-Null and empty texts have empty sets and link with nothing; rows with equal ids get the component of
-their least id; rows without an id are their own; other columns pass.
+values of each must be common to both, and only the lists of these are read. With each list entry goes
+an odd sketch, ``ODD_BITS`` bits that the values of the set (of the sketch, where the set is large) turn
+over: two odd sketches differ in no more bits than what they are made of in values, so pairs that
+share too little are seen in the list and go no further. The union sketch estimates the likeness of the
+rest; a pair that fails it is no link, and one that passes is verified on the full sets.
+
+First the members of each list meet its most connected one, then another, and each class is verified with
+the one it looks most like; so a group of near copies becomes one component without pairs within it.
+Then the members of lists that are in different components meet each other, the likeliest first, until
+no pair of different components is untried.
+
+Null and empty texts have empty sets and link with nothing. Rows with equal ids and different texts are
+documents of their own that share an id: each gets the least id of its component. Rows without an id get
+the component of their text, are in none of their own and stay; other columns pass; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -21,18 +26,25 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.links import components
-from quillmask.llm.staging import stage, table
+from quillmask.llm.staging import stage, table, unstage
 from quillmask.llm.words import Words, blocks, mix, runs
 
 K = 64
-#: Rounds with a leader for each list before what is left is compared by full sets.
-ROUNDS = 3
-SETS = "doc_id long, n long, d1 long, d2 long, sketch array<long>"
+#: Bits of an odd sketch, in longs of 64, and the largest set whose odd sketch has all values.
+ODD_BITS, ODD_WHOLE = 512, 800
+ODD = [f"o{i}" for i in range(ODD_BITS // 64)]
+#: Rounds in which a list's members meet one of them, and rounds of likeliest pairs before all that are left.
+ROUNDS, LIKELIEST = 2, 3
+#: Members of one component in a list, from which on they do not meet each other at all.
+CROWD = 64
+SET = ["n", "d1", "d2"]
+SETS = "doc_id long, n long, d1 long, d2 long, sketch array<long>, " + ", ".join(f"{o} long" for o in ODD)
 
 
 def shared(near: int) -> int:
@@ -46,6 +58,11 @@ def whole(near: int) -> int:
     return K * near // 100
 
 
+def needed(n: Column, near: int) -> Column:
+    """The least number of sketch values that a set of this size shares with any near one."""
+    return F.when(n <= whole(near), F.ceil(n * near / 100 - 1e-9)).otherwise(F.lit(shared(near)))
+
+
 def shingle_hashes(texts: list[bytes], size: int) -> list[np.ndarray]:
     """Ascending distinct hashes of each text's shingles; A-Z count as a-z."""
     words = Words(texts, lower=True)
@@ -63,50 +80,101 @@ def shingle_hashes(texts: list[bytes], size: int) -> list[np.ndarray]:
     return out
 
 
+def digests(sets: list[np.ndarray]) -> tuple[list[int], list[int], list[int]]:
+    """Size of each set and 128 bits that tell it."""
+    d1 = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
+    d2 = [int(np.bitwise_xor.reduce(mix(s)).astype(np.int64)) if len(s) else 0 for s in sets]
+    return [len(s) for s in sets], d1, d2
+
+
+def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of longs per set: bit b is set if an odd number of its values fall on b."""
+    sets = [s if len(s) <= ODD_WHOLE else s[:K] for s in sets]
+    values = np.concatenate(sets)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (mix(values ^ np.uint64(0x0DD)) % np.uint64(ODD_BITS)).astype(np.int64)
+    odd = np.bincount(row * ODD_BITS + bit, minlength=len(sets) * ODD_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(len(sets), -1)
+
+
 def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
-    """Size, 128 bits that tell the set, and sketch of each document."""
+    """Size, digest, sketch and odd sketch of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in blocks(batches):
             sets = shingle_hashes(texts, size)
-            d1 = [int(s.sum(dtype=np.uint64).astype(np.int64)) for s in sets]
-            d2 = [int(np.bitwise_xor.reduce(mix(s)).astype(np.int64)) if len(s) else 0 for s in sets]
+            n, d1, d2 = digests(sets)
             # With the sign bit flipped, signed order is the order of the hashes.
             sketch = [(s[:K] ^ np.uint64(1 << 63)).view(np.int64) for s in sets]
             cut = np.cumsum([0, *map(len, sketch)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(sketch)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d1), pa.array(d2), lists], ["doc_id", "n", "d1", "d2", "sketch"])
+            odd = odd_sketches(sets)
+            columns = [part.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), lists, *[pa.array(c) for c in odd.T.copy()]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *SET, "sketch", *ODD])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
 
 
-def rare_lists(sets: DataFrame, needed: Column) -> DataFrame:
-    """(value, rep, n): of the ``values`` of each set, the rarest, as many as two sets must share one of
-    if they share ``needed``: all but that many, and one more."""
-    values = sets.select("rep", "n", F.explode("values").alias("value"))
+def rare_lists(classes: DataFrame, near: int) -> DataFrame:
+    """(value, node, n, pop, odd sketch): of the sketch values of each set that others have, the rarest,
+    as many as it must share one of: all but those needed, and one more. ``pop``: how common they all are."""
+    values = classes.select("node", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    held = values.join(common, "value").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"))
-    enough = held.withColumn("spare", F.size("held") - needed).filter("spare >= 0")
-    return enough.select("rep", "n", F.explode(F.slice("held", 1, F.col("spare").cast("int") + 1)).alias("v")).select("v.value", "rep", "n")
-
-
-def full_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(rep, n, values): all shingle hashes of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, raw in blocks(batches):
-            sets = shingle_hashes(raw, size)
-            cut = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
-            lists = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int64()), lists], ["rep", "n", "values"])
-
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, n long, values array<long>")
+    held = values.join(common, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum("df").alias("pop"))
+    both = held.join(classes.select("node", "n", *ODD), "node").withColumn("spare", F.size("held") - needed(F.col("n"), near))
+    rarest = F.slice("held", 1, F.col("spare").cast("int") + 1)
+    return both.filter("spare >= 0").select("node", "n", "pop", *ODD, F.explode(rarest).alias("v")).select("v.value", "node", "n", "pop", *ODD)
+
+
+def possible(x: str, y: str, near: int) -> Column:
+    """Whether sizes and odd sketches of two entries, by their aliases, allow the likeness."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    fits = (nx * 100 >= ny * near) & (ny * 100 >= nx * near)
+    differ = sum((F.bit_count(F.col(f"{x}.{o}").bitwiseXOR(F.col(f"{y}.{o}"))) for o in ODD), F.lit(0))
+    whole_ = (nx <= ODD_WHOLE) & (ny <= ODD_WHOLE)
+    sketched = (nx > ODD_WHOLE) & (ny > ODD_WHOLE)
+    # Sets with i values in common have nx + ny - i in all and differ in nx + ny - 2 i.
+    few = F.when(whole_, differ * (100 + near) <= (nx + ny) * (100 - near)).when(sketched, differ <= 2 * (K - shared(near))).otherwise(True)
+    return fits & few
+
+
+def ordered(x: str, y: str) -> list[Column]:
+    return [F.least(f"{x}.node", f"{y}.node").alias("a"), F.greatest(f"{x}.node", f"{y}.node").alias("b")]
+
+
+def led(lists: DataFrame, round_: int, near: int) -> DataFrame:
+    """The possible pairs (a, b) of each list's members and its leader: the most connected, then any."""
+    order = F.struct("pop", -F.col("node")) if not round_ else F.struct(F.xxhash64(F.lit(round_), "value", "node"), F.lit(0))
+    leaders = lists.groupBy("value").agg(F.max_by(F.struct("node", "n", "comp", *ODD), order).alias("l")).select("value", "l.*")
+    met = lists.alias("x").join(leaders.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.comp") != F.col("y.comp")) & possible("x", "y", near))
+    return met.select(*ordered("x", "y")).distinct()
+
+
+def across(lists: DataFrame, near: int) -> DataFrame:
+    """The possible pairs (a, b) of members of different components in each list.
+
+    Where a list has many members of one component, these meet the others only.
+    """
+    crowds = lists.groupBy("value", "comp").agg(F.count("*").alias("m")).filter(F.col("m") >= CROWD).select("value", "comp")
+    few = lists.join(crowds, ["value", "comp"], "left_anti")
+    many = lists.join(crowds, ["value", "comp"], "left_semi")
+    apart = F.col("x.comp") != F.col("y.comp")
+    same = F.col("x.value") == F.col("y.value")
+    once = F.col("x.node") < F.col("y.node")
+    found = few.alias("x").join(few.alias("y"), same & once & apart & possible("x", "y", near)).select(*ordered("x", "y"))
+    found = found.unionByName(few.alias("x").join(many.alias("y"), same & apart & possible("x", "y", near)).select(*ordered("x", "y")))
+    # Two crowds of a list: one row a pair of them, then the members of both.
+    two = crowds.alias("x").join(crowds.alias("y"), same & (F.col("x.comp") < F.col("y.comp")))
+    two = two.select("x.value", F.col("x.comp").alias("comp"), F.col("y.comp").alias("other"))
+    first = many.join(two, ["value", "comp"]).drop("comp")
+    match = same & (F.col("x.other") == F.col("y.comp")) & possible("x", "y", near)
+    return found.unionByName(first.alias("x").join(many.alias("y"), match).select(*ordered("x", "y"))).distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, near: int) -> DataFrame:
     """The pairs (a, b) whose union sketch does not rule them out, with the estimate."""
-    left = classes.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    right = classes.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
+    left = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
+    right = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
     return both.withColumn("u", union).withColumn("shared", F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb"))).withColumn(
@@ -114,121 +182,162 @@ def estimated(pairs: DataFrame, classes: DataFrame, near: int) -> DataFrame:
     ).filter(F.col("shared") >= F.col("least")).select("a", "b", (F.col("shared") / F.size("u")).alias("guess"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, size: int, near: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are at least ``near`` hundredths alike."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", F.array("ta", "tb").alias("texts"))
+def full_sets(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(node, n, values): all shingle hashes of the classes (node, rep, n, d1, d2), read from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for first in range(0, batch.num_rows, 128):
-                two = [[t.encode() for t in x] for x in batch.column(2).slice(first, 128).to_pylist()]
-                sets = shingle_hashes([t for x in two for t in x], size)
-                for x, y in zip(sets[0::2], sets[1::2], strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(100 * common >= near * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(run, "a long, b long")
-
-
-def unsettled(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """The lists (value, rep, n, pop) whose members are in more than one component, with ``comp``."""
-    if comps is None:
-        return lists.select("value", "rep", "n", "pop", F.col("rep").alias("comp"))
-    held = lists.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("value", "rep", "n", "pop", F.coalesce("comp", "rep").alias("comp"))
-    split = held.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("value")
-    return held.join(split, "value", "left_semi")
-
-
-def ordered_pairs(pairs: DataFrame, a: Column, b: Column, na: Column, nb: Column, near: int) -> DataFrame:
-    """Distinct (a, b), a < b, of sets whose sizes allow the likeness."""
-    fits = (na * 100 >= nb * near) & (nb * 100 >= na * near)
-    return pairs.filter(fits).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-
-
-def fresh(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-
+        for part, raw in blocks(batches):
+            sets = shingle_hashes(raw, size)
+            n, d1, d2 = digests(sets)
+            cut = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(cut, pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), lists], ["rep", *SET, "values"])
 
-def best_of(guessed: DataFrame) -> DataFrame:
-    """The pair of each document that looks most alike."""
-    guessed = stage(guessed, "guessed")
-    both = guessed.select("a", "b", "guess", F.col("a").alias("own")).unionByName(guessed.select("a", "b", "guess", F.col("b").alias("own")))
-    return both.groupBy("own").agg(F.max_by(F.struct("a", "b"), F.struct("guess", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    texts = texts.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    found = texts.select("doc_id", "text").mapInArrow(run, "rep long, n long, d1 long, d2 long, values array<long>")
+    return found.join(classes, ["rep", *SET]).select("node", "n", "values").dropDuplicates(["node"])
 
 
-State = tuple[DataFrame | None, DataFrame | None, DataFrame | None]
+def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, size: int, near: int) -> DataFrame:
+    """The staged pairs (a, b) whose full sets are at least ``near`` hundredths alike."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = stage(full_sets(documents, classes.join(nodes, "node", "left_semi").select("node", "rep", *SET), size), "full")
+    left, right = sets.toDF("a", "na", "va"), sets.toDF("b", "nb", "vb")
+    common = F.size(F.array_intersect("va", "vb"))
+    alike = common * 100 >= (F.col("na") + F.col("nb") - common) * near
+    found = stage(pairs.select("a", "b").join(left, "a").join(right, "b").filter(alike).select("a", "b"), "linked")
+    unstage(sets)
+    return found
 
 
 def some(rows: DataFrame) -> bool:
     return bool(rows.limit(1).count())
 
 
-def linked(pairs: DataFrame, texts: DataFrame, size: int, near: int, state: State) -> State:
-    """Verifies the pairs: all links so far, their components, all pairs tried so far."""
-    pairs = stage(pairs, "pairs")
-    found, comps, tried = state
-    if not some(pairs):
-        return state
-    tried = pairs if tried is None else tried.unionByName(pairs)
-    links = stage(verified(pairs, texts, size, near), "linked")
-    if not some(links):
-        return found, comps, tried
-    found = links if found is None else found.unionByName(links)
-    return found, components(found), tried
+class Links:
+    """The links found so far, their components, and all pairs tried."""
+
+    def __init__(self, documents: DataFrame, classes: DataFrame, size: int, near: int):
+        self.documents, self.classes, self.size, self.near = documents, classes, size, near
+        self.found: list[DataFrame] = []
+        self.tried: list[DataFrame] = []
+        self.comps: DataFrame | None = None
+
+    def labelled(self, rows: DataFrame, node: str = "node", comp: str = "comp") -> DataFrame:
+        """Adds the component of a column of nodes; a node without links is one of its own."""
+        if self.comps is None:
+            return rows.withColumn(comp, F.col(node))
+        return rows.join(self.comps.toDF(node, comp), node, "left").withColumn(comp, F.coalesce(comp, node))
+
+    def open_lists(self, lists: DataFrame) -> DataFrame:
+        """The lists whose members are in more than one component, with ``comp``."""
+        held = self.labelled(lists)
+        split = held.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("value")
+        return stage(held.join(split, "value", "left_semi"), "open")
+
+    def fresh(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that were not tried and are not in one component."""
+        for tried in self.tried:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        return self.labelled(self.labelled(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").drop("ca", "cb")
+
+    def try_(self, pairs: DataFrame) -> None:
+        pairs = stage(pairs.select("a", "b"), "pairs")
+        if not some(pairs):
+            unstage(pairs)
+            return
+        self.tried.append(pairs)
+        links = verified(pairs, self.documents, self.classes, self.size, self.near)
+        if not some(links):
+            unstage(links)
+            return
+        self.found.append(links)
+        every = self.found[0]
+        for more in self.found[1:]:
+            every = every.unionByName(more)
+        before, self.comps = self.comps, components(every)
+        unstage(before)
+
+    def try_likeliest(self, guessed: DataFrame) -> None:
+        """Tries the pair of each node that looks most alike, of staged (a, b, guess)."""
+        both = guessed.select("a", "b", "guess", F.col("a").alias("own")).unionByName(guessed.select("a", "b", "guess", F.col("b").alias("own")))
+        best = both.groupBy("own").agg(F.max(F.struct("guess", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("p"))
+        self.try_(best.select((-F.col("p.a")).alias("a"), (-F.col("p.b")).alias("b")).distinct())
+
+    def drop(self) -> None:
+        unstage(self.comps, *self.found, *self.tried)
 
 
 def near_components(documents: DataFrame, size: int, near: int = 80) -> DataFrame:
-    """doc_id, n (set size) and comp of every distinct doc_id and set."""
+    """doc_id, n, d1, d2 (size and digest of the set) and comp of every row."""
     sets = stage(shingle_sets(documents, size), "sets")
-    classes = sets.filter("n > 0 and doc_id is not null").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    classes = stage(classes, "classes")
-    enough = F.when(F.col("n") <= whole(near), F.ceil(F.col("n") * near / 100 - 1e-9)).otherwise(F.lit(shared(near)))
-    met = stage(rare_lists(classes.withColumnRenamed("sketch", "values"), enough), "lists")
-    many = met.groupBy("value").agg(F.count("*").alias("m")).filter("m > 1")
-    # A member of many large lists stands in the middle of its group.
-    common = stage(met.join(many, "value"), "lists")
-    common = stage(common.join(common.groupBy("rep").agg(F.sum("m").alias("pop")), "rep"), "lists")
-    members = common.select(F.col("rep").alias("doc_id")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    texts = stage(texts.join(members, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    classes = sets.filter("n > 0 and doc_id is not null").groupBy(*SET).agg(F.min("doc_id").alias("rep"), F.first(F.struct("sketch", *ODD)).alias("s"))
+    # The first classes by id get the least nodes; staged, since the numbers hold for one run only.
+    classes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "rep", *SET, "s.*"), "classes")
+    lists = stage(rare_lists(classes, near), "lists")
 
-    state: State = (None, None, None)
+    links = Links(documents, classes, size, near)
     for round_ in range(ROUNDS):
-        open_ = stage(unsettled(common, state[1]), "open")
-        if not some(open_):
+        open_ = links.open_lists(lists)
+        guessed = stage(estimated(links.fresh(led(open_, round_, near)), classes, near), "guessed")
+        links.try_likeliest(guessed)
+        unstage(open_, guessed)
+    open_ = links.open_lists(lists)
+    guessed = stage(estimated(links.fresh(across(open_, near)), classes, near), "guessed")
+    unstage(open_, lists)
+    for round_ in range(LIKELIEST + 1):
+        if not some(guessed):
             break
-        order = F.struct("pop", -F.col("rep")) if not round_ else F.struct(F.xxhash64(F.lit(round_), "value", "rep"), F.lit(0))
-        leaders = open_.groupBy("value").agg(F.max_by(F.struct("rep", "n", "comp"), order).alias("l"))
-        pairs = open_.join(leaders, "value").filter(F.col("comp") != F.col("l.comp"))
-        pairs = ordered_pairs(pairs, F.col("rep"), F.col("l.rep"), F.col("n"), F.col("l.n"), near)
-        state = linked(best_of(estimated(fresh(pairs, state[2]), classes, near)), texts, size, near, state)
-
-    # What is left of a list in different components: lists of the rarest shingles of the full sets,
-    # which need no slack, so a text that differs from all others in a fifth of its own is in none.
-    open_ = stage(unsettled(common, state[1]).select("rep", "comp").distinct(), "open")
-    if some(open_):
-        left = texts.join(open_.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-        exact = rare_lists(full_sets(left, size), F.ceil(F.col("n") * near / 100 - 1e-9)).join(open_, "rep")
-        exact = stage(exact, "exact")
-        x, y = exact.alias("x"), exact.alias("y")
-        across = (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.comp") != F.col("y.comp"))
-        pairs = ordered_pairs(x.join(y, across), F.col("x.rep"), F.col("y.rep"), F.col("x.n"), F.col("y.n"), near)
-        state = linked(fresh(pairs, state[2]), texts, size, near, state)
-    comps = state[1]
-    if comps is None:
-        comps = documents.sparkSession.createDataFrame([], "node long, comp long")
-    classed = classes.join(comps, classes["rep"] == comps["node"], "left").select("n", "d1", "d2", F.coalesce("comp", "rep").alias("comp"))
-    return sets.join(classed, ["n", "d1", "d2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("comp"))
+        if round_ == LIKELIEST:
+            links.try_(guessed)
+            break
+        links.try_likeliest(guessed)
+        left = stage(links.fresh(guessed), "guessed")
+        unstage(guessed)
+        guessed = left
+
+    labels = links.labelled(classes.select("node", "rep", *SET))
+    least = labels.groupBy("comp").agg(F.min("rep").alias("least"))
+    classed = labels.join(least, "comp").select(*SET, "least")
+    result = sets.select("doc_id", *SET).join(classed, SET, "left")
+    result = stage(result.select("doc_id", *SET, F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("comp")), "labels")
+    unstage(sets, classes, guessed)
+    links.drop()
+    return result
+
+
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with as many underscores as it takes to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def one_of_each(documents: DataFrame, size: int = 5, near: int = 80) -> DataFrame:
-    """One document of each component, the least; of repeated rows of an id, all stay."""
-    gone = near_components(documents, size, near).filter("doc_id <> comp").select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    """One document of each component, the least; of repeated rows of an id and a set, all stay.
+
+    Where an id has several texts of which some go, texts are told apart by their sets.
+    """
+    found = near_components(documents, size, near)
+    gone = found.filter("doc_id <> comp")
+    kept = found.filter("doc_id = comp").select("doc_id")
+    both = stage(gone.select("doc_id").distinct().join(kept, "doc_id", "left_semi"), "both")
+    out = documents.join(gone.select("doc_id").distinct().join(both, "doc_id", "left_anti"), "doc_id", "left_anti").select(*documents.columns)
+    if not some(both):
+        return out
+
+    @F.pandas_udf("n long, d1 long, d2 long")
+    def told(texts: pd.Series) -> pd.DataFrame:
+        sets = shingle_hashes([(t or "").encode() for t in texts], size)
+        return pd.DataFrame(dict(zip(SET, digests(sets), strict=True)))
+
+    mark = free_name(documents.columns, "set")
+    again = out.join(both, "doc_id", "left_semi").withColumn(mark, told("text"))
+    less = gone.select("doc_id", F.struct(*SET).alias(mark)).distinct()
+    again = again.join(less, ["doc_id", mark], "left_anti").select(*documents.columns)
+    return out.join(both, "doc_id", "left_anti").select(*documents.columns).unionByName(again)
 
 
 def op7_near_duplicates(spark, sf_dir) -> DataFrame:

@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is made only where none is set."""
+    """The folder named by ``spark.checkpoint.dir``. Where none is named, a local session gets a
+    temporary one; on a cluster that is an error, since executors do not see each other's disks."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = getattr(spark.sparkContext, "_quillmask_folder", None) or tempfile.mkdtemp(prefix="quillmask-")
         spark.sparkContext._quillmask_folder = named
     return named.rstrip("/")
@@ -33,7 +36,19 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/quillmask/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*frames: DataFrame | None) -> None:
+    """Delete what ``stage`` wrote for these frames. For tables that nothing reads any more: all that
+    came of them has been staged itself, so not even a lost executor asks for them again."""
+    for frame in frames:
+        path = getattr(frame, "_staged_at", None)
+        if path:
+            where = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -262,13 +262,46 @@ def test_lower_likeness_of_lone_pairs(spark):
     assert {r["doc_id"]: r["comp"] for r in got} == {i: i - i % 2 for i, _ in pairs}
 
 
-def test_left_over_pairs(documents, rows, monkeypatch):
-    """Without any round of leaders, the lists of full sets find every link."""
-    monkeypatch.setattr(minhash, "ROUNDS", 0)
+@pytest.mark.parametrize("crowd", [64, 2])
+def test_left_over_pairs(documents, rows, crowd, monkeypatch):
+    """Without any round of leaders, the members of the lists meet each other and no link is lost."""
+    monkeypatch.setattr(minhash, "ROUNDS", 1 if crowd == 2 else 0)
+    monkeypatch.setattr(minhash, "LIKELIEST", 0)
+    monkeypatch.setattr(minhash, "CROWD", crowd)
     got = {r["doc_id"]: r["comp"] for r in minhash.near_components(documents, 2).collect()}
     assert got == {i: c for i, (_, c) in _components(rows, 2).items()}
 
 
+def test_near_copies_around_the_threshold(spark):
+    """Edits that leave about 0.8: recall and precision are 1 against all pairs."""
+    rng = random.Random(31)
+    words = [f"v{k}" for k in range(3000)]
+    texts = []
+    for size in (12, 40, 60, 150, 400, 1000):
+        base = [rng.choice(words) for _ in range(size)]
+        texts.append(" ".join(base))
+        for share in (0.02, 0.04, 0.05, 0.055, 0.06, 0.08):
+            for _ in range(4):
+                v = list(base)
+                for at in rng.sample(range(size), max(1, int(size * share))):
+                    v[at] = rng.choice(words)
+                texts.append(" ".join(v))
+    texts += [" ".join(rng.choice(words) for _ in range(200)) for _ in range(100)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r["comp"] for r in minhash.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    want = {i: c for i, (_, c) in _components(rows, 2).items()}
+    assert got == want and 50 < sum(i != c for i, c in want.items()) < len(rows) - 150
+
+
+def test_texts_that_share_an_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    frame = spark.createDataFrame([(1, a, 1), (5, b, 2), (5, a, 3), (7, b, 4), (None, a, 5), (7, None, 6)], "doc_id long, text string, set int")
+    assert sorted((r["doc_id"] or 0, r["n"], r["comp"] or 0) for r in minhash.near_components(frame, 5).collect()) == [(0, 26, 1), (1, 26, 1), (5, 26, 1), (5, 26, 5), (7, 0, 7), (7, 26, 5)]
+    kept = minhash.one_of_each(frame)
+    assert kept.columns == frame.columns and sorted(r["set"] for r in kept.collect()) == [1, 2, 5, 6]
+
+
 def test_languages(spark, documents, empty):
     model = language.fit(documents)
     got = language.predict(documents, model).collect()
