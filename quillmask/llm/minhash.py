@@ -40,7 +40,7 @@ K = 64
 ODD_BITS, ODD_WHOLE = 512, 800
 ODD = [f"o{i}" for i in range(ODD_BITS // 64)]
 #: Rounds in which a list's members meet one of them, and rounds of likeliest pairs before all that are left.
-ROUNDS, LIKELIEST = 2, 3
+ROUNDS, LIKELIEST = 3, 1
 #: Members of one component in a list, from which on they do not meet each other at all.
 CROWD = 64
 SET = ["n", "d1", "d2"]
@@ -116,14 +116,14 @@ def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
 
 
 def rare_lists(classes: DataFrame, near: int) -> DataFrame:
-    """(value, node, n, pop, odd sketch): of the sketch values of each set that others have, the rarest,
-    as many as it must share one of: all but those needed, and one more. ``pop``: how common they all are."""
+    """(value, node, pop): of the sketch values of each set that others have, the rarest, as many as it
+    must share one of: all but those needed, and one more. ``pop``: how common they all are."""
     values = classes.select("node", F.explode("sketch").alias("value"))
     common = values.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     held = values.join(common, "value").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("held"), F.sum("df").alias("pop"))
-    both = held.join(classes.select("node", "n", *ODD), "node").withColumn("spare", F.size("held") - needed(F.col("n"), near))
+    both = held.join(classes.select("node", "n"), "node").withColumn("spare", F.size("held") - needed(F.col("n"), near))
     rarest = F.slice("held", 1, F.col("spare").cast("int") + 1)
-    return both.filter("spare >= 0").select("node", "n", "pop", *ODD, F.explode(rarest).alias("v")).select("v.value", "node", "n", "pop", *ODD)
+    return both.filter("spare >= 0").select("node", "pop", F.explode(rarest).alias("v")).select("v.value", "node", "pop")
 
 
 def possible(x: str, y: str, near: int) -> Column:
@@ -153,22 +153,20 @@ def led(lists: DataFrame, round_: int, near: int) -> DataFrame:
 def across(lists: DataFrame, near: int) -> DataFrame:
     """The possible pairs (a, b) of members of different components in each list.
 
-    Where a list has many members of one component, these meet the others only.
+    Where a list has a crowd, many members of one component, these do not meet each other. Whoever
+    shares a list with a crowd meets all of the component's crowd once, not again in each list.
     """
     crowds = lists.groupBy("value", "comp").agg(F.count("*").alias("m")).filter(F.col("m") >= CROWD).select("value", "comp")
     few = lists.join(crowds, ["value", "comp"], "left_anti")
-    many = lists.join(crowds, ["value", "comp"], "left_semi")
-    apart = F.col("x.comp") != F.col("y.comp")
-    same = F.col("x.value") == F.col("y.value")
-    once = F.col("x.node") < F.col("y.node")
-    found = few.alias("x").join(few.alias("y"), same & once & apart & possible("x", "y", near)).select(*ordered("x", "y"))
-    found = found.unionByName(few.alias("x").join(many.alias("y"), same & apart & possible("x", "y", near)).select(*ordered("x", "y")))
-    # Two crowds of a list: one row a pair of them, then the members of both.
-    two = crowds.alias("x").join(crowds.alias("y"), same & (F.col("x.comp") < F.col("y.comp")))
-    two = two.select("x.value", F.col("x.comp").alias("comp"), F.col("y.comp").alias("other"))
-    first = many.join(two, ["value", "comp"]).drop("comp")
-    match = same & (F.col("x.other") == F.col("y.comp")) & possible("x", "y", near)
-    return found.unionByName(first.alias("x").join(many.alias("y"), match).select(*ordered("x", "y"))).distinct()
+    many = lists.join(crowds, ["value", "comp"], "left_semi").select("comp", "node", "n", *ODD).dropDuplicates(["node"])
+    apart, same = F.col("x.comp") != F.col("y.comp"), F.col("x.value") == F.col("y.value")
+    found = few.alias("x").join(few.alias("y"), same & (F.col("x.node") < F.col("y.node")) & apart & possible("x", "y", near)).select(*ordered("x", "y"))
+
+    beside = few.alias("x").join(crowds.alias("y"), same & apart).select("x.node", "x.n", *[f"x.{o}" for o in ODD], F.col("y.comp").alias("other")).dropDuplicates(["node", "other"])
+    two = crowds.alias("x").join(crowds.alias("y"), same & (F.col("x.comp") < F.col("y.comp"))).select(F.col("x.comp").alias("comp"), F.col("y.comp").alias("other")).distinct()
+    beside = beside.unionByName(many.join(two, "comp").drop("comp"))
+    met = beside.alias("x").join(many.alias("y"), (F.col("x.other") == F.col("y.comp")) & possible("x", "y", near)).select(*ordered("x", "y"))
+    return found.unionByName(met).distinct()
 
 
 def estimated(pairs: DataFrame, classes: DataFrame, near: int) -> DataFrame:
@@ -183,7 +181,8 @@ def estimated(pairs: DataFrame, classes: DataFrame, near: int) -> DataFrame:
 
 
 def full_sets(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
-    """(node, n, values): all shingle hashes of the classes (node, rep, n, d1, d2), read from their texts."""
+    """(node, n, values): all shingle hashes of the staged classes (node, rep, n, d1, d2), read from their
+    texts. Texts stay where they are as long as the classes are few enough to be broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, raw in blocks(batches):
@@ -194,7 +193,7 @@ def full_sets(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), lists], ["rep", *SET, "values"])
 
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    texts = texts.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = texts.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     found = texts.select("doc_id", "text").mapInArrow(run, "rep long, n long, d1 long, d2 long, values array<long>")
     return found.join(classes, ["rep", *SET]).select("node", "n", "values").dropDuplicates(["node"])
 
@@ -202,12 +201,13 @@ def full_sets(documents: DataFrame, classes: DataFrame, size: int) -> DataFrame:
 def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, size: int, near: int) -> DataFrame:
     """The staged pairs (a, b) whose full sets are at least ``near`` hundredths alike."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = stage(full_sets(documents, classes.join(nodes, "node", "left_semi").select("node", "rep", *SET), size), "full")
+    wanted = stage(classes.select("node", "rep", *SET).join(nodes, "node", "left_semi"), "wanted")
+    sets = stage(full_sets(documents, wanted, size), "full")
     left, right = sets.toDF("a", "na", "va"), sets.toDF("b", "nb", "vb")
     common = F.size(F.array_intersect("va", "vb"))
     alike = common * 100 >= (F.col("na") + F.col("nb") - common) * near
     found = stage(pairs.select("a", "b").join(left, "a").join(right, "b").filter(alike).select("a", "b"), "linked")
-    unstage(sets)
+    unstage(sets, wanted)
     return found
 
 
@@ -231,10 +231,11 @@ class Links:
         return rows.join(self.comps.toDF(node, comp), node, "left").withColumn(comp, F.coalesce(comp, node))
 
     def open_lists(self, lists: DataFrame) -> DataFrame:
-        """The lists whose members are in more than one component, with ``comp``."""
+        """The lists whose members are in more than one component, with ``comp``, sizes and odd sketches."""
         held = self.labelled(lists)
         split = held.groupBy("value").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("value")
-        return stage(held.join(split, "value", "left_semi"), "open")
+        held = held.join(split, "value", "left_semi")
+        return stage(held.join(self.classes.select("node", "n", *ODD), "node"), "open")
 
     def fresh(self, pairs: DataFrame) -> DataFrame:
         """The pairs that were not tried and are not in one component."""
@@ -275,6 +276,8 @@ def near_components(documents: DataFrame, size: int, near: int = 80) -> DataFram
     classes = sets.filter("n > 0 and doc_id is not null").groupBy(*SET).agg(F.min("doc_id").alias("rep"), F.first(F.struct("sketch", *ODD)).alias("s"))
     # The first classes by id get the least nodes; staged, since the numbers hold for one run only.
     classes = stage(classes.select(F.monotonically_increasing_id().alias("node"), "rep", *SET, "s.*"), "classes")
+    slim = stage(sets.select("doc_id", *SET), "sets")
+    unstage(sets)
     lists = stage(rare_lists(classes, near), "lists")
 
     links = Links(documents, classes, size, near)
@@ -300,9 +303,9 @@ def near_components(documents: DataFrame, size: int, near: int = 80) -> DataFram
     labels = links.labelled(classes.select("node", "rep", *SET))
     least = labels.groupBy("comp").agg(F.min("rep").alias("least"))
     classed = labels.join(least, "comp").select(*SET, "least")
-    result = sets.select("doc_id", *SET).join(classed, SET, "left")
+    result = slim.join(classed, SET, "left")
     result = stage(result.select("doc_id", *SET, F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("comp")), "labels")
-    unstage(sets, classes, guessed)
+    unstage(slim, classes, guessed)
     links.drop()
     return result
 
