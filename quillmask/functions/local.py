@@ -169,3 +169,15 @@ class LocalEngine:
 
     def redact(self, text: str) -> str:
         return spliced(text, self.detect(text), self.settings.policy)
+
+
+class Later:
+    """Makes its engine at the first call, so a task makes one, whatever its number of batches or keys."""
+
+    def __init__(self, settings: Settings):
+        self.settings, self.engine = settings, None
+
+    def __call__(self) -> LocalEngine:
+        if self.engine is None:
+            self.engine = LocalEngine(self.settings)
+        return self.engine

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillmask.functions.entities import SPAN_DDL, SPAN_FIELDS, Settings
 from quillmask.functions.entities import settings as make_settings
-from quillmask.functions.local import LocalEngine
+from quillmask.functions.local import Later, LocalEngine
 from quillmask.functions.patterns import HAS_DIGIT
 from quillmask.operators.arrow_tiers import detectors, python_spans
 from quillmask.operators.policy import applied
@@ -17,6 +17,14 @@ from quillmask.operators.tiers import native_tiers, none
 from quillmask.session import ship_package
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that none of the columns has, for helper columns beside them."""
+    lead = "_quill_"
+    while any(c.lower().startswith(lead) for c in columns):
+        lead += "_"
+    return lead
+
+
 class Masker:
     """Finds and rewrites sensitive text in a column.
 
@@ -31,16 +39,17 @@ class Masker:
 
     def candidates(self, frame: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
         """Adds every tier's candidates, before scoring."""
-        column = F.col(text)
-        tiers = native_tiers(text, self.settings, F.col("_digits"))
+        column, lead = F.col(text), free_prefix(frame.columns)
+        digits, by_python = f"{lead}digits", f"{lead}python"
+        tiers = {lead + name: tier for name, tier in native_tiers(text, self.settings, F.col(digits)).items()}
         python = detectors(self.settings)
-        wide = frame.withColumn("_digits", column.rlike(HAS_DIGIT)).select("*", *[c.alias(n) for n, c in tiers.items()])
+        wide = frame.withColumn(digits, column.rlike(HAS_DIGIT)).select("*", *[c.alias(n) for n, c in tiers.items()])
         if python:
             ship_package(frame.sparkSession)
-            wide = wide.withColumn("_python", python_spans(column, python))
-        names = [*tiers, *["_python"] * bool(python)]
+            wide = wide.withColumn(by_python, python_spans(column, python))
+        names = [*tiers, *[by_python] * bool(python)]
         joined = F.concat(*map(F.col, names)) if names else none()
-        return wide.withColumn(out, joined).drop("_digits", *names)
+        return wide.withColumn(out, joined).drop(digits, *names)
 
     def scored(self, frame: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
         """Candidates with context applied and the unsure left out."""
@@ -63,15 +72,17 @@ class Masker:
     def spans(self, frame: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         """One row a detection: keys, ord (place in the document) and the detection's fields; a field
         that has a key's name is called span_ and its name."""
-        found = self.detect(frame.select(*dict.fromkeys([*keys, text])), text, "_d")
-        rows = found.select(*keys, F.posexplode("_d").alias("_ord", "_s"))
-        fields = [F.col("_ord").alias("span_ord" if "ord" in keys else "ord"), *[F.col(f"_s.{f}").alias(f"span_{f}" if f in keys else f) for f in SPAN_FIELDS]]
+        lead = free_prefix(keys + [text])
+        found = self.detect(frame.select(*dict.fromkeys([*keys, text])), text, f"{lead}d")
+        rows = found.select(*keys, F.posexplode(f"{lead}d").alias(f"{lead}ord", f"{lead}s"))
+        fields = [F.col(f"{lead}ord").alias("span_ord" if "ord" in keys else "ord"), *[F.col(f"{lead}s.{f}").alias(f"span_{f}" if f in keys else f) for f in SPAN_FIELDS]]
         return rows.select(*keys, *fields)
 
     def summary(self, frame: DataFrame, by: list[str] | None = None, text: str = "text") -> DataFrame:
         """How many detections of each type, by the given columns."""
-        found = self.detect(frame.select(*dict.fromkeys([*(by or []), text])), text, "_d")
-        rows = found.select(*(by or []), F.explode("_d").alias("_s")).select(*(by or []), F.col("_s.entity_type").alias("entity_type"))
+        lead = free_prefix([*(by or []), text])
+        found = self.detect(frame.select(*dict.fromkeys([*(by or []), text])), text, f"{lead}d")
+        rows = found.select(*(by or []), F.explode(f"{lead}d").alias(f"{lead}s")).select(*(by or []), F.col(f"{lead}s.entity_type").alias("entity_type"))
         return rows.groupBy(*(by or []), "entity_type").agg(F.count("*").alias("n"))
 
     # -- strings ----------------------------------------------------------
@@ -100,16 +111,16 @@ def public(spans: Column) -> Column:
 def register_sql(spark: SparkSession, masker: Masker) -> None:
     """SQL functions ``quill_redact(text)`` and ``quill_count(text)``, in Arrow batches."""
     ship_package(spark)
-    chosen = masker.settings
+    engine_of = Later(masker.settings)
 
     @F.pandas_udf("string")
     def quill_redact(texts: pd.Series) -> pd.Series:
-        engine = LocalEngine(chosen)
+        engine = engine_of()
         return texts.map(lambda t: None if t is None else engine.redact(t))
 
     @F.pandas_udf("int")
     def quill_count(texts: pd.Series) -> pd.Series:
-        engine = LocalEngine(chosen)
+        engine = engine_of()
         return texts.map(lambda t: 0 if t is None else len(engine.detect(t)))
 
     spark.udf.register("quill_redact", quill_redact)

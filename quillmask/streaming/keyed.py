@@ -1,8 +1,11 @@
 """Chunk streams through Structured Streaming: keyed state holds each document's window.
 
-Input rows are (doc_id, chunk_no, text, is_last). Chunks of a document may come in any order within
-and across batches; a chunk ahead of its turn waits in the state, and one seen before is dropped. The
-document ends with ``is_last``; without it, a processing-time timeout gives out what is held.
+Input rows are (doc_id, chunk_no, text, is_last), ids of any atomic type. Chunks of a document may come
+in any order within and across batches; a chunk ahead of its turn waits in the state, and one seen before
+is dropped. The document ends with ``is_last``; what is left of its state is a mark of a few bytes, by
+which replayed chunks are known and dropped. A processing-time timeout, if set, gives out what is held
+by documents without ``is_last`` and removes marks. Chunks wait as long as an earlier one is missing, so
+without a timeout a document whose first chunk never comes stays in the state.
 """
 
 from __future__ import annotations
@@ -12,18 +15,22 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillmask.functions.entities import SPAN_DDL, Settings
-from quillmask.functions.local import LocalEngine, Span, spliced
+from quillmask.functions.local import Later, LocalEngine, Span, spliced
 from quillmask.session import ship_package
 from quillmask.streaming.windows import Window
 
-SEGMENT = f"doc_id long, seg_no int, base_offset long, segment string, redacted string, detections array<{SPAN_DDL}>"
+SEGMENT = f"seg_no int, base_offset long, segment string, redacted string, detections array<{SPAN_DDL}>"
+NAMES = ["doc_id", "seg_no", "base_offset", "segment", "redacted", "detections"]
+#: The next chunk of a document that has ended.
+ENDED = -1
 STATE = "context string, held string, base long, next_chunk long, seg_no int, waiting string"
 
 
-def _row(doc_id: int, seg_no: int, given: tuple[int, str, list[Span]], engine: LocalEngine) -> dict:
+def _row(doc_id, seg_no: int, given: tuple[int, str, list[Span]], engine: LocalEngine) -> dict:
     base, segment, spans = given
     found = [{"start": s.start, "end": s.end, "text": s.text, "entity_type": s.entity_type, "confidence": s.confidence, "source": s.source, "meta": s.meta} for s in spans]
     return {"doc_id": doc_id, "seg_no": seg_no, "base_offset": base, "segment": segment, "redacted": spliced(segment, spans, engine.settings.policy), "detections": found}
@@ -32,10 +39,17 @@ def _row(doc_id: int, seg_no: int, given: tuple[int, str, list[Span]], engine: L
 def redact_chunks(chunks: DataFrame, settings: Settings, timeout_ms: int | None = None) -> DataFrame:
     """Segments of every document, in order of ``seg_no``; works on a stream or a table of chunks."""
     ship_package(chunks.sparkSession)
+    engine_of = Later(settings)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        engine = LocalEngine(settings)
         context, held, base, turn, seg_no, waiting = state.get if state.exists else ("", "", 0, 0, 0, "{}")
+        if turn == ENDED:
+            if state.hasTimedOut:
+                state.remove()
+            elif timeout_ms:
+                state.setTimeoutDuration(timeout_ms)
+            return
+        engine = engine_of()
         window, ahead = Window(settings.overlap, context, held, base), {int(k): v for k, v in json.loads(waiting).items()}
         rows, done = [], False
         for frame in frames:
@@ -49,32 +63,55 @@ def redact_chunks(chunks: DataFrame, settings: Settings, timeout_ms: int | None
                 rows.append(_row(key[0], seg_no + len(rows), given, engine))
         if (done or state.hasTimedOut) and (given := window.finish(engine.detect)):
             rows.append(_row(key[0], seg_no + len(rows), given, engine))
-        if done or state.hasTimedOut:
-            if state.exists:
-                state.remove()
+        if state.hasTimedOut:
+            state.remove()
         else:
-            state.update((window.context, window.held, window.base, turn, seg_no + len(rows), json.dumps(ahead)))
+            state.update(("", "", 0, ENDED, 0, "{}") if done else (window.context, window.held, window.base, turn, seg_no + len(rows), json.dumps(ahead)))
             if timeout_ms:
                 state.setTimeoutDuration(timeout_ms)
         if rows:
             yield pd.DataFrame(rows)
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
-    return chunks.groupBy("doc_id").applyInPandasWithState(step, SEGMENT, STATE, "append", timeout)
+    kind = chunks.schema["doc_id"].dataType.simpleString()
+    return chunks.groupBy("doc_id").applyInPandasWithState(step, f"doc_id {kind}, {SEGMENT}", STATE, "append", timeout)
 
 
 def redact_chunk_table(chunks: DataFrame, settings: Settings) -> DataFrame:
-    """The same segments from a finished table of chunks, a document a group."""
+    """The same segments from a finished table of chunks.
+
+    Each document's chunks stand together in order and pass through its window one by one, so a task
+    holds a batch of chunks and a window, however long a document is.
+    """
     ship_package(chunks.sparkSession)
+    engine_of = Later(settings)
+    kind = chunks.schema["doc_id"].dataType
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        engine, window = LocalEngine(settings), Window(settings.overlap)
-        rows = []
-        for text in frame.sort_values("chunk_no")["text"]:
-            if given := window.push(text or "", engine.detect):
-                rows.append(_row(key[0], len(rows), given, engine))
-        if given := window.finish(engine.detect):
-            rows.append(_row(key[0], len(rows), given, engine))
-        return pd.DataFrame(rows, columns=["doc_id", "seg_no", "base_offset", "segment", "redacted", "detections"])
-
-    return chunks.groupBy("doc_id").applyInPandas(run, SEGMENT)
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        engine, window, seg_no = engine_of(), None, 0
+        current: str | None = None
+
+        def segment(given: tuple[int, str, list[Span]] | None) -> list[dict]:
+            nonlocal seg_no
+            if not given:
+                return []
+            seg_no += 1
+            return [_row(current, seg_no - 1, given, engine)]
+
+        for frame in frames:
+            rows: list[dict] = []
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                doc_id = doc_id if isinstance(doc_id, str) else None
+                if window is None or doc_id != current:
+                    if window is not None:
+                        rows += segment(window.finish(engine.detect))
+                    current, window, seg_no = doc_id, Window(settings.overlap), 0
+                rows += segment(window.push(text if isinstance(text, str) else "", engine.detect))
+            if rows:
+                yield pd.DataFrame(rows, columns=NAMES)
+        if window is not None and (rows := segment(window.finish(engine.detect))):
+            yield pd.DataFrame(rows, columns=NAMES)
+
+    ordered = chunks.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_no")
+    found = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, f"doc_id string, {SEGMENT}")
+    return found.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -182,3 +182,12 @@ def test_spans_with_clashing_names_and_empty_table(spark):
 def test_sql_functions(spark):
     register_sql(spark, Masker())
     assert spark.sql("SELECT quill_redact('to a@b.io') AS r, quill_count(null) AS n").first() == ("to [REDACTED]", 0)
+
+
+def test_columns_of_the_caller_stay(spark):
+    masker = Masker(custom_words=["Falcon"])
+    names = ["_digits", "_shape0", "_words", "_entropy", "_bare", "_python", "_d", "_s", "_quill_digits", "candidates"]
+    frame = spark.createDataFrame([("to joe@corp.io, Falcon", *names)], ", ".join(["text string", *[f"{n} string" for n in names]]))
+    row = masker.redact(frame).first()
+    assert [row[n] for n in names] == names and row["redacted"] == masker.redact_text("to joe@corp.io, Falcon")
+    assert masker.spans(frame, ["_d", "_s"]).count() == 2 and {r["n"] for r in masker.summary(frame, ["_d"]).collect()} == {1}

@@ -12,30 +12,38 @@ from pyspark.sql import functions as F
 from quillmask import cli
 from quillmask.functions import netguard
 from quillmask.functions.entities import Policy, settings
-from quillmask.functions.local import LocalEngine
+from quillmask.functions.local import Later, LocalEngine
 from quillmask.operators import arrow_tiers, evaluate
 from quillmask.operators.engine import Masker
 from quillmask.sources import config, corpora, files
 from quillmask.streaming import halo, keyed
 from quillmask.streaming.windows import segments
 
-TEXT = ("mail ann@corp.io on 2024-05-06, card 4111 1111 1111 1111\nssn 219-09-9999 at 10.1.2.3\n" + "key AKIA" + "ABCDEFGHIJKLMNOP end\n") * 5
+def _generated(seed: int, parts: int = 40) -> str:
+    rng = random.Random(seed)
+    bits = ["kim@example.org", "5500 0000 0000 0004", "social security 219-09-9999", "172.16.0.9", "sk_live_" + "a1B2" * 6, "no news", "\n", "é", "z" * 30]
+    return " ".join(rng.choice(bits) for _ in range(parts))
 
 
-@pytest.mark.parametrize("size", [1, 3, 7, 16, 64, 256, 10_000])
-def test_chunks_equal_whole(size):
-    chosen = settings(overlap=128)
-    chunks = [TEXT[i : i + size] for i in range(0, len(TEXT), size)]
-    assert "".join(files.redact_stream(chunks, chosen)) == LocalEngine(chosen).redact(TEXT)
+TEXT = _generated(7)
 
 
-def test_window_edges():
+@pytest.mark.parametrize("seed", range(6))
+def test_any_split_equals_whole(seed):
+    rng, text, chosen = random.Random(seed), _generated(seed), settings(overlap=128)
+    cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.choice((0, 2, 9, 60, 400))))
+    chunks = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+    assert "".join(files.redact_stream(chunks, chosen)) == LocalEngine(chosen).redact(text)
+
+
+def test_segments_add_up():
     engine = LocalEngine(settings(types=["email"]))
-    text = "x" * 50 + " a@corp.io " + "y" * 50
-    found = [(base + s.start, s.text) for base, _, spans in segments([text[i : i + 20] for i in range(0, len(text), 20)], engine.detect, 16) for s in spans]
-    assert found == [(51, "a@corp.io")]
-    assert list(segments(["", ""], engine.detect, 4)) == []
-    assert [s for _, s, _ in segments(["ab", "", "cd"], engine.detect, 0)] == ["ab", "cd"]
+    text = _generated(3)
+    at = 0
+    for base, segment, spans in segments([text[i : i + 33] for i in range(0, len(text), 33)], engine.detect, 32):
+        assert base == at and all(segment[s.start : s.end] == s.text for s in spans)
+        at += len(segment)
+    assert at == len(text) and list(segments(["", ""], engine.detect, 4)) == []
     with pytest.raises(ValueError):
         segments([], engine.detect, -1)
 
@@ -56,7 +64,7 @@ def test_keyed_state(spark, tmp_path):
     random.Random(1).shuffle(rows)
     source = tmp_path / "in"
     schema = "doc_id long, chunk_no long, text string, is_last boolean"
-    for part in (rows[::2], rows[1::2]):
+    for part in (rows[::2], rows[1::2], rows[:7]):  # the last ones come again after the end
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     query = keyed.redact_chunks(stream, chosen).writeStream.format("memory").queryName("kept").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
@@ -80,6 +88,25 @@ def test_ranges_equal_whole(spark):
         assert got == {i: t if t is None else masker.redact_text(t) for i, t in enumerate(texts)}
 
 
+def test_ranges_of_texts_without_an_id_or_that_share_one(spark):
+    rows = [(None, "mail joe@corp.io now", 1), (None, "no mail", 2), (2, "a@b.io xx yyyy", 3), (2, "wwwwwwwwwwww q@z.io", 4), (2, "a@b.io xx yyyy", 5), (3, None, 6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, found int").withColumn("_text1", F.lit(0))
+    masker = Masker()
+    got = sorted(((r["doc_id"] or 0, r["redacted"], len(r["detections"])) for r in halo.halo_redact(frame, masker, 8, 4).collect()), key=str)
+    want = sorted(((i or 0, t if t is None else masker.redact_text(t), 0 if t is None else len(masker.detect_text(t))) for i, t, _ in rows), key=str)
+    assert got == want and sum(n for *_, n in got) == 4
+
+
+def test_chunk_table_keys_and_engines(spark):
+    rows = [(k, i, t, i == 2) for k in ("a", "b", None) for i, t in enumerate(("to kim@exa", None, "mple.org ok"))]
+    frame = spark.createDataFrame(rows, "doc_id string, chunk_no int, text string, is_last boolean").repartition(3)
+    got = keyed.redact_chunk_table(frame, settings(overlap=64)).collect()
+    for k in ("a", "b", None):
+        assert "".join(r["redacted"] for r in sorted((r for r in got if r["doc_id"] == k), key=lambda r: r["seg_no"])) == "to [REDACTED] ok"
+    later = Later(settings())
+    assert later() is later()
+
+
 def test_tree_and_texts(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / ".hidden").write_text("a@b.io")
