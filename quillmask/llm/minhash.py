@@ -346,3 +346,19 @@ def one_of_each(documents: DataFrame, size: int = 5, near: int = 80) -> DataFram
 def op7_near_duplicates(spark, sf_dir) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), 2)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), (F.col("doc_id") == F.col("comp")).alias("kept"))
+
+
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM w WHERE len(w) >= 2)
+      UNION ALL SELECT doc_id, w[1] FROM w WHERE len(w) = 1),
+s AS (SELECT w.doc_id, count(t.t) AS n FROM w LEFT JOIN t ON w.doc_id = t.doc_id GROUP BY w.doc_id),
+x AS (SELECT t.doc_id, n, t FROM t JOIN s ON t.doc_id = s.doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM x a JOIN x b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a),
+m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, CAST(s.n AS BIGINT) AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept FROM s JOIN m ON s.doc_id = m.doc_id
+"""

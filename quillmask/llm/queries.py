@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_substring_dedup": substrings.SQL,
     "op4_mix_sources": mixing.SQL,
     "op5_line_dedup": lines.SQL,
+    "op7_near_duplicates": minhash.SQL,
 }

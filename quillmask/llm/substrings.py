@@ -9,8 +9,10 @@ window exactly. A bucket with more than ``BUCKET`` strings is not gathered: its
 aggregated by their digests over all tasks.
 
 A word goes if a window that covers it also starts in a document with a smaller doc_id. Null texts
-have no words; rows without a doc_id lose nothing; rows with equal ids are one document; an empty
-table gives an empty result; other columns are not read.
+have no words; rows without a doc_id lose nothing; rows with equal ids and texts are one document; rows
+with equal ids and different texts are each cut by themselves and take nothing from each other; an empty
+table gives an empty result; other columns are not read. A text is worked on whole, with some 30 bytes of
+arrays for each of its bytes.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ WINDOW, MINI = 50, 12
 #: Most strings of one bucket that a task gathers.
 BUCKET = 2000
 
-SCANNED = "doc_id long, n_words long, kept_sha256 string, keys array<long>, starts array<int>, windows array<int>"
+#: A document: its id and 64 bits of its text's hash, for ids that several texts share.
+ROW = ["doc_id", "text_key"]
+SCANNED = "doc_id long, text_key long, n_words long, kept_sha256 string, keys array<long>, starts array<int>, windows array<int>"
 
 
 def super_kmers(texts: list[bytes], window: int = WINDOW, mini: int = MINI) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,17 +67,21 @@ def scan(documents: DataFrame) -> DataFrame:
             cut = pa.array(np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32))
             whole = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts]
             lists = [pa.ListArray.from_arrays(cut, pa.array(v)) for v in (key.view(np.int64), start.astype(np.int32), n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(count.astype(np.int64)), pa.array(whole), *lists], [c.split()[0] for c in SCANNED.split(", ")])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(count.astype(np.int64)), pa.array(whole), *lists], [c.split()[0] for c in SCANNED.split(", ")])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCANNED)
+    return _rows(documents).mapInArrow(run, SCANNED)
 
 
-def _packed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(doc_id, minimiser, first window, windows, packed string) of a batch of (doc_id, text, hits)."""
-    for doc_id, text, hits in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+def _rows(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
+
+
+def _packed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int, bytes]]:
+    """(doc_id, text_key, minimiser, first window, windows, packed string) of (doc_id, text_key, text, hits)."""
+    for doc_id, text_key, text, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
         words = text.split()
         for hit in hits:
-            yield doc_id, hit["key"], hit["start"], hit["windows"], b" ".join(words[hit["start"] : hit["start"] + hit["windows"] + WINDOW - 1])
+            yield doc_id, text_key, hit["key"], hit["start"], hit["windows"], b" ".join(words[hit["start"] : hit["start"] + hit["windows"] + WINDOW - 1])
 
 
 def _windows(packed: bytes) -> list[bytes]:
@@ -148,38 +156,38 @@ def spread(strings: DataFrame) -> DataFrame:
 
 def repeats(documents: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The texts that share a minimiser with another document, and the word ranges that go from them."""
-    flat = scanned.filter("doc_id is not null and size(keys) > 0").select("doc_id", F.explode(F.arrays_zip("keys", "starts", "windows")).alias("s"))
-    flat = flat.select("doc_id", F.col("s.keys").alias("key"), F.col("s.starts").alias("start"), F.col("s.windows").alias("windows"))
+    flat = scanned.filter("doc_id is not null and size(keys) > 0").select(*ROW, F.explode(F.arrays_zip("keys", "starts", "windows")).alias("s"))
+    flat = flat.select(*ROW, F.col("s.keys").alias("key"), F.col("s.starts").alias("start"), F.col("s.windows").alias("windows"))
     shared = flat.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
-    hits = flat.join(shared, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "start", "windows")).alias("hits"))
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    held = stage(base.join(hits, "doc_id").select("doc_id", "text", "hits"), "shared")
+    hits = flat.join(shared, "key").groupBy(*ROW).agg(F.collect_set(F.struct("key", "start", "windows")).alias("hits"))
+    base = _rows(documents).filter("text is not null").join(hits, ROW)
+    held = stage(base.select(*ROW, "text", "hits"), "shared")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = [(key, packed, doc_id) for doc_id, key, _, _, packed in _packed(batch.slice(at, 256))]
+                rows = [(key, packed, doc_id) for doc_id, _, key, _, _, packed in _packed(batch.slice(at, 256))]
                 cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()).cast(pa.string()), pa.array(cols[2], pa.int64())], ["key", "packed", "doc_id"])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                rows = [(_digest(packed), doc_id, start, n) for doc_id, _, start, n, packed in _packed(batch.slice(at, 256))]
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["digest", "doc_id", "start", "n"])
+                rows = [(_digest(packed), doc_id, text_key, start, n) for doc_id, text_key, _, start, n, packed in _packed(batch.slice(at, 256))]
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["digest", *ROW, "start", "n"])
 
     strings = stage(held.mapInArrow(pack, "key long, packed string, doc_id long").groupBy("key", "packed").agg(F.min("doc_id").alias("least")), "strings")
     crowded = stage(strings.groupBy("key").count().filter(F.col("count") > BUCKET).select("key"), "crowded")
     covered = gathered(strings.join(crowded, "key", "left_anti")).unionByName(spread(strings.join(crowded, "key", "left_semi")))
-    met = held.mapInArrow(place, "digest binary, doc_id long, start int, n int").join(covered, "digest")
+    met = held.mapInArrow(place, "digest binary, doc_id long, text_key long, start int, n int").join(covered, "digest")
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b")))
     some = F.transform("covered", lambda j: F.struct((F.col("start") + j).alias("a"), (F.col("start") + j + WINDOW).alias("b")))
-    ranges = met.select("doc_id", F.when(F.col("doc_id") > F.col("least"), whole).otherwise(some).alias("ranges")).filter("size(ranges) > 0")
-    return held.select("doc_id", "text"), ranges.groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    ranges = met.select(*ROW, F.when(F.col("doc_id") > F.col("least"), whole).otherwise(some).alias("ranges")).filter("size(ranges) > 0")
+    return held.select(*ROW, "text"), ranges.groupBy(*ROW).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
-KEPT = "doc_id long, n_removed long, kept_sha256 string, kept string"
+KEPT = "doc_id long, text_key long, n_removed long, kept_sha256 string, kept string"
 
 
 def kept_words(held: DataFrame, ranges: DataFrame, with_text: bool = False) -> DataFrame:
@@ -188,27 +196,41 @@ def kept_words(held: DataFrame, ranges: DataFrame, with_text: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text, cut in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            for doc_id, text_key, text, cut in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, [r["a"] for r in cut], 1)
                 np.add.at(edge, [r["b"] for r in cut], -1)
                 stays = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                 left = b" ".join(map(words.__getitem__, stays.tolist()))
-                rows.append((doc_id, len(words) - len(stays), hashlib.sha256(left).hexdigest(), left.decode() if with_text else None))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_removed", "kept_sha256", "kept"])
+                rows.append((doc_id, text_key, len(words) - len(stays), hashlib.sha256(left).hexdigest(), left.decode() if with_text else None))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], [*ROW, "n_removed", "kept_sha256", "kept"])
 
-    return held.join(ranges, "doc_id").select("doc_id", "text", "ranges").mapInArrow(run, KEPT)
+    return held.join(ranges, ROW).select(*ROW, "text", "ranges").mapInArrow(run, KEPT)
 
 
 def substring_dedup(documents: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with text the kept words of documents that lost some."""
     scanned = stage(scan(documents), "scanned")
-    less = kept_words(*repeats(documents, scanned), with_text).dropDuplicates(["doc_id"]).select("doc_id", "n_removed", F.col("kept_sha256").alias("sha"), "kept")
-    result = scanned.select("doc_id", "n_words", "kept_sha256").join(less, "doc_id", "left")
+    less = kept_words(*repeats(documents, scanned), with_text).dropDuplicates(ROW).select(*ROW, "n_removed", F.col("kept_sha256").alias("sha"), "kept")
+    result = scanned.select(*ROW, "n_words", "kept_sha256").join(less, ROW, "left")
     return result.select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("sha", "kept_sha256").alias("kept_sha256"), *["kept"] * with_text)
 
 
 def op3_substring_dedup(spark, sf_dir) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM d),
+k AS (SELECT doc_id, pos, md5(array_to_string(w[pos : pos + 49], ' ')) AS key FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS pos FROM d WHERE len(w) >= 50)),
+f AS (SELECT key, min(doc_id) AS first_doc FROM k GROUP BY key HAVING min(doc_id) < max(doc_id)),
+b AS (SELECT k.doc_id, k.pos FROM k JOIN f ON k.key = f.key AND k.doc_id > f.first_doc),
+c AS (SELECT p.doc_id, p.pos, p.word, max(b.pos) OVER (PARTITION BY p.doc_id ORDER BY p.pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+      FROM p LEFT JOIN b ON p.doc_id = b.doc_id AND p.pos = b.pos),
+r AS (SELECT doc_id, count(*) AS n_words, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (gone IS NULL) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""

@@ -168,6 +168,13 @@ def test_substrings(documents, empty, rows, bucket, monkeypatch):
         assert substrings.substring_dedup(empty).collect() == []
 
 
+def test_substrings_of_texts_that_share_an_id(spark):
+    a, b = [f"a{i}" for i in range(73)], [f"b{i}" for i in range(71)]
+    frame = spark.createDataFrame([(1, " ".join(a)), (5, " ".join(b)), (5, " ".join(a[:60])), (5, " ".join(a[:60])), (None, " ".join(a)), (7, " ".join(b))], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in substrings.substring_dedup(frame).collect())
+    assert got == [(0, 73, 0), (1, 73, 0), (5, 60, 60), (5, 60, 60), (5, 71, 0), (7, 71, 71)]
+
+
 def _targets(sizes, weights=(5, 2, 1)):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     weight = {s: weights[k % 3] for k, s in enumerate(order)}
@@ -350,7 +357,7 @@ def test_media(documents, empty, rows):
     assert avi.digests(empty).collect() == []
 
 
-@pytest.mark.parametrize("name", ["op4_mix_sources", "op5_line_dedup"])
+@pytest.mark.parametrize("name", ["op3_substring_dedup", "op4_mix_sources", "op5_line_dedup", "op7_near_duplicates"])
 def test_queries_equal_sql(spark, name):
     from quillmask.llm.queries import ORACLE, QUERIES
 
