@@ -89,12 +89,14 @@ def digests(sets: list[np.ndarray]) -> tuple[list[int], list[int], list[int]]:
 
 def odd_sketches(sets: list[np.ndarray]) -> np.ndarray:
     """A row of longs per set: bit b is set if an odd number of its values fall on b."""
-    sets = [s if len(s) <= ODD_WHOLE else s[:K] for s in sets]
-    values = np.concatenate(sets)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bit = (mix(values ^ np.uint64(0x0DD)) % np.uint64(ODD_BITS)).astype(np.int64)
-    odd = np.bincount(row * ODD_BITS + bit, minlength=len(sets) * ODD_BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(len(sets), -1)
+    rows = []
+    for first in range(0, len(sets), 256):
+        some_ = [s if len(s) <= ODD_WHOLE else s[:K] for s in sets[first : first + 256]]
+        row = np.repeat(np.arange(len(some_)), [len(s) for s in some_])
+        bit = (mix(np.concatenate(some_) ^ np.uint64(0x0DD)) % np.uint64(ODD_BITS)).astype(np.int64)
+        odd = np.bincount(row * ODD_BITS + bit, minlength=len(some_) * ODD_BITS) & 1
+        rows.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").reshape(len(some_), -1))
+    return np.concatenate(rows)
 
 
 def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
