@@ -96,7 +96,8 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches whose texts hold about ``limit`` bytes; a longer text is a slice of its own."""
+    """Slices of the batches whose texts hold about ``limit`` bytes; a longer text is a slice of its own.
+    Between batches Arrow gives back what it holds in reserve, since workers live on from task to task."""
     for batch in batches:
         texts = as_bytes(batch.column(batch.schema.get_field_index(column)))
         first, held = 0, 0
@@ -107,3 +108,5 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             held += len(t)
         if len(texts) > first:
             yield batch.slice(first), texts[first:]
+        del batch, texts
+        pa.default_memory_pool().release_unused()
