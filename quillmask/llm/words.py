@@ -12,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -95,18 +96,20 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts hold about ``limit`` bytes; a longer text is a slice of its own.
-    Between batches Arrow gives back what it holds in reserve, since workers live on from task to task."""
+    Only a slice's texts are copied out of Arrow, and between batches Arrow gives back what it holds in
+    reserve, since workers live on from task to task."""
     for batch in batches:
-        texts = as_bytes(batch.column(batch.schema.get_field_index(column)))
+        texts = batch.column(batch.schema.get_field_index(column))
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
         first, held = 0, 0
-        for i, t in enumerate(texts):
-            if held and held + len(t) > limit:
-                yield batch.slice(first, i - first), texts[first:i]
+        for i, n in enumerate(sizes):
+            if held and held + n > limit:
+                yield batch.slice(first, i - first), as_bytes(texts.slice(first, i - first))
                 first, held = i, 0
-            held += len(t)
-        if len(texts) > first:
-            yield batch.slice(first), texts[first:]
+            held += n
+        if len(sizes) > first:
+            yield batch.slice(first), as_bytes(texts.slice(first))
         del batch, texts
         pa.default_memory_pool().release_unused()
