@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 import os
+import re
 import sys
 from typing import Any
 
@@ -117,7 +118,7 @@ def main(argv: list[str] | None = None) -> int:
         guarded = not args.allow_network and not (args.input != "-" and os.path.isdir(args.input))
         with offline(guarded):
             return (_redact if args.command == "redact" else _detect)(args, settings)
-    except (OSError, ValueError) as error:
+    except (OSError, ValueError, re.error) as error:
         print(f"quillmask: error: {error}", file=sys.stderr)
         return 1
 

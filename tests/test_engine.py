@@ -191,3 +191,10 @@ def test_columns_of_the_caller_stay(spark):
     row = masker.redact(frame).first()
     assert [row[n] for n in names] == names and row["redacted"] == masker.redact_text("to joe@corp.io, Falcon")
     assert masker.spans(frame, ["_d", "_s"]).count() == 2 and {r["n"] for r in masker.summary(frame, ["_d"]).collect()} == {1}
+
+
+def test_names_of_the_top_level():
+    import quillmask
+
+    assert all(getattr(quillmask, name) for name in quillmask.__all__) and quillmask.Masker is Masker
+    assert quillmask.LocalEngine(quillmask.Settings()).redact("to joe@corp.io") == "to [REDACTED]"
