@@ -83,12 +83,13 @@ def ordered_ids(documents: DataFrame, path: str) -> DataFrame:
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack_ = zstandard.ZstdCompressor(level=1).compress
-        for rows, texts in blocks(batches):
-            found = pieces(path, False).encode([t.decode() for t in texts])
-            ids = [np.append(np.frombuffer(b, "<u4"), np.uint32(END)) for b in found]
-            if any(len(x) and x.max() > 0xFFFF for x in ids):
-                raise ValueError("a vocabulary of more than 65,536 ids")
-            yield pa.RecordBatch.from_arrays([pa.array(range_of(rows.column(0), bounds)), rows.column(0), pa.array([pack_(x.astype("<u2").tobytes()) for x in ids], pa.binary())], ["part", "doc_id", "ids"])
+        with pieces(path, False) as tokeniser:
+            for rows, texts in blocks(batches):
+                found = tokeniser.encode([t.decode() for t in texts])
+                ids = [np.append(np.frombuffer(b, "<u4"), np.uint32(END)) for b in found]
+                if any(len(x) and x.max() > 0xFFFF for x in ids):
+                    raise ValueError("a vocabulary of more than 65,536 ids")
+                yield pa.RecordBatch.from_arrays([pa.array(range_of(rows.column(0), bounds)), rows.column(0), pa.array([pack_(x.astype("<u2").tobytes()) for x in ids], pa.binary())], ["part", "doc_id", "ids"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = None, 0

@@ -41,17 +41,18 @@ def token_pieces(documents: DataFrame, path: str, length: int = LENGTH) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
-        for rows, texts in blocks(batches):
-            out = []
-            for doc_id, ids in zip(rows.column(0).to_pylist(), pieces(path, True).encode([t.decode() for t in texts]), strict=True):
-                ids += END.to_bytes(4, "little")
-                n = len(ids) // 4
-                edges = [0, *range(n % length or length, n + 1, length)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                    out.append((uid, doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-                    uid += 1
-            kinds = [pa.int32() if c.endswith("int") else pa.int64() for c in PIECE.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in PIECE.split(", ")])
+        with pieces(path, True) as tokeniser:
+            for rows, texts in blocks(batches):
+                out = []
+                for doc_id, ids in zip(rows.column(0).to_pylist(), tokeniser.encode([t.decode() for t in texts]), strict=True):
+                    ids += END.to_bytes(4, "little")
+                    n = len(ids) // 4
+                    edges = [0, *range(n % length or length, n + 1, length)]
+                    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                        out.append((uid, doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                        uid += 1
+                kinds = [pa.int32() if c.endswith("int") else pa.int64() for c in PIECE.split(", ")]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in PIECE.split(", ")])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECE)
 

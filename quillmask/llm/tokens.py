@@ -1,20 +1,23 @@
 """Token ids of whole texts by the tokenizers library, with one encoding per distinct piece.
 
 A text is cut only where its pre-tokeniser always cuts, so the ids of the pieces in a row are the
-ids of the text. The pieces' ids are cached as little-endian unsigned 32-bit bytes per process.
+ids of the text. The pieces' ids are cached as little-endian unsigned 32-bit bytes per task.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from functools import lru_cache
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces held in a process; when it is full only those of the batch stay, which changes no result.
+from quillmask.llm.words import give_back
+
+#: Pieces held in a task; when it is full only those of the batch stay, which changes no result.
 CACHE_PIECES = 400_000
 LONG_PIECE = 200
 #: Pieces encoded as one text.
@@ -147,6 +150,13 @@ class Pieces:
         return out
 
 
-@lru_cache(maxsize=4)
-def pieces(path: str, spaced: bool) -> Pieces:
-    return Pieces(path, spaced)
+@contextmanager
+def pieces(path: str, spaced: bool) -> Iterator[Pieces]:
+    """The tokeniser of one task. Its worker lives on for other stages, so the vocabulary and the cache,
+    some 150 MB, go back to the system when the task ends."""
+    held = Pieces(path, spaced)
+    try:
+        yield held
+    finally:
+        held.__dict__.clear()
+        give_back()

@@ -6,6 +6,7 @@ depend on the word's bytes alone and agree between processes.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -96,10 +97,18 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if t is None else t for t in column.cast(pa.large_binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system; Arrow and the C library keep it in reserve otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches whose texts hold about ``limit`` bytes; a longer text is a slice of its own.
-    Only a slice's texts are copied out of Arrow, and between batches Arrow gives back what it holds in
-    reserve, since workers live on from task to task."""
+    Only a slice's texts are copied out of Arrow, and between batches freed memory goes back to the
+    system, since workers live on from task to task."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
@@ -112,4 +121,4 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
         if len(sizes) > first:
             yield batch.slice(first), as_bytes(texts.slice(first))
         del batch, texts
-        pa.default_memory_pool().release_unused()
+        give_back()
