@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.llm.staging import stage, table
+from quillmask.llm.staging import free_name, stage, table
 
 SITES = 10
 #: 2^12 registers: a standard error of 1.6 %.
@@ -50,25 +50,33 @@ def boilerplate(documents: DataFrame, sites: int = SITES) -> DataFrame:
     return found.join(exact, ["h1", "h2"], "left").filter(F.coalesce("exact", "spread") >= sites).select("h1", "h2", "first_doc")
 
 
-def deduped(documents: DataFrame, sites: int = SITES) -> DataFrame:
-    """The documents with ``kept_text``, ``n_lines`` (not blank) and ``n_removed``."""
+ADDED = ("kept_text", "n_lines", "n_removed")
+
+
+def deduped(documents: DataFrame, sites: int = SITES, added: tuple[str, str, str] = ADDED) -> DataFrame:
+    """The documents with the text that is kept, the number of lines (not blank) and of those removed,
+    as columns of the names ``added``; columns that have these names already are replaced."""
+    text, total, gone = added
+    key, lost = (free_name([*documents.columns, *added], c) for c in ("bad_doc", "bad_lines"))
     known = stage(boilerplate(documents, sites), "line-boilerplate")
     hits = lines_of(documents).join(known, ["h1", "h2"]).filter(F.col("doc_id") > F.col("first_doc"))
-    bad = hits.groupBy(F.col("doc_id").alias("bad_doc")).agg(F.collect_set(F.struct("h1", "h2")).alias("bad_lines"))
-    marked = documents.join(bad, documents["doc_id"] == bad["bad_doc"], "left")
+    bad = hits.groupBy(F.col("doc_id").alias(key)).agg(F.collect_set(F.struct("h1", "h2")).alias(lost))
+    marked = documents.join(bad, documents["doc_id"] == bad[key], "left")
     rows = F.split("text", "\n")
-    kept = F.filter(rows, lambda line: ~F.array_contains("bad_lines", line_key(line)) | ~line.rlike(INK))
+    kept = F.filter(rows, lambda line: ~F.array_contains(lost, line_key(line)) | ~line.rlike(INK))
     ink = lambda column: F.size(F.filter(F.split(column, "\n"), lambda line: line.rlike(INK)))
-    result = marked.withColumn("kept_text", F.when(F.col("bad_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    result = result.withColumn("n_lines", F.coalesce(F.when(F.col("text").isNotNull(), ink("text")), F.lit(0)).cast("long"))
-    removed = F.when(F.col("bad_lines").isNull(), F.lit(0)).otherwise(F.col("n_lines") - ink("kept_text")).cast("long")
-    return result.withColumn("n_removed", removed).drop("bad_doc", "bad_lines")
+    result = marked.withColumn(text, F.when(F.col(lost).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    result = result.withColumn(total, F.coalesce(F.when(F.col("text").isNotNull(), ink("text")), F.lit(0)).cast("long"))
+    removed = F.when(F.col(lost).isNull(), F.lit(0)).otherwise(F.col(total) - ink(text)).cast("long")
+    return result.withColumn(gone, removed).drop(key, lost)
 
 
 def without_boilerplate(documents: DataFrame, sites: int = SITES) -> DataFrame:
-    """The documents without boilerplate lines; one that consisted of nothing else goes."""
-    result = deduped(documents, sites).filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
-    return result.select(*[F.col("kept_text").alias(c) if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns])
+    """The documents without boilerplate lines; one that consisted of nothing else goes. Other columns pass."""
+    text, total, gone = added = tuple(free_name(documents.columns, c) for c in ADDED)
+    result = deduped(documents, sites, added).filter((F.col(gone) == 0) | (F.col(gone) < F.col(total)))
+    changed = {"text": F.col(text), "n_chars": F.when(F.col(gone) > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
+    return result.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in documents.columns])
 
 
 def op5_line_dedup(spark, sf_dir) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.links import components
-from quillmask.llm.staging import stage, table, unstage
+from quillmask.llm.staging import free_name, stage, table, unstage
 from quillmask.llm.words import Words, blocks, mix, runs
 
 K = 64
@@ -312,14 +312,6 @@ def near_components(documents: DataFrame, size: int, near: int = 80) -> DataFram
     return result
 
 
-def free_name(columns: list[str], wanted: str) -> str:
-    """``wanted``, with as many underscores as it takes to be none of the columns."""
-    taken = {c.lower() for c in columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
-
-
 def one_of_each(documents: DataFrame, size: int = 5, near: int = 80) -> DataFrame:
     """One document of each component, the least; of repeated rows of an id and a set, all stay.
 

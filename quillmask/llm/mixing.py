@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmask.llm.staging import stage, table
+from quillmask.llm.staging import free_name, stage, table
 
 #: Hex digits per level: 4,096 buckets a source and level.
 DIGITS = 3
@@ -123,7 +123,8 @@ def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, mo
     bounds = limits(sizes(documents), weights, most).alias("l")
     rows = documents.alias("d").join(bounds, F.col("d.source").eqNullSafe(F.col("l.source")))
     times = F.explode(F.array_repeat(F.lit(0), copies(place(F.col("d.doc_id")), most)))
-    return rows.select("d.*", times.alias("_copy")).drop("_copy")
+    spare = free_name(documents.columns, "copy")
+    return rows.select("d.*", times.alias(spare)).drop(spare)
 
 
 def op4_mix_sources(spark, sf_dir) -> DataFrame:

@@ -51,5 +51,13 @@ def unstage(*frames: DataFrame | None) -> None:
             where.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_name(columns: list[str], wanted: str) -> str:
+    """``wanted``, with as many underscores as it takes to be none of the columns."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
