@@ -12,7 +12,7 @@ from quillmask.functions.local import Later, LocalEngine
 from quillmask.functions.patterns import HAS_DIGIT
 from quillmask.operators.arrow_tiers import detectors, python_spans
 from quillmask.operators.policy import applied
-from quillmask.operators.scoring import adjusted, confident, resolved
+from quillmask.operators.scoring import adjusted, confident, exploded, resolved
 from quillmask.operators.tiers import native_tiers, none
 from quillmask.session import ship_package
 
@@ -74,7 +74,7 @@ class Masker:
         that has a key's name is called span_ and its name."""
         lead = free_prefix(keys + [text])
         found = self.detect(frame.select(*dict.fromkeys([*keys, text])), text, f"{lead}d")
-        rows = found.select(*keys, F.posexplode(f"{lead}d").alias(f"{lead}ord", f"{lead}s"))
+        rows = exploded(found, keys, f"{lead}d", f"{lead}s", f"{lead}ord")
         fields = [F.col(f"{lead}ord").alias("span_ord" if "ord" in keys else "ord"), *[F.col(f"{lead}s.{f}").alias(f"span_{f}" if f in keys else f) for f in SPAN_FIELDS]]
         return rows.select(*keys, *fields)
 
@@ -82,7 +82,7 @@ class Masker:
         """How many detections of each type, by the given columns."""
         lead = free_prefix([*(by or []), text])
         found = self.detect(frame.select(*dict.fromkeys([*(by or []), text])), text, f"{lead}d")
-        rows = found.select(*(by or []), F.explode(f"{lead}d").alias(f"{lead}s")).select(*(by or []), F.col(f"{lead}s.entity_type").alias("entity_type"))
+        rows = exploded(found, by or [], f"{lead}d", f"{lead}s").select(*(by or []), F.col(f"{lead}s.entity_type").alias("entity_type"))
         return rows.groupBy(*(by or []), "entity_type").agg(F.count("*").alias("n"))
 
     # -- strings ----------------------------------------------------------

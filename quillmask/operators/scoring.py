@@ -9,6 +9,17 @@ from quillmask.functions import patterns as P
 from quillmask.operators.tiers import NONE, before, has_word
 
 
+def exploded(frame: DataFrame, keys: list[str], spans: str, one: str, place: str | None = None) -> DataFrame:
+    """The keys and a row for each span of an array column, as ``one``; ``place`` names its index.
+
+    An inner explode lets the optimiser infer a filter on the array and push it below the projections
+    that make the array: all of detection would then stand in the filter once more, with every tier
+    repeated wherever a later step reads it. Empty arrays give a null row instead, dropped at once.
+    """
+    made = F.explode_outer(spans).alias(one) if place is None else F.posexplode_outer(spans).alias(place, one)
+    return frame.select(*keys, made).filter(F.col(one).isNotNull())
+
+
 def boosted(text: Column, span: Column) -> Column:
     """Whether a word of the span's kind stands shortly before it."""
     near, found = before(text, span["start"], P.BOOST_WINDOW), F.lit(False)
@@ -76,4 +87,4 @@ def resolved_rows(spans: DataFrame, keys: list[str]) -> DataFrame:
         return F.when(hit, kept).otherwise(F.concat(kept, F.array(r["s"])))
 
     kept = F.aggregate("_ranked", F.array().cast(f"array<{kind.simpleString()}>"), keep)
-    return grouped.select(*keys, F.explode(kept).alias("_s")).select(*keys, "_s.*")
+    return exploded(grouped.select(*keys, kept.alias("_kept")), keys, "_kept", "_s").select(*keys, "_s.*")

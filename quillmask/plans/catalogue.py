@@ -17,7 +17,7 @@ from quillmask.functions.entities import Policy, settings
 from quillmask.functions.local import CustomDetector, Span
 from quillmask.operators import evaluate, tiers
 from quillmask.operators.engine import Masker
-from quillmask.operators.scoring import resolved_rows
+from quillmask.operators.scoring import exploded, resolved_rows
 from quillmask.session import ship_package
 from quillmask.streaming import halo, keyed
 
@@ -70,7 +70,7 @@ _CARD_SQL = "regexp_extract_all(regexp_replace(text, '([0-9]{13,}) ([0-9]{13,})'
 
 def _found(frame: DataFrame, key: str, spans: Column) -> DataFrame:
     """key, match and how often."""
-    return frame.select(key, F.explode(spans).alias("s")).groupBy(key, F.col("s.text").alias("match")).agg(F.count("*").alias("n"))
+    return exploded(frame.select(key, spans.alias("c")), [key], "c", "s").groupBy(key, F.col("s.text").alias("match")).agg(F.count("*").alias("n"))
 
 
 def _scan_sql(table: str, key: str, column: str, matches: str, where: str = "true") -> str:
@@ -229,7 +229,7 @@ def context_boost(spark, sf_dir):
     from quillmask.operators.scoring import boosted
 
     found = Masker(types=("email",)).candidates(_read(spark, sf_dir, "documents", "doc_id", "text"), out="c")
-    return found.select("text", F.explode("c").alias("s")).groupBy(boosted(F.col("text"), F.col("s")).alias("boosted")).agg(F.count("*").alias("n"))
+    return exploded(found, ["text"], "c", "s").groupBy(boosted(F.col("text"), F.col("s")).alias("boosted")).agg(F.count("*").alias("n"))
 
 
 @query("context_suppress", _EMAIL_ROWS + "SELECT down AS suppressed, count(*) AS n FROM r GROUP BY ALL")
@@ -237,7 +237,7 @@ def context_suppress(spark, sf_dir):
     from quillmask.operators.scoring import suppressed
 
     found = Masker(types=("email",)).candidates(_read(spark, sf_dir, "documents", "doc_id", "text"), out="c")
-    return found.select("text", F.explode("c").alias("s")).groupBy(suppressed(F.col("text"), F.col("s")).alias("suppressed")).agg(F.count("*").alias("n"))
+    return exploded(found, ["text"], "c", "s").groupBy(suppressed(F.col("text"), F.col("s")).alias("suppressed")).agg(F.count("*").alias("n"))
 
 
 @query("confidence_filter", _EMAIL_ROWS + 'SELECT doc_id, start, m AS text, round(confidence, 6) AS confidence FROM r WHERE confidence >= 0.6')

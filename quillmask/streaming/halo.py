@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quillmask.operators.engine import Masker, public
 from quillmask.operators.policy import applied
-from quillmask.operators.scoring import resolved_rows
+from quillmask.operators.scoring import exploded, resolved_rows
 
 RANGE = "array<struct<range_no:int,own_lo:long,own_hi:long,read_lo:long,text:string>>"
 
@@ -80,7 +80,7 @@ def ranges(documents: DataFrame, size: int, overlap: int) -> DataFrame:
 def _spans(texts: DataFrame, masker: Masker, size: int | None, overlap: int | None) -> DataFrame:
     size, overlap = size or masker.settings.chunk_size, masker.settings.overlap if overlap is None else overlap
     found = masker.scored(ranges(texts, size, overlap), "text", "c")
-    rows = found.select(*KEY, "own_lo", "own_hi", "read_lo", F.explode("c").alias("s"))
+    rows = exploded(found, [*KEY, "own_lo", "own_hi", "read_lo"], "c", "s")
     start = (F.col("s.start") + F.col("read_lo")).cast("int")
     owned = rows.withColumn("s", F.col("s").withField("start", start).withField("end", (F.col("s.end") + F.col("read_lo")).cast("int")))
     owned = owned.filter((F.col("s.start") >= F.col("own_lo")) & (F.col("s.start") < F.col("own_hi"))).select(*KEY, "s.*")
