@@ -18,15 +18,18 @@ class Shape:
     group: int = 0
     #: Literals of which every match has one; DIGIT: every match has a decimal digit.
     needs: tuple[str, ...] = ()
+    #: What stands before the expression in a plan: a look at the first character, which fails sooner.
+    lead: str = ""
 
 
 DIGIT = ("<digit>",)
 HAS_DIGIT = r"\p{Nd}"
+DIGIT_LEAD = r"(?=\d)"
 
 
 # Patterns, confidences and their order, which breaks ties.
 SHAPES = (
-    Shape("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0.95, needs=("@",)),
+    Shape("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", 0.95, needs=("@",), lead=r"(?=[A-Za-z0-9._%+-])"),
     Shape("private_key", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+?-----END [A-Z0-9 ]*PRIVATE KEY-----", 0.99, needs=("PRIVATE KEY-----",)),
     Shape("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\b", 0.95, needs=("eyJ",)),
     Shape("aws_key", r"\b(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}\b", 0.98, needs=("AKIA", "ASIA", "ABIA", "ACCA")),
@@ -45,17 +48,20 @@ SHAPES = (
         0.75,
         group=1,
         needs=(":", "="),
+        lead=r"(?i)(?=[aspt])",
     ),
-    Shape("credit_card", r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])", 0.9, "luhn", needs=DIGIT),
-    Shape("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", 0.85, "ssn", needs=DIGIT),
-    Shape("ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d)(?!\.\d)", 0.9, needs=DIGIT),
-    Shape("ipv6", r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])", 0.9, "ipv6", needs=(":",)),
-    Shape("phone", r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{1,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-])(?!\.\d)", 0.6, "phone", needs=DIGIT),
-    Shape("phone", r"(?<![\w.+(-])\d{2,4}(?:[ .-]\d{2,4}){2,4}(?![\w-])(?!\.\d)", 0.45, "phone", needs=DIGIT),
+    Shape("credit_card", r"(?<![\d-])(?:\d[ -]?){12,18}\d(?![\d-])", 0.9, "luhn", needs=DIGIT, lead=DIGIT_LEAD),
+    Shape("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])", 0.85, "ssn", needs=DIGIT, lead=DIGIT_LEAD),
+    Shape("ipv4", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\d)(?!\.\d)", 0.9, needs=DIGIT, lead=DIGIT_LEAD),
+    Shape("ipv6", r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])", 0.9, "ipv6", needs=(":",), lead=r"(?=[0-9A-Fa-f:])"),
+    Shape("phone", r"(?<![\w.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{1,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?![\w-])(?!\.\d)", 0.6, "phone", needs=DIGIT, lead=r"(?=[+(])"),
+    Shape("phone", r"(?<![\w.+(-])\d{2,4}(?:[ .-]\d{2,4}){2,4}(?![\w-])(?!\.\d)", 0.45, "phone", needs=DIGIT, lead=DIGIT_LEAD),
 )
 
 # The entropy tier.
 SECRET_RUN = r"[A-Za-z0-9+/=_-]{20,}"
+# A run is found at its start or not at all.
+SECRET_LEAD = r"(?<![A-Za-z0-9+/=_-])"
 SECRET_LENGTH, SECRET_CONFIDENCE = 24, 0.6
 BASE64_FLOOR, HEX_FLOOR, HEX_LENGTH = 4.0, 3.0, 32
 

@@ -45,11 +45,10 @@ def matches_sql(text: str, regex: str) -> str:
     function, since a plan of all shapes would take thousands of calls to the JVM.
     """
     rx = literal(regex)
-    hits = f"regexp_extract_all({text}, {rx}, 0)"
-    parts = f"zip_with(slice(split({text}, {rx}, -1), 1, size({hits})), {hits}, (g, h) -> named_struct('gap', length(g), 'hit', h))"
+    parts = f"zip_with(split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0), (g, h) -> named_struct('gap', length(g), 'hit', h))"
     span = "named_struct('start', a.at + p.gap, 'end', a.at + p.gap + length(p.hit), 'text', p.hit)"
     start = "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,text:string>>))"
-    fold = f"(a, p) -> named_struct('at', a.at + p.gap + length(p.hit), 'out', concat(a.out, array({span})))"
+    fold = f"(a, p) -> CASE WHEN p.hit IS NULL THEN a ELSE named_struct('at', a.at + p.gap + length(p.hit), 'out', concat(a.out, array({span}))) END"
     return f"CASE WHEN {text} RLIKE {rx} THEN aggregate({parts}, {start}, {fold}, a -> a.out) END"
 
 
@@ -82,7 +81,7 @@ def _group(hit: Column, regex: str) -> Column:
 
 
 def shape_spans(text: str, shape: P.Shape, ord_: int, digits: Column | None = None) -> Column:
-    regex, maybe = P.java(shape.regex), possible(F.col(text), shape.needs, digits)
+    regex, maybe = P.java(shape.lead + shape.regex), possible(F.col(text), shape.needs, digits)
     if not shape.group and not shape.check:
         found = plain_candidates(text, regex, shape.kind, shape.confidence, "deterministic", ord_)
         return F.coalesce(F.when(maybe, found), none())
@@ -104,7 +103,7 @@ def entropy_spans(text: str, min_length: int = P.SECRET_LENGTH, base64_entropy:
     def shown(h: Column) -> Column:
         return candidate(h, "secret", confidence, "entropy", ORD_ENTROPY, F.format_string("%.2f", F.bround(shannon_entropy(h["text"]), 2)))
 
-    return F.coalesce(F.transform(F.filter(matches(text, P.SECRET_RUN), random), shown), none())
+    return F.coalesce(F.transform(F.filter(matches(text, P.SECRET_LEAD + P.SECRET_RUN), random), shown), none())
 
 
 def before(text: Column, start: Column, width: int) -> Column:
@@ -126,7 +125,7 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 
 def bare_ssn_spans(text: str, digits: Column | None = None) -> Column:
-    hits = F.filter(matches(text, P.java(P.BARE_SSN), possible(F.col(text), P.DIGIT, digits)), lambda h: has_word(before(F.col(text), h["start"], P.BOOST_WINDOW), P.BOOST_WORDS["ssn"]))
+    hits = F.filter(matches(text, P.java(P.DIGIT_LEAD + P.BARE_SSN), possible(F.col(text), P.DIGIT, digits)), lambda h: has_word(before(F.col(text), h["start"], P.BOOST_WINDOW), P.BOOST_WORDS["ssn"]))
     return F.coalesce(F.transform(hits, lambda h: candidate(h, "ssn", P.BARE_SSN_CONFIDENCE, "contextual", ORD_CONTEXT)), none())
 
 
