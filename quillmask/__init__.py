@@ -11,6 +11,7 @@ _PLACES = {
     "Settings": "quillmask.functions.entities",
     "LocalEngine": "quillmask.functions.local",
     "Span": "quillmask.functions.local",
+    "detect_stream": "quillmask.sources.files",
     "redact_stream": "quillmask.sources.files",
     "redact_file": "quillmask.sources.files",
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
+from quillmask.functions import patterns as P
+
 # The closed list of entity types, in natural order.
 ENTITY_TYPES = (
     "email", "phone", "credit_card", "ssn", "ipv4", "ipv6",
@@ -61,6 +63,10 @@ class Settings:
     use_ner: bool = False
     ner_model: str = "en_core_web_sm"
     use_entropy: bool = True
+    entropy_min_length: int = P.SECRET_LENGTH
+    entropy_base64: float = P.BASE64_FLOOR
+    entropy_hex: float = P.HEX_FLOOR
+    entropy_confidence: float = P.SECRET_CONFIDENCE
     extra_detectors: tuple = ()
     load_plugins: bool = True
     chunk_size: int = CHUNK_CHARS
@@ -80,6 +86,11 @@ class Settings:
     def wants(self, kind: str) -> bool:
         return self.types is None or kind in self.types
 
+    @property
+    def entropy_knobs(self) -> tuple[int, float, float, float]:
+        """Least length, least bits a character of base64 and of hex runs, confidence."""
+        return self.entropy_min_length, self.entropy_base64, self.entropy_hex, self.entropy_confidence
+
     @property
     def entropy_on(self) -> bool:
         return self.use_entropy and self.wants("secret")

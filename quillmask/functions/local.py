@@ -153,7 +153,7 @@ class LocalEngine:
 
             tiers.append(NerDetector(settings.ner_model))
         if settings.entropy_on:
-            tiers.append(EntropyDetector())
+            tiers.append(EntropyDetector(*settings.entropy_knobs))
         tiers += settings.extra_detectors
         if settings.load_plugins:
             from quillmask.operators.arrow_tiers import plugins

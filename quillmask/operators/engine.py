@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmask.functions.entities import SPAN_DDL, SPAN_FIELDS, Settings
 from quillmask.functions.entities import settings as make_settings
-from quillmask.functions.local import Later, LocalEngine
+from quillmask.functions.local import Later, LocalEngine, Span
 from quillmask.functions.patterns import HAS_DIGIT
 from quillmask.operators.arrow_tiers import detectors, python_spans
 from quillmask.operators.policy import applied
 from quillmask.operators.scoring import adjusted, confident, exploded, resolved
 from quillmask.operators.tiers import native_tiers, none
 from quillmask.session import ship_package
+from quillmask.sources import files
 
 
 def free_prefix(columns: list[str]) -> str:
@@ -96,6 +99,17 @@ class Masker:
     def redact_text(self, text: str) -> str:
         return self.local().redact(text)
 
+    # -- chunks and files, in bounded memory ------------------------------
+
+    def detect_stream(self, chunks: Iterable[str]) -> Iterator[Span]:
+        return files.detect_stream(chunks, self.settings)
+
+    def redact_stream(self, chunks: Iterable[str]) -> Iterator[str]:
+        return files.redact_stream(chunks, self.settings)
+
+    def redact_file(self, source: str, target: str, **how) -> int:
+        return files.redact_file(source, target, self.settings, **how)
+
 
 def public(spans: Column) -> Column:
     """Detections as callers see them: the plan's helper fields become ``meta``."""

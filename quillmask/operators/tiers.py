@@ -143,7 +143,7 @@ def native_tiers(text: str, settings: Settings, digits: Column | None = None) ->
     if settings.custom_words:
         tiers["_words"] = word_spans(text, settings.custom_words)
     if settings.entropy_on:
-        tiers["_entropy"] = entropy_spans(text)
+        tiers["_entropy"] = entropy_spans(text, *settings.entropy_knobs)
     if settings.wants("ssn"):
         tiers["_bare"] = bare_ssn_spans(text, digits)
     return tiers

@@ -24,7 +24,7 @@ def load_toml(path: str | os.PathLike[str]) -> dict[str, Any]:
 def flattened(document: dict[str, Any]) -> dict[str, Any]:
     """Options of the sections detection, redaction, custom and streaming; others are ignored."""
     known = {
-        "detection": {k: k for k in ("types", "min_confidence", "use_ner", "ner_model", "use_entropy", "load_plugins")},
+        "detection": {k: k for k in ("types", "min_confidence", "use_ner", "ner_model", "use_entropy", "entropy_min_length", "entropy_base64", "entropy_hex", "entropy_confidence", "load_plugins")},
         "redaction": {k: k for k in _POLICY},
         "custom": {"words": "custom_words", "patterns": "custom_patterns"},
         "streaming": {"chunk_size": "chunk_size", "overlap": "overlap"},

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
 from pathlib import Path
 from typing import TextIO
 
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmask.functions.entities import Settings
-from quillmask.functions.local import LocalEngine, spliced
+from quillmask.functions.local import LocalEngine, Span, spliced
 from quillmask.functions.netguard import offline
 from quillmask.session import ship_package
 from quillmask.streaming.windows import segments
@@ -40,8 +41,19 @@ def redact_stream(chunks: Iterable[str], settings: Settings) -> Iterator[str]:
         yield spliced(segment, spans, settings.policy)
 
 
+def detect_stream(chunks: Iterable[str], settings: Settings) -> Iterator[Span]:
+    """Detections of a text that comes in chunks; places count from its start."""
+    engine = LocalEngine(settings)
+    for base, _, spans in segments(chunks, engine.detect, settings.overlap):
+        for s in spans:
+            yield replace(s, start=base + s.start, end=base + s.end)
+
+
 def redact_file(source: str | os.PathLike[str], target: str | os.PathLike[str], settings: Settings, encoding: str = "utf-8", keep_newlines: bool = False) -> int:
-    """Rewrites one file; returns the bytes written."""
+    """Rewrites one file; returns the bytes written. The source is read while the target is written, so
+    they must not be the same file (ValueError)."""
+    if os.path.exists(target) and os.path.samefile(source, target):
+        raise ValueError(f"{source} cannot be redacted into itself")
     Path(target).parent.mkdir(parents=True, exist_ok=True)
     with open(target, "w", encoding=encoding, newline="" if keep_newlines else None) as out:
         for piece in redact_stream(read_chunks(source, settings.chunk_size, encoding, keep_newlines), settings):

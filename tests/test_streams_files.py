@@ -223,3 +223,44 @@ def test_scores_of_corpora(spark):
         gold = made.select("doc_id", F.explode("gold").alias("g")).select("doc_id", F.col("g.type").alias("entity_type"), "g.start", "g.end")
         rated = {r["entity_type"]: r for r in evaluate.scores(masker.spans(made, ["doc_id"]), gold, ["doc_id"]).collect()}
         assert rated["all"]["recall"] == 1 and rated["all"]["precision"] > 0.97
+
+
+def test_masker_over_chunks_and_files(tmp_path):
+    masker = Masker(overlap=64)
+    pieces = [TEXT[i : i + 17] for i in range(0, len(TEXT), 17)]
+    assert "".join(masker.redact_stream(pieces)) == masker.redact_text(TEXT)
+    assert [(s.start, s.end, s.text) for s in masker.detect_stream(pieces)] == [(s.start, s.end, s.text) for s in masker.detect_text(TEXT)]
+    source = tmp_path / "a.txt"
+    source.write_text(TEXT)
+    masker.redact_file(source, tmp_path / "b.txt")
+    assert (tmp_path / "b.txt").read_text() == masker.redact_text(TEXT)
+    with pytest.raises(ValueError):
+        masker.redact_file(source, tmp_path / "." / "a.txt")
+    assert source.read_text() == TEXT
+
+
+def test_entropy_knobs_reach_both_engines(spark, tmp_path):
+    text = "id 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b now"
+    (tmp_path / "q.toml").write_text("[detection]\ntypes = ['secret']\nentropy_hex = 3.95\nentropy_confidence = 0.7\n")
+    for chosen, n in ((settings(types=["secret"]), 1), (config.from_toml(tmp_path / "q.toml"), 0), (settings(types=["secret"], entropy_min_length=64), 0)):
+        (row,) = Masker(chosen).detect(spark.createDataFrame([(text,)], "text string")).collect()
+        assert len(row["detections"]) == len(LocalEngine(chosen).detect(text)) == n
+
+
+def test_packaging_names_what_exists():
+    import tomllib
+    from importlib import import_module
+    from pathlib import Path
+
+    project = tomllib.loads((Path(__file__).parents[1] / "pyproject.toml").read_text())["project"]
+    module, _, function = project["scripts"]["quillmask"].partition(":")
+    assert callable(getattr(import_module(module), function)) and {"ner", "llm"} <= set(project["optional-dependencies"])
+
+
+def test_rows_of_spans_do_not_repeat_detection(spark):
+    """The plan of a summary holds each shape's search once, not again in a filter below the explode."""
+    frame = spark.createDataFrame([("to kim@example.org",), (None,), ("",)], "text string")
+    summary = Masker(types=("email",)).summary(frame)
+    plan = summary._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
+    assert [tuple(r) for r in summary.collect()] == [("email", 1)]
