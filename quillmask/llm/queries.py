@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmask.llm import avi, editprint, huffman, language, lines, minhash, mixing, packing, substrings, toxicity
+from quillmask.llm import audit, avi, divergence, editprint, huffman, language, lines, minhash, mixing, packing, substrings, toxicity, tries
 
 QUERIES = {
     "op1_edit_prints": editprint.op1_edit_prints,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_huffman_tokens": huffman.op8_huffman_tokens,
     "op9_avi_media": avi.op9_avi_media,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_exact_dedup": tries.op12_exact_dedup,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLE = {
@@ -22,4 +25,7 @@ ORACLE = {
     "op4_mix_sources": mixing.SQL,
     "op5_line_dedup": lines.SQL,
     "op7_near_duplicates": minhash.SQL,
+    "op11_filter_audit": audit.SQL,
+    "op12_exact_dedup": tries.SQL,
+    "op13_source_divergence": divergence.SQL,
 }
