@@ -8,7 +8,7 @@ its equal texts together, so a text of any number of copies is a few rows a task
 A trie that holds more than ``LIMIT`` bytes spills its largest subtree: the texts in it, and those
 that come to it later, go to the next round, dealt by their subtree to partitions of their own. A
 round settles all texts of the rest of the trie, so rounds end; a text longer than the limit is a trie
-of its own.
+of its own, and texts that are beginnings of a spilled one stay, which is no more than its own length.
 
 The key is the doc_id, or its complement where the largest is to stay. Null texts count as empty;
 a row without a doc_id stays only where no row of its text has one. Rows that share id and text are one
@@ -103,31 +103,44 @@ class Trie:
                 yield path, node.owner
             waiting += [(c, path + c.edge) for c in node.children.values()]
 
-    def _size(self, node: Node) -> int:
-        total, waiting = 0, [node]
+    def _largest(self) -> tuple[Node, bytes, int] | None:
+        """The largest subtree with nothing spilled below it that leaves a text in the trie; its node, the
+        bytes above it and its size. A spilled subtree keeps its name only while nothing above it goes too."""
+        order, waiting = [], [(self.root, None)]
         while waiting:
-            node = waiting.pop()
-            total += len(node.edge)
-            waiting += node.children.values()
-        return total
+            node, parent = waiting.pop()
+            order.append((node, parent))
+            waiting += [(c, node) for c in node.children.values()]
+        size, texts, whole, above = {}, {}, {}, {}
+        for node, parent in reversed(order):
+            size[node] = len(node.edge) + sum(size[c] for c in node.children.values())
+            texts[node] = (node.owner is not None) + sum(texts[c] for c in node.children.values())
+            whole[node] = node.spilled is None and all(whole[c] for c in node.children.values())
+            above[node] = parent
+        tops = [n for n, parent in order if whole[n] and texts[n] and (parent is None or not whole[parent])]
+        if not tops:
+            return None
+        node = max(tops, key=size.get)
+        while texts[node] == self.texts:
+            node = max(node.children.values(), key=size.get)
+        path, up = b"", above[node]
+        while up is not None:
+            path, up = up.edge + path, above[up]
+        return node, path, size[node]
 
     def spill(self) -> Iterator[tuple[bytes, bytes, list]]:
         """While the trie is over its limit: (subtree, text, owner) of its largest subtrees."""
         while self.held > self.limit and self.texts > 1:
-            node, path = self.root, b""
-            while node.owner is None and len(node.children) == 1:
-                (node,) = node.children.values()
-                path += node.edge
-            open_ = [c for c in node.children.values() if c.spilled is None]
-            if not open_:
+            found = self._largest()
+            if found is None:
                 return
-            child = max(open_, key=self._size)
-            first = child.edge[:1]  # no other text here begins so
+            node, path, size = found
+            first = node.edge[:1]  # no other text here begins so
             name = hashlib.blake2b(path + first, digest_size=8, key=self.salt).digest()
-            self.held -= self._size(child) - 1
-            out = list(self.under(child, path + child.edge))
+            self.held -= size - 1
+            out = list(self.under(node, path + node.edge))
             self.texts -= len(out)
-            child.edge, child.children, child.owner, child.spilled = first, {}, None, name
+            node.edge, node.children, node.owner, node.spilled = first, {}, None, name
             for text, owner in out:
                 yield name, text, owner
 
