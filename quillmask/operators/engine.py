@@ -13,6 +13,7 @@ from quillmask.functions.entities import settings as make_settings
 from quillmask.functions.local import Later, LocalEngine, Span
 from quillmask.functions.patterns import HAS_DIGIT
 from quillmask.operators.arrow_tiers import detectors, python_spans
+from quillmask.operators.clusters import free_prefix
 from quillmask.operators.policy import applied
 from quillmask.operators.scoring import adjusted, confident, exploded, resolved
 from quillmask.operators.tiers import native_tiers, none
@@ -20,14 +21,6 @@ from quillmask.session import ship_package
 from quillmask.sources import files
 
 
-def free_prefix(columns: list[str]) -> str:
-    """A prefix that none of the columns has, for helper columns beside them."""
-    lead = "_quill_"
-    while any(c.lower().startswith(lead) for c in columns):
-        lead += "_"
-    return lead
-
-
 class Masker:
     """Finds and rewrites sensitive text in a column.
 
@@ -40,37 +33,50 @@ class Masker:
 
     # -- DataFrames -------------------------------------------------------
 
-    def candidates(self, frame: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
-        """Adds every tier's candidates, before scoring."""
-        column, lead = F.col(text), free_prefix(frame.columns)
-        digits, by_python = f"{lead}digits", f"{lead}python"
-        tiers = {lead + name: tier for name, tier in native_tiers(text, self.settings, F.col(digits)).items()}
+    def _candidates(self, frame: DataFrame, text: str, out: str) -> tuple[DataFrame, str]:
+        """The frame with candidates and a copy of the text, and the copy's name: ``text`` can be a field of
+        a struct, or a name that an output takes."""
+        lead = free_prefix([*frame.columns, out])
+        copy, digits, by_python = f"{lead}text", f"{lead}digits", f"{lead}python"
+        tiers = {lead + name: tier for name, tier in native_tiers(copy, self.settings, F.col(digits)).items()}
         python = detectors(self.settings)
-        wide = frame.withColumn(digits, column.rlike(HAS_DIGIT)).select("*", *[c.alias(n) for n, c in tiers.items()])
+        wide = frame.withColumn(copy, F.col(text)).withColumn(digits, F.col(copy).rlike(HAS_DIGIT)).select("*", *[c.alias(n) for n, c in tiers.items()])
         if python:
             ship_package(frame.sparkSession)
-            wide = wide.withColumn(by_python, python_spans(column, python))
+            wide = wide.withColumn(by_python, python_spans(F.col(copy), python))
         names = [*tiers, *[by_python] * bool(python)]
         joined = F.concat(*map(F.col, names)) if names else none()
-        return wide.withColumn(out, joined).drop(digits, *names)
+        return wide.withColumn(out, joined).drop(digits, *names), copy
+
+    def _scored(self, frame: DataFrame, text: str, out: str) -> tuple[DataFrame, str]:
+        found, copy = self._candidates(frame, text, out)
+        some = F.when(F.size(out) > 0, adjusted(F.col(copy), F.col(out))).otherwise(F.col(out))
+        return found.withColumn(out, some).withColumn(out, confident(F.col(out), self.settings.min_confidence)), copy
+
+    def _kept(self, frame: DataFrame, text: str, out: str) -> tuple[DataFrame, str]:
+        scored, copy = self._scored(frame, text, out)
+        return scored.withColumn(out, resolved(out)), copy
+
+    def candidates(self, frame: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
+        """Adds every tier's candidates, before scoring."""
+        found, copy = self._candidates(frame, text, out)
+        return found.drop(copy)
 
     def scored(self, frame: DataFrame, text: str = "text", out: str = "candidates") -> DataFrame:
         """Candidates with context applied and the unsure left out."""
-        found = self.candidates(frame, text, out)
-        some = F.when(F.size(out) > 0, adjusted(F.col(text), F.col(out))).otherwise(F.col(out))
-        return found.withColumn(out, some).withColumn(out, confident(F.col(out), self.settings.min_confidence))
-
-    def _kept(self, frame: DataFrame, text: str, out: str) -> DataFrame:
-        return self.scored(frame, text, out).withColumn(out, resolved(F.col(out)))
+        found, copy = self._scored(frame, text, out)
+        return found.drop(copy)
 
     def detect(self, frame: DataFrame, text: str = "text", out: str = "detections") -> DataFrame:
         """Adds ``out``, array of detections by start."""
-        return self._kept(frame, text, out).withColumn(out, public(F.col(out)))
+        found, copy = self._kept(frame, text, out)
+        return found.withColumn(out, public(F.col(out))).drop(copy)
 
     def redact(self, frame: DataFrame, text: str = "text", out: str = "redacted", detections: str = "detections") -> DataFrame:
         """Adds the detections and the rewritten text."""
-        found = self._kept(frame, text, detections)
-        return found.withColumn(out, applied(F.col(text), F.col(detections), self.settings.policy)).withColumn(detections, public(F.col(detections)))
+        found, copy = self._kept(frame, text, detections)
+        whole = found.withColumn(out, applied(F.col(copy), F.col(detections), self.settings.policy))
+        return whole.withColumn(detections, public(F.col(detections))).drop(copy)
 
     def spans(self, frame: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         """One row a detection: keys, ord (place in the document) and the detection's fields; a field

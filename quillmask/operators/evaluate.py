@@ -1,35 +1,88 @@
-"""Precision, recall and F1 of detections against gold spans, and throughput."""
+"""Precision, recall and F1 of detections against gold spans, and throughput.
+
+A prediction counts if it covers half of a gold span of its type that no earlier prediction has taken.
+Predictions go by start, then end; each takes the free gold span nearest to its end (the last by start,
+then end). Spans that overlap, predicted or gold, form clusters; matching runs inside a cluster in
+order and holds its gold spans, so a document of any length is the work of many tasks.
+"""
 
 from __future__ import annotations
 
 import time
+from bisect import bisect_right
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillmask.operators.clusters import clustered, free_prefix
 from quillmask.operators.engine import Masker
+from quillmask.session import ship_package
 
 #: Share of a gold span that a prediction of its type must cover.
 COVER = 0.5
 
 
-def covers(start: Column, end: Column, gold_start: Column, gold_end: Column) -> Column:
-    return F.least(end, gold_end) - F.greatest(start, gold_start) >= COVER * (gold_end - gold_start)
+class Gold:
+    """Gold spans of a cluster, added in order, each taken once."""
 
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.reach: list[int] = []  # the largest end so far
+        self.free: list[bool] = []
+
+    def add(self, start: int, end: int) -> None:
+        self.starts.append(start)
+        self.ends.append(end)
+        self.reach.append(max(end, self.reach[-1]) if self.reach else end)
+        self.free.append(True)
+
+    def take(self, start: int, end: int) -> tuple[int, int] | None:
+        """The free span for this prediction, which is not free any more."""
+        j = bisect_right(self.starts, end) - 1
+        while j >= 0 and self.reach[j] > start:
+            a, b = self.starts[j], self.ends[j]
+            shared = min(end, b) - max(start, a)
+            if self.free[j] and shared > 0 and shared >= COVER * (b - a):
+                self.free[j] = False
+                return a, b
+            j -= 1
+        return None
 
-def matched(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, entity_type, start, end, gold_start, gold_end: pairs of which each side occurs once.
 
-    Predictions and gold spans of a document and type meet in an interval join; of the gold spans of
-    a prediction, the one that starts nearest is its; of the predictions of a gold span, the first.
-    """
+def matched(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, entity_type, start, end, gold_start, gold_end: pairs of which each row occurs once."""
+    ship_package(predicted.sparkSession)
     names = [*keys, "entity_type"]
-    p = predicted.select(*names, "start", "end")
-    g = gold.select(*names, F.col("start").alias("gold_start"), F.col("end").alias("gold_end"))
-    met = p.join(g, names).filter(covers(F.col("start"), F.col("end"), F.col("gold_start"), F.col("gold_end")) & (F.col("start") < F.col("gold_end")) & (F.col("gold_start") < F.col("end")))
-    own = Window.partitionBy(*names, "start", "end").orderBy(F.abs(F.col("start") - F.col("gold_start")), "gold_start", "gold_end")
-    first = Window.partitionBy(*names, "gold_start", "gold_end").orderBy("start", "end")
-    return met.withColumn("_r", F.row_number().over(own)).filter("_r = 1").withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    lead = free_prefix([*names, "start", "end", "gold_start", "gold_end"])
+    key, cluster, first, mine = (lead + n for n in ("key", "cluster", "first", "mine"))
+    spans = lambda frame, is_mine: frame.select(*names, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(is_mine).alias(mine))
+    both = spans(predicted, True).unionByName(spans(gold, False))
+    order = Window.partitionBy(key, cluster).orderBy(mine, "start", "end")
+    ordered = clustered(both, names, cluster, key).withColumn(first, F.row_number().over(order) == 1).select(*names, "start", "end", mine, first)
+    width = len(names) + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Gold()
+        for batch in batches:
+            starts, ends, own, firsts = (batch.column(width - 2 + i).to_pylist() for i in range(4))
+            hits, pairs = [], []
+            for i, (start, end, is_mine, new) in enumerate(zip(starts, ends, own, firsts, strict=True)):
+                if new:
+                    held = Gold()
+                if not is_mine:
+                    held.add(start, end)
+                elif (pair := held.take(start, end)) is not None:
+                    hits.append(i)
+                    pairs.append(pair)
+            rows = batch.take(pa.array(hits, pa.int64()))
+            sides = [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:width], *sides], [*names, "start", "end", "gold_start", "gold_end"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+    return ordered.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*names, "start", "end")) + ", gold_start long, gold_end long")
 
 
 def scores(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmask.functions.entities import Policy
+from quillmask.operators.tiers import cut, paged
 
 
 def _hmac_sha256(key: bytes, text: Column) -> Column:
@@ -37,9 +38,12 @@ def rendered(span: Column, policy: Policy) -> Column:
 def applied(text: Column, spans: Column, policy: Policy) -> Column:
     """``text`` with every span (ordered, disjoint) rewritten; each gap belongs to the span after it."""
 
-    def piece(span: Column, i: Column) -> Column:
-        last = F.when(i == 0, 0).otherwise(F.try_element_at(spans, i)["end"])
-        return F.concat(F.substring(text, last + 1, span["start"] - last), rendered(span, policy))
+    def by_pages(pages: Column) -> Column:
+        def piece(span: Column, i: Column) -> Column:
+            last = F.when(i == 0, 0).otherwise(F.try_element_at(spans, i)["end"])
+            return F.concat(cut(pages, last, span["start"] - last), rendered(span, policy))
 
-    tail = F.substring(text, F.element_at(spans, -1)["end"] + 1, F.length(text))
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(F.transform(spans, piece), ""), tail))
+        end = F.element_at(spans, -1)["end"]
+        return F.concat(F.array_join(F.transform(spans, piece), ""), cut(pages, end, F.length(text) - end))
+
+    return F.when(F.size(spans) == 0, text).otherwise(paged(text, by_pages))

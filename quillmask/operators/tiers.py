@@ -6,7 +6,7 @@ entropy, ord>; ``ord`` is the place of its tier and shape, the last tie-break.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -37,19 +37,29 @@ def literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def blocks_sql(name: str) -> str:
+    """SQL of an array cut into arrays of about the square root of its length."""
+    width = f"cast(ceil(sqrt(size({name}))) as int)"
+    return f"transform(sequence(0, cast((size({name}) - 1) div {width} as int)), i -> slice({name}, i * {width} + 1, {width}))"
+
+
 def matches_sql(text: str, regex: str) -> str:
     """SQL of array<struct<start, end, text>> of all matches, left to right; null where there is none.
 
     ``text`` is SQL too. The text between matches and the matches themselves add up to the text, so
-    running lengths give code-point offsets whatever the text holds. SQL text, and not one call a
+    running lengths give code-point offsets whatever the text holds. They run over blocks of matches and
+    then inside each, since a fold copies the list that it has made so far. SQL text, and not one call a
     function, since a plan of all shapes would take thousands of calls to the JVM.
     """
     rx = literal(regex)
     parts = f"zip_with(split({text}, {rx}, -1), regexp_extract_all({text}, {rx}, 0), (g, h) -> named_struct('gap', length(g), 'hit', h))"
+    sizes = "transform(b, y -> aggregate(y, 0, (t, x) -> t + x.gap + coalesce(length(x.hit), 0)))"
+    offsets = f"aggregate({sizes}, array(0), (t, x) -> concat(t, array(element_at(t, -1) + x)))"
     span = "named_struct('start', a.at + p.gap, 'end', a.at + p.gap + length(p.hit), 'text', p.hit)"
-    start = "named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,text:string>>))"
+    start = "named_struct('at', o, 'out', cast(array() as array<struct<start:int,end:int,text:string>>))"
     fold = f"(a, p) -> CASE WHEN p.hit IS NULL THEN a ELSE named_struct('at', a.at + p.gap + length(p.hit), 'out', concat(a.out, array({span}))) END"
-    return f"CASE WHEN {text} RLIKE {rx} THEN aggregate({parts}, {start}, {fold}, a -> a.out) END"
+    inside = f"flatten(zip_with(b, slice({offsets}, 1, size(b)), (y, o) -> aggregate(y, {start}, {fold}, a -> a.out)))"
+    return f"CASE WHEN {text} RLIKE {rx} THEN transform(transform(array({parts}), z -> {blocks_sql('z')}), b -> {inside})[0] END"
 
 
 def matches(text: str, regex: str, maybe: Column | None = None) -> Column:
@@ -106,9 +116,26 @@ def entropy_spans(text: str, min_length: int = P.SECRET_LENGTH, base64_entropy:
     return F.coalesce(F.transform(F.filter(matches(text, P.SECRET_LEAD + P.SECRET_RUN), random), shown), none())
 
 
-def before(text: Column, start: Column, width: int) -> Column:
+#: Characters of a page.
+PAGE = 1024
+
+
+def paged(text: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the text's pages, computed once. A place in a string is found by counting from its
+    start; in pages it is found at once, so many places in a long text cost no more than few in many."""
+    return F.transform(F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))), body)[0]
+
+
+def cut(pages: Column, start: Column, size: Column) -> Column:
+    """``size`` characters from ``start`` (from 0) on."""
+    first = F.floor(start / PAGE).cast("int")
+    some = F.slice(pages, first + 1, F.floor((start + size) / PAGE).cast("int") - first + 1)
+    return F.substring(F.array_join(some, ""), start - first * PAGE + 1, size)
+
+
+def before(pages: Column, start: Column, width: int) -> Column:
     """The lower-cased ``width`` characters that end at ``start``."""
-    return F.lower(F.substring(text, F.greatest(start - width, F.lit(0)) + 1, F.least(start, F.lit(width))))
+    return F.lower(cut(pages, F.greatest(start - width, F.lit(0)), F.least(start, F.lit(width))))
 
 
 def has_word(text: Column, words: Iterable[str]) -> Column:
@@ -125,7 +152,8 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 
 def bare_ssn_spans(text: str, digits: Column | None = None) -> Column:
-    hits = F.filter(matches(text, P.java(P.DIGIT_LEAD + P.BARE_SSN), possible(F.col(text), P.DIGIT, digits)), lambda h: has_word(before(F.col(text), h["start"], P.BOOST_WINDOW), P.BOOST_WORDS["ssn"]))
+    found = matches(text, P.java(P.DIGIT_LEAD + P.BARE_SSN), possible(F.col(text), P.DIGIT, digits))
+    hits = F.when(F.size(found) > 0, paged(F.col(text), lambda pages: F.filter(found, lambda h: has_word(before(pages, h["start"], P.BOOST_WINDOW), P.BOOST_WORDS["ssn"]))))
     return F.coalesce(F.transform(hits, lambda h: candidate(h, "ssn", P.BARE_SSN_CONFIDENCE, "contextual", ORD_CONTEXT)), none())
 
 

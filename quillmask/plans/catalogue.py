@@ -17,7 +17,8 @@ from quillmask.functions.entities import Policy, settings
 from quillmask.functions.local import CustomDetector, Span
 from quillmask.operators import evaluate, tiers
 from quillmask.operators.engine import Masker
-from quillmask.operators.scoring import exploded, resolved_rows
+from quillmask.operators.clusters import resolved_rows
+from quillmask.operators.scoring import exploded
 from quillmask.session import ship_package
 from quillmask.streaming import halo, keyed
 
@@ -229,7 +230,7 @@ def context_boost(spark, sf_dir):
     from quillmask.operators.scoring import boosted
 
     found = Masker(types=("email",)).candidates(_read(spark, sf_dir, "documents", "doc_id", "text"), out="c")
-    return exploded(found, ["text"], "c", "s").groupBy(boosted(F.col("text"), F.col("s")).alias("boosted")).agg(F.count("*").alias("n"))
+    return exploded(found, ["text"], "c", "s").groupBy(tiers.paged(F.col("text"), lambda pages: boosted(pages, F.col("s"))).alias("boosted")).agg(F.count("*").alias("n"))
 
 
 @query("context_suppress", _EMAIL_ROWS + "SELECT down AS suppressed, count(*) AS n FROM r GROUP BY ALL")
@@ -237,7 +238,7 @@ def context_suppress(spark, sf_dir):
     from quillmask.operators.scoring import suppressed
 
     found = Masker(types=("email",)).candidates(_read(spark, sf_dir, "documents", "doc_id", "text"), out="c")
-    return exploded(found, ["text"], "c", "s").groupBy(suppressed(F.col("text"), F.col("s")).alias("suppressed")).agg(F.count("*").alias("n"))
+    return exploded(found, ["text"], "c", "s").groupBy(tiers.paged(F.col("text"), lambda pages: suppressed(pages, F.col("s"))).alias("suppressed")).agg(F.count("*").alias("n"))
 
 
 @query("confidence_filter", _EMAIL_ROWS + 'SELECT doc_id, start, m AS text, round(confidence, 6) AS confidence FROM r WHERE confidence >= 0.6')
@@ -250,9 +251,19 @@ def email_spans(spark, sf_dir):
     return _email_spans(spark, sf_dir).select("doc_id", "start", "end", "text", F.round("confidence", 6).alias("confidence"), F.col("meta")["context"].alias("context"))
 
 
-@query("resolve_overlaps")
+@query(
+    "resolve_overlaps",
+    """WITH RECURSIVE i AS (SELECT l_orderkey AS doc_id, CAST(l_partkey % 97 AS INT) AS s, CAST(l_partkey % 97 + 1 + l_suppkey % 19 AS INT) AS e, l_linenumber % 3 / 4 + 0.25 AS c, CAST(l_linenumber AS INT) AS o FROM lineitem),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c DESC, s - e, s, o) AS k FROM i),
+    m AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(s INT, e INT, c DOUBLE, o INT)[]) AS kept FROM i
+      UNION ALL SELECT m.doc_id, r.k, CASE WHEN len(list_filter(m.kept, lambda x: x.s < r.e AND r.s < x.e)) = 0
+        THEN list_append(m.kept, CAST({'s': r.s, 'e': r.e, 'c': r.c, 'o': r.o} AS STRUCT(s INT, e INT, c DOUBLE, o INT))) ELSE m.kept END
+      FROM m JOIN r ON r.doc_id = m.doc_id AND r.k = m.k + 1),
+    f AS (SELECT doc_id, arg_max(kept, k) AS kept FROM m GROUP BY doc_id)
+    SELECT doc_id, x.s AS start, x.e AS "end", round(x.c, 6) AS confidence, x.o AS ord FROM (SELECT doc_id, unnest(kept) AS x FROM f)""",
+)
 def resolve_overlaps(spark, sf_dir):
-    """Intervals made from order lines; greedy resolution has no SQL form, tests hold it against brute force."""
+    """Intervals made from order lines, a few an order; SQL takes them one by one in order of rank."""
     lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     start = (F.col("l_partkey") % 97).cast("int")
     rows = lines.select(F.col("l_orderkey").alias("doc_id"), start.alias("start"), (start + 1 + F.col("l_suppkey") % 19).cast("int").alias("end"), (F.col("l_linenumber") % 3 / 4 + 0.25).alias("confidence"), F.col("l_linenumber").cast("int").alias("ord"))
@@ -433,22 +444,31 @@ def stream_chunks(spark, sf_dir):
     return segments.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda s: s["redacted"]), "").alias("redacted"))
 
 
-_PREDICTED = [(1, "email", 0, 10), (1, "email", 20, 24), (1, "phone", 40, 50), (2, "ssn", 5, 16), (2, "ssn", 6, 16)]
-_GOLD = [(1, "email", 0, 12), (1, "email", 20, 40), (1, "phone", 41, 51), (2, "ssn", 5, 16), (2, "ipv4", 30, 40)]
-
-
 @query(
     "score_prf",
-    f"""WITH p AS (SELECT * FROM {_values(_PREDICTED, 'doc_id, entity_type, a, b')}), g AS (SELECT * FROM {_values(_GOLD, 'doc_id, entity_type, c, d')}),
-    j AS (SELECT * FROM p JOIN g USING (doc_id, entity_type) WHERE least(b, d) - greatest(a, c) >= 0.5 * (d - c) AND a < d AND c < b),
-    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type, a, b ORDER BY abs(a - c), c, d) AS r FROM j),
-    o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, entity_type, c, d ORDER BY a, b) AS q FROM n WHERE r = 1),
-    t AS (SELECT entity_type, sum(p) AS p, sum(g) AS g, sum(m) AS m FROM (SELECT entity_type, 1 AS p, 0 AS g, 0 AS m FROM p UNION ALL SELECT entity_type, 0, 1, 0 FROM g
-      UNION ALL SELECT entity_type, 0, 0, 1 FROM o WHERE q = 1) GROUP BY ROLLUP (entity_type))
-    SELECT coalesce(entity_type, 'all') AS entity_type, CAST(m AS BIGINT) AS tp, CAST(p - m AS BIGINT) AS fp, CAST(g - m AS BIGINT) AS fn,
-      CASE WHEN p > 0 THEN round(m / p, 6) ELSE 0.0 END AS "precision", CASE WHEN g > 0 THEN round(m / g, 6) ELSE 0.0 END AS recall, CASE WHEN m > 0 THEN round(2 * m / (p + g), 6) ELSE 0.0 END AS f1 FROM t""",
+    """WITH RECURSIVE p AS (SELECT l_orderkey AS doc_id, l_returnflag AS t, l_partkey % 61 AS a, l_partkey % 61 + 3 + l_suppkey % 17 AS b FROM lineitem),
+    g AS (SELECT l_orderkey AS doc_id, l_returnflag AS t, (l_partkey * 7 + l_linenumber) % 61 AS c, (l_partkey * 7 + l_linenumber) % 61 + 2 + l_suppkey % 5 AS d FROM lineitem),
+    pk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY a, b) AS k FROM p),
+    gj AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY c, d) AS j FROM g),
+    n AS (SELECT pk.doc_id, pk.t, pk.k, list(j ORDER BY j DESC) FILTER (j IS NOT NULL) AS js FROM pk LEFT JOIN gj
+      ON pk.doc_id = gj.doc_id AND pk.t = gj.t AND least(b, d) > greatest(a, c) AND least(b, d) - greatest(a, c) >= 0.5 * (d - c) GROUP BY ALL),
+    m AS (SELECT DISTINCT doc_id, t, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used FROM p
+      UNION ALL SELECT m.doc_id, m.t, n.k, list_concat(m.used, list_filter(coalesce(n.js, []), lambda x: NOT list_contains(m.used, x))[1:1])
+      FROM m JOIN n ON n.doc_id = m.doc_id AND n.t = m.t AND n.k = m.k + 1),
+    h AS (SELECT doc_id, t, max(len(used)) AS tp FROM m GROUP BY ALL),
+    c AS (SELECT t, sum(p) AS p, sum(g) AS g, sum(m) AS m FROM (SELECT t, 1 AS p, 0 AS g, 0 AS m FROM p UNION ALL SELECT t, 0, 1, 0 FROM g UNION ALL SELECT t, 0, 0, tp FROM h) GROUP BY ROLLUP (t))
+    SELECT coalesce(t, 'all') AS entity_type, CAST(m AS BIGINT) AS tp, CAST(p - m AS BIGINT) AS fp, CAST(g - m AS BIGINT) AS fn,
+      round(m / p, 6) AS "precision", round(m / g, 6) AS recall, round(2 * m / (p + g), 6) AS f1 FROM c""",
 )
 def score_prf(spark, sf_dir):
-    rows = lambda given: _inline(spark, given, 'doc_id, entity_type, `start`, `end`')
-    rated = evaluate.scores(rows(_PREDICTED), rows(_GOLD), ["doc_id"])
+    """Predictions and gold spans made from order lines, a few of each an order; one overlaps several of
+    the others."""
+    lines = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_partkey", "l_suppkey", "l_linenumber")
+
+    def spans(start: Column, size: Column) -> DataFrame:
+        return lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("entity_type"), start.alias("start"), (start + size).alias("end"))
+
+    predicted = spans(F.col("l_partkey") % 61, 3 + F.col("l_suppkey") % 17)
+    gold = spans((F.col("l_partkey") * 7 + F.col("l_linenumber")) % 61, 2 + F.col("l_suppkey") % 5)
+    rated = evaluate.scores(predicted, gold, ["doc_id"])
     return rated.select("entity_type", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])

@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from quillmask.operators.engine import Masker, public
 from quillmask.operators.policy import applied
-from quillmask.operators.scoring import exploded, resolved_rows
+from quillmask.operators.clusters import resolved_rows
+from quillmask.operators.scoring import exploded
 
 RANGE = "array<struct<range_no:int,own_lo:long,own_hi:long,read_lo:long,text:string>>"
 

@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import random
+import time
 
 import pytest
 from hypothesis import given
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 from quillmask.functions import local, validators
 from quillmask.functions.entities import ENTITY_TYPES, Policy, entity_type, settings
 from quillmask.functions.local import Span
+from quillmask.operators import clusters, evaluate
+from quillmask.operators.clusters import resolved_rows
 from quillmask.operators.engine import Masker, register_sql
-from quillmask.operators.scoring import resolved_rows
 
 AZ = "Ab3dEf6hIj9lMn2pQr5tUv8xYz1BcD4FgH7JkL0"
 # Values that look like credentials are put together here, never written whole.
@@ -158,13 +160,96 @@ def test_overlaps_python(items):
     assert local.resolve(spans) == _greedy(spans)
 
 
-def test_overlaps_by_clusters(spark):
+@pytest.mark.parametrize("block", [4, 1 << 16])
+def test_overlaps_by_clusters(spark, block):
+    """Ties, repeated spans, a null key, many blocks in a cluster and many clusters in a block."""
     rng = random.Random(7)
-    rows = [(d, a := rng.randrange(60), a + rng.randrange(1, 9), rng.choice([0.5, 0.7, 0.9]), i) for d in range(40) for i in range(rng.randrange(30))]
-    got = resolved_rows(spark.createDataFrame(rows, "doc_id int, start int, end int, confidence double, ord int"), ["doc_id"]).collect()
-    for d in range(40):
+    rows = [(d or None, a := rng.randrange(60), a + rng.randrange(0, 9), rng.choice([0.5, 0.7, 0.9]), i) for d in range(40) for i in range(rng.randrange(30))]
+    frame = spark.createDataFrame(rows, "doc_id int, start int, end int, confidence double, ord int").repartition(3)
+    got = resolved_rows(frame, ["doc_id"], block).collect()
+    assert [f.name for f in frame.schema] == list(got[0].asDict())
+    for d in {r[0] for r in rows}:
         want = [(s.start, s.end, s.confidence) for s in _greedy([Span(a, b, "", "email", c) for k, a, b, c, _ in rows if k == d])]
-        assert sorted((r["start"], r["end"], r["confidence"]) for r in got if r["doc_id"] == d) == want
+        assert sorted((r["start"], r["end"], r["confidence"]) for r in got if r["doc_id"] == d) == sorted(want)
+
+
+@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 6)), max_size=120), st.sampled_from([2, 1024]))
+@hypothesis_settings(max_examples=150, deadline=None)
+def test_disjoint_spans(items, most):
+    kept, want = clusters.Disjoint(), []
+    kept.MOST = most
+    for a, n in items:
+        free = all(not (a < d and c < a + n) for c, d in want)
+        assert kept.add(a, a + n) == free
+        want += [(a, a + n)] * free
+
+
+def test_resolved_in_one_document_of_many_spans(spark):
+    """200,000 spans of one document in chains: tasks share the blocks, and the result is the local one's."""
+    rows = spark.range(200_000).selectExpr("7 doc_id", "cast(id * 5 as int) start", "cast(id * 5 + 4 + id % 3 as int) end", "double((id * 37 % 10) / 10) confidence", "cast(id % 5 as int) ord")
+    got = sorted((r["start"], r["end"]) for r in resolved_rows(rows, ["doc_id"], 1 << 12).collect())
+    spans = [Span(i * 5, i * 5 + 4 + i % 3, "", "email", i * 37 % 10 / 10) for i in range(200_000)]
+    assert got == [(s.start, s.end) for s in local.resolve(spans)]
+
+
+@pytest.mark.parametrize("words", [3, 40, 500])
+def test_dense_texts(spark, words):
+    """Overlaps in chains and clusters, places beyond many pages, characters outside the basic plane."""
+    rng = random.Random(words)
+    parts = ["joe@corp.io", "4111 1111 1111 1111", "+1 415 555 2671", "10.2.3.4", "ssn 123456789", "card 4111-1111-1111-1111x", "token = abcdEFGH12345678", "\U0001f600" * 3, "é" * 9, "fake", "call 415-555-2671"]
+    text = " ".join(rng.choice(parts) for _ in range(words))
+    row = Masker().redact(spark.createDataFrame([(text,)], "text string")).first()
+    assert row["redacted"] == Masker().redact_text(text)
+    assert [(d["start"], d["end"], d["entity_type"], d["meta"]) for d in row["detections"]] == [(s.start, s.end, s.entity_type, s.meta) for s in Masker().detect_text(text)]
+
+
+def test_time_of_dense_texts(spark):
+    """Four times the matches in one text take about four times as long, not sixteen."""
+    took = []
+    for n in (2000, 2000, 8000):
+        frame = spark.createDataFrame([(" ".join(f"mail user{i}@ex{i}.org and text" for i in range(n)),)], "text string")
+        began = time.perf_counter()
+        assert len(Masker(types=("email",)).redact(frame).first()["detections"]) == n
+        took.append(time.perf_counter() - began)
+    assert took[2] < 5 * took[1] + 1
+
+
+def test_nested_text_and_outputs_of_any_name(spark):
+    masker = Masker()
+    frame = spark.createDataFrame([("to joe@corp.io", ("see a@b.io",), "id 10.2.3.4")], "text string, s struct<text: string>, detections string")
+    assert masker.redact(frame, "s.text").first()["redacted"] == "see [REDACTED]"
+    assert masker.redact(frame, "detections").first()["redacted"] == "id [REDACTED]"
+    assert masker.redact(frame, "text", out="text").first()["text"] == "to [REDACTED]"
+    assert masker.spans(frame.select("text", F.col("s.text").alias("other")), ["text"], "other").first()["span_text"] == "a@b.io"
+
+
+def _prf_by_hand(predicted, gold):
+    """Each prediction in order takes the free gold span of its type nearest its end."""
+    pairs, free = [], list(gold)
+    for d, t, a, b in sorted(predicted, key=lambda p: p[2:]):
+        fit = [g for g in free if g[:2] == (d, t) and min(b, g[3]) > max(a, g[2]) and 2 * (min(b, g[3]) - max(a, g[2])) >= g[3] - g[2]]
+        if fit:
+            best = max(fit, key=lambda g: g[2:])
+            free.remove(best)
+            pairs.append((d, t, a, b, *best[2:]))
+    return pairs
+
+
+def test_scorer(spark):
+    """A thousand documents of a few spans, overlapping each other; one prediction can fit several gold spans."""
+    rng = random.Random(17)
+
+    def spans(most):
+        return [(d or None, rng.choice(["email", "ssn"]), a := rng.randrange(30), a + rng.randrange(0, most)) for d in range(1000) for _ in range(rng.randrange(6))]
+
+    predicted, gold = [(1, "email", 0, 10), (1, "email", 1, 22), *spans(20)], [(1, "email", 1, 11), (1, "email", 12, 22), *spans(9)]
+    schema = "doc_id int, entity_type string, start int, end int"
+    frames = [spark.createDataFrame(rows, schema).repartition(3) for rows in (predicted, gold)]
+    want = _prf_by_hand(predicted, gold)
+    assert sorted(map(repr, map(tuple, evaluate.matched(*frames, ["doc_id"]).collect()))) == sorted(map(repr, want))
+    rated = {r["entity_type"]: (r["tp"], r["fp"], r["fn"]) for r in evaluate.scores(*frames, ["doc_id"]).collect()}
+    assert rated["all"] == (len(want), len(predicted) - len(want), len(gold) - len(want))
+    assert evaluate.scores(frames[0].limit(0), frames[1].limit(0), ["doc_id"]).collect() == [("all", 0, 0, 0, 0.0, 0.0, 0.0)]
 
 
 def test_redacting_twice_changes_nothing(spark):
