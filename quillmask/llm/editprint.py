@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.links import components
-from quillmask.llm.ranges import NULL_KEY, id_bounds, range_of
-from quillmask.llm.staging import partitions, stage, table
+from quillmask.llm.ranges import id_bounds, keys_of, range_count, range_of
+from quillmask.llm.staging import stage, table
 
 SAMPLES = 256
 CLASSES, PERIOD = 64, 4096
@@ -146,27 +146,33 @@ def beside_next(documents: DataFrame, share: int = 4) -> DataFrame:
     bucket's least id, some for each partition, reach the driver.
     """
     spark = documents.sparkSession
-    count = partitions(spark) * share
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    count = range_count(base, share)
     bounds = id_bounds(base, count)
 
-    @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(range_of(ids, bounds))
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, int] = {}
+        for batch in batches:
+            for r, k in zip(range_of(batch.column(0), bounds).tolist(), keys_of(batch.column(0)).tolist(), strict=True):
+                found[r] = min(k, found.get(r, k))
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["b", "k"])
 
-    key = F.coalesce("doc_id", F.lit(NULL_KEY))
-    heads = {r[0]: r[1] for r in base.select(bucket_of("doc_id").alias("b"), key.alias("k")).groupBy("b").agg(F.min("k")).collect()}
+    heads = {r["b"]: r["k"] for r in base.select("doc_id").mapInArrow(least, "b int, k long").groupBy("b").agg(F.min("k").alias("k")).collect()}
     order = sorted(heads)
     before = {heads[b]: order[i - 1] for i, b in enumerate(order)}
 
-    @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        keys = [NULL_KEY if pd.isna(i) else int(i) for i in ids]
-        return pd.Series([[2 * int(o)] + ([2 * before[k] + 1] if k in before else []) for o, k in zip(range_of(ids, bounds), keys, strict=True)])
-
-    place = base.select(F.explode(places("doc_id")).alias("place"), "doc_id", "text")
-    dealt = place.select(F.shiftright("place", 1).alias("bucket"), (F.col("place") % 2).alias("halo"), "doc_id", "text")
-    return dealt.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "halo", "doc_id", "text")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row in its range, and once more, as halo, in the range before if it can be the first of its own."""
+        firsts = np.array(list(before), np.int64)
+        for batch in batches:
+            own, keys = range_of(batch.column(0), bounds), keys_of(batch.column(0))
+            again = np.flatnonzero(np.isin(keys, firsts))
+            behind = np.array([before[k] for k in keys[again].tolist()], np.int32)
+            for rows, bucket, halo in ((batch, own, 0), (batch.take(pa.array(again)), behind, 1)):
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), halo, np.int32)), *rows.columns], ["bucket", "halo", "doc_id", "text"])
+
+    dealt = base.mapInArrow(place, "bucket int, halo int, doc_id long, text string")
+    return dealt.repartition(-(-count // share), "bucket").sortWithinPartitions("bucket", "halo", "doc_id", "text")
 
 
 PRINTED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

@@ -11,7 +11,8 @@ doc_ids, counts, offsets, payload). ``part`` ascends with doc_id, ``first`` is t
 the part before the block; in the order of both the blocks are the documents in ascending doc_id.
 
 Null texts are empty; an empty text is its end id alone; equal ids of rows keep together, ordered by
-their ids; a null doc_id comes first; an empty table gives an empty file. Other columns are not read.
+their ids; a null doc_id comes first; an empty table gives an empty file. A vocabulary of more than 65,536
+ids is an error. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillmask.llm.bits import canonical, lookup, pack, unpack
-from quillmask.llm.ranges import id_bounds, range_of
+from quillmask.llm.ranges import id_bounds, range_count, range_of
 from quillmask.llm.staging import partitions, stage, table
 from quillmask.llm.tokens import pieces
 from quillmask.llm.words import blocks
@@ -79,7 +80,8 @@ def ordered_ids(documents: DataFrame, path: str) -> DataFrame:
     ``first`` counts the ids before the document in its part. Texts are tokenised once."""
     spark = documents.sparkSession
     base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bounds = id_bounds(base, 2 * partitions(spark))
+    count_ = range_count(base, 2)
+    bounds = id_bounds(base, count_)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack_ = zstandard.ZstdCompressor(level=1).compress
@@ -101,7 +103,7 @@ def ordered_ids(documents: DataFrame, path: str) -> DataFrame:
                 at += zstandard.frame_content_size(raw) // 2
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, pa.int64()), batch.column(1), batch.column(2)], ["part", "first", "doc_id", "ids"])
 
-    dealt = base.mapInArrow(tokenise, TOKENS).repartition(partitions(spark), "part").sortWithinPartitions("part", "doc_id", "ids")
+    dealt = base.mapInArrow(tokenise, TOKENS).repartition(max(partitions(spark), count_ // 2), "part").sortWithinPartitions("part", "doc_id", "ids")
     return stage(dealt.mapInArrow(count, ORDERED), "huffman-ids")
 
 

@@ -72,6 +72,64 @@ def test_edit_prints_of_one_row_and_no_id(spark):
     assert row["doc_id"] is None and row["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+TOP = 2**63 - 1
+
+
+@pytest.fixture(scope="module")
+def far_ids():
+    """Ids beyond 2^53, at both ends of 64 bits, repeated, and none, in every part of the table."""
+    rng = random.Random(23)
+    ids = [None, None, -TOP - 1, -TOP, TOP, TOP - 1, TOP - 1, *[s * (2**53 + k) for k in range(40) for s in (1, -1)], *[TOP // 3 + k for k in range(40)]]
+    rng.shuffle(ids)
+    return [(i, " ".join(rng.choice(["alpha", "beta", "γάμμα", "delta"]) for _ in range(rng.randrange(30))) or None) for i in ids]
+
+
+def _first_null(rows):
+    return sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+
+
+def _alike(a, b):
+    """Share of equal digits at the places that both prints have, as the docstring says it."""
+    if a == b:
+        return 1.0
+    scale = max(int(p.split("-")[0], 16) for p in (a, b))
+
+    def at(p):
+        own, steps, digits = p.split("-")
+        places = range(editprint.PHASE % (1 << int(own, 16)), int(steps, 16), 1 << int(own, 16))
+        return {p: d for p, d in zip(places, digits, strict=True) if p % (1 << scale) == editprint.PHASE % (1 << scale)}
+
+    x, y = at(a), at(b)
+    same = sum(y.get(p) == d for p, d in x.items()) / max(len(x), len(y), 1)
+    return max(0.0, (same - 1 / 16) / (15 / 16))
+
+
+def test_edit_prints_of_far_ids(spark, far_ids):
+    got = editprint.edit_prints(spark.createDataFrame(far_ids, "doc_id long, text string").repartition(5)).collect()
+    order, want = _first_null(far_ids), []
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        e = editprint.edited(t, following)
+        mine, theirs, others = map(editprint.fingerprint, (t, e, following))
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), mine, theirs, _alike(mine, theirs), _alike(mine, others)))
+    key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+    found = sorted(map(tuple, got), key=key)
+    assert [r[:5] for r in found] == [r[:5] for r in sorted(want, key=key)]
+    assert np.allclose([r[5:] for r in found], [r[5:] for r in sorted(want, key=key)])
+
+
+def test_huffman_tokens_of_far_ids(spark, far_ids):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    frame = spark.createDataFrame(far_ids, "doc_id long, text string").repartition(5)
+    got = {(r["doc_id"], r["start"]): (r["n_tokens"], r["ids_crc32"]) for r in huffman.read(*huffman.write(frame, path)).collect()}
+    encoded = [(i, np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in _first_null(far_ids)]
+    assert sorted((str(i), n, c) for (i, _), (n, c) in got.items()) == sorted((str(i), len(b) // 4, zlib.crc32(b)) for i, b in encoded)
+    by_start = sorted((s, i, n) for (i, s), (n, _) in got.items())
+    assert [i for _, i, _ in by_start] == [i for i, _ in encoded]
+    assert all(a[0] + a[2] == b[0] for a, b in zip(by_start, by_start[1:], strict=False)) and by_start[0][0] == 0
+
+
 def test_near_prints(documents, rows):
     got = {r["doc_id"]: r["class_id"] for r in editprint.near_duplicates(documents.dropDuplicates(["doc_id"])).collect()}
     texts = {i: t for i, t, *_ in rows}
