@@ -10,7 +10,7 @@ runs over its sorted rows one after the other, holding only what is kept.
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +30,11 @@ def free_prefix(columns: list[str]) -> str:
     return lead
 
 
-def carried(rows: DataFrame, key: str, block: str, value: str, out: str) -> DataFrame:
-    """Adds ``out``: the largest ``value`` of the key's earlier blocks; null where there is none."""
-    tops = rows.groupBy(key, block).agg(F.max(value).alias(out))
+def carried(rows: DataFrame, key: str, block: str, value: str, out: str, combine: Callable = F.max) -> DataFrame:
+    """Adds ``out``: ``combine`` (max or sum) of the values in the key's earlier blocks; null where there is none."""
+    tops = rows.groupBy(key, block).agg(combine(value).alias(out))
     earlier = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(tops.select(key, block, F.max(out).over(earlier).alias(out)), [key, block])
+    return rows.join(tops.select(key, block, combine(out).over(earlier).alias(out)), [key, block])
 
 
 def clustered(spans: DataFrame, keys: list[str], cluster: str, key: str, block: int = BLOCK) -> DataFrame:

@@ -20,7 +20,7 @@ from quillmask.operators.engine import Masker
 from quillmask.operators.clusters import resolved_rows
 from quillmask.operators.scoring import exploded
 from quillmask.session import ship_package
-from quillmask.streaming import halo, keyed
+from quillmask.streaming import chunks, halo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -432,16 +432,36 @@ def halo_equivalence(spark, sf_dir):
     return halo.halo_redact(_read(spark, sf_dir, "documents", "doc_id", "text"), Masker(types=("email",)), 2000, 256).select("doc_id", "redacted")
 
 
+def _chunks(documents: DataFrame, width: int) -> DataFrame:
+    """Chunks of ``width`` characters, the last one marked, each third one twice, and one after the end."""
+    last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / width).cast("int")
+    part = lambda i: F.struct(i.cast("long").alias("chunk_no"), F.substring(F.col("text"), i * width + 1, F.lit(width)).alias("text"), (i == last).alias("is_last"))
+    late = F.struct((last + 1).cast("long").alias("chunk_no"), F.lit(" late@corp.io").alias("text"), F.lit(False).alias("is_last"))
+    numbers = F.sequence(F.lit(0), last)
+    parts = F.concat(F.transform(numbers, part), F.transform(F.filter(numbers, lambda i: i % 3 == 0), part), F.array(late))
+    return documents.select("doc_id", F.explode(parts).alias("c")).select("doc_id", "c.*")
+
+
+def _whole(documents: DataFrame, segments: DataFrame) -> DataFrame:
+    """doc_id and redacted, put together from segments."""
+    rows = segments.select("doc_id", "seg_no", "redacted").unionByName(documents.select("doc_id", F.lit(-1).alias("seg_no"), F.when(F.col("text").isNotNull(), "").alias("redacted")))
+    ordered = F.array_sort(F.collect_list(F.struct("seg_no", "redacted")))
+    return rows.groupBy("doc_id").agg(F.when(F.count("redacted") > 0, F.array_join(F.transform(ordered, lambda s: s["redacted"]), "")).alias("redacted"))
+
+
 @query("stream_chunks", ORACLE["redact_replace"])
 def stream_chunks(spark, sf_dir):
-    """Documents as chunks of 1,000 characters through a window of bounded memory, put together again."""
+    """Documents as chunks of 700 characters, some repeated and some late, searched in ranges of 2,000."""
     documents = _read(spark, sf_dir, "documents", "doc_id", "text")
-    numbers = F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / 1000).cast("int"))
-    parts = F.transform(numbers, lambda i: F.struct(i.cast("long").alias("chunk_no"), F.substring(F.col("text"), i * 1000 + 1, F.lit(1000)).alias("text")))
-    chunks = documents.select("doc_id", F.explode(parts).alias("c")).select("doc_id", "c.chunk_no", "c.text")
-    segments = keyed.redact_chunk_table(chunks, settings(types=("email",), overlap=256))
-    ordered = F.array_sort(F.collect_list(F.struct("seg_no", "redacted")))
-    return segments.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda s: s["redacted"]), "").alias("redacted"))
+    return _whole(documents, chunks.redact_chunk_table(_chunks(documents, 700), settings(types=("email",), overlap=256), 2000))
+
+
+@query("chunk_table_all")
+def chunk_table_all(spark, sf_dir):
+    """The same with all tiers: each document's segments and detections."""
+    documents = _read(spark, sf_dir, "documents", "doc_id", "text")
+    found = chunks.redact_chunk_table(_chunks(documents, 1000), settings(), 8192)
+    return found.select("doc_id", "seg_no", "base_offset", F.size("detections").alias("n_spans"), "redacted")
 
 
 @query(

@@ -26,6 +26,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: st
     )
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which the driver and all executors see. Where none is
+    named, a local session gets a temporary one; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = getattr(spark.sparkContext, "_quillmask_folder", None) or tempfile.mkdtemp(prefix="quillmask-")
+        spark.sparkContext._quillmask_folder = named
+    return named.rstrip("/")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``quillmask`` importable in Python workers.
 

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillmask.functions.entities import SPAN_DDL, Settings
@@ -24,7 +23,6 @@ from quillmask.session import ship_package
 from quillmask.streaming.windows import Window
 
 SEGMENT = f"seg_no int, base_offset long, segment string, redacted string, detections array<{SPAN_DDL}>"
-NAMES = ["doc_id", "seg_no", "base_offset", "segment", "redacted", "detections"]
 #: The next chunk of a document that has ended.
 ENDED = -1
 STATE = "context string, held string, base long, next_chunk long, seg_no int, waiting string"
@@ -37,7 +35,8 @@ def _row(doc_id, seg_no: int, given: tuple[int, str, list[Span]], engine: LocalE
 
 
 def redact_chunks(chunks: DataFrame, settings: Settings, timeout_ms: int | None = None) -> DataFrame:
-    """Segments of every document, in order of ``seg_no``; works on a stream or a table of chunks."""
+    """Segments of every document, in order of ``seg_no``. For finished tables ``chunks.redact_chunk_table``
+    shares a document among tasks."""
     ship_package(chunks.sparkSession)
     engine_of = Later(settings)
 
@@ -75,43 +74,3 @@ def redact_chunks(chunks: DataFrame, settings: Settings, timeout_ms: int | None
     timeout = GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout
     kind = chunks.schema["doc_id"].dataType.simpleString()
     return chunks.groupBy("doc_id").applyInPandasWithState(step, f"doc_id {kind}, {SEGMENT}", STATE, "append", timeout)
-
-
-def redact_chunk_table(chunks: DataFrame, settings: Settings) -> DataFrame:
-    """The same segments from a finished table of chunks.
-
-    Each document's chunks stand together in order and pass through its window one by one, so a task
-    holds a batch of chunks and a window, however long a document is.
-    """
-    ship_package(chunks.sparkSession)
-    engine_of = Later(settings)
-    kind = chunks.schema["doc_id"].dataType
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        engine, window, seg_no = engine_of(), None, 0
-        current: str | None = None
-
-        def segment(given: tuple[int, str, list[Span]] | None) -> list[dict]:
-            nonlocal seg_no
-            if not given:
-                return []
-            seg_no += 1
-            return [_row(current, seg_no - 1, given, engine)]
-
-        for frame in frames:
-            rows: list[dict] = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-                doc_id = doc_id if isinstance(doc_id, str) else None
-                if window is None or doc_id != current:
-                    if window is not None:
-                        rows += segment(window.finish(engine.detect))
-                    current, window, seg_no = doc_id, Window(settings.overlap), 0
-                rows += segment(window.push(text if isinstance(text, str) else "", engine.detect))
-            if rows:
-                yield pd.DataFrame(rows, columns=NAMES)
-        if window is not None and (rows := segment(window.finish(engine.detect))):
-            yield pd.DataFrame(rows, columns=NAMES)
-
-    ordered = chunks.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_no")
-    found = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, f"doc_id string, {SEGMENT}")
-    return found.withColumn("doc_id", F.col("doc_id").cast(kind))

@@ -16,7 +16,7 @@ from quillmask.functions.local import Later, LocalEngine
 from quillmask.operators import arrow_tiers, evaluate
 from quillmask.operators.engine import Masker
 from quillmask.sources import config, corpora, files
-from quillmask.streaming import halo, keyed
+from quillmask.streaming import chunks, halo, keyed
 from quillmask.streaming.windows import segments
 
 def _generated(seed: int, parts: int = 40) -> str:
@@ -73,8 +73,11 @@ def test_keyed_state(spark, tmp_path):
     want = LocalEngine(chosen).redact(TEXT)
     for d in (1, 2):
         assert "".join(r["redacted"] for r in sorted((r for r in got if r["doc_id"] == d), key=lambda r: r["seg_no"])) == want
-    table = keyed.redact_chunk_table(spark.createDataFrame(rows, schema), chosen).filter("doc_id = 1").orderBy("seg_no").collect()
+    # The stream and the table give the same text and detections of repeated, shuffled and late chunks.
+    table = chunks.redact_chunk_table(spark.createDataFrame([*rows, *rows[:5], (1, 10**6, "after@the.end", False)], schema), chosen, 50).filter("doc_id = 1").orderBy("seg_no").collect()
     assert "".join(r["redacted"] for r in table) == want
+    place = lambda rs: sorted((r["base_offset"] + d["start"], d["text"], d["entity_type"]) for r in rs for d in r["detections"])
+    assert place(table) == place([r for r in got if r["doc_id"] == 1])
 
 
 def test_ranges_equal_whole(spark):
@@ -99,14 +102,47 @@ def test_ranges_of_texts_without_an_id_or_that_share_one(spark):
 
 def test_chunk_table_keys_and_engines(spark):
     rows = [(k, i, t, i == 2) for k in ("a", "b", None) for i, t in enumerate(("to kim@exa", None, "mple.org ok"))]
+    rows += [("a", 1, None, False), ("a", 3, "late", True), ("a", None, "no number", True), ("b", -1, "below", True), ("c", 0, None, True), ("d", 4, "x@y.io", None), ("d", 9, " z", None)]
     frame = spark.createDataFrame(rows, "doc_id string, chunk_no int, text string, is_last boolean").repartition(3)
-    got = keyed.redact_chunk_table(frame, settings(overlap=64)).collect()
-    for k in ("a", "b", None):
-        assert "".join(r["redacted"] for r in sorted((r for r in got if r["doc_id"] == k), key=lambda r: r["seg_no"])) == "to [REDACTED] ok"
+    got = chunks.redact_chunk_table(frame, settings(overlap=64)).collect()
+    text = lambda k: "".join(r["redacted"] for r in sorted((r for r in got if r["doc_id"] == k), key=lambda r: r["seg_no"]))
+    assert {k: text(k) for k in ("a", "b", None, "c", "d")} == {**dict.fromkeys(("a", "b", None), "to [REDACTED] ok"), "c": "", "d": "[REDACTED] z"}
+    assert chunks.redact_chunk_table(frame.limit(0), settings()).collect() == []
     later = Later(settings())
     assert later() is later()
 
 
+@pytest.mark.parametrize(("width", "size"), [(7, 150), (1000, 190), (64, 5000)])
+def test_chunk_table_equals_whole_text(spark, width, size):
+    """All tiers, chunks smaller and larger than ranges, margins and spans; overlapping spans at edges."""
+    rng = random.Random(width)
+    bits = ["a@corp.io", "4111 1111 1111 1111", "ssn 219-09-9999", "10.1.2.3", "call 415-555-2671", "x" * 40, "\n", " ", "test", "key=abcdEFGH12345678", "é", "\U0001f600", "\r"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randrange(120))) for _ in range(25)] + ["", "a1 " * 400]
+    rows = [(d, i // width, t[i : i + width], i + width >= len(t)) for d, t in enumerate(texts) for i in range(0, max(len(t), 1), width)]
+    rng.shuffle(rows)
+    chosen = settings(overlap=160)
+    frame = spark.createDataFrame(rows, "doc_id long, chunk_no long, text string, is_last boolean").repartition(4)
+    got = chunks.redact_chunk_table(frame, chosen, size).collect()
+    engine = LocalEngine(chosen)
+    for d, t in enumerate(texts):
+        mine = sorted((r for r in got if r["doc_id"] == d), key=lambda r: r["seg_no"])
+        assert "".join(r["segment"] for r in mine) == t and "".join(r["redacted"] for r in mine) == engine.redact(t)
+        assert [r["base_offset"] for r in mine] == [sum(len(x["segment"]) for x in mine[:k]) for k in range(len(mine))]
+        want = [(s.start, s.end, s.text, s.entity_type, s.meta) for s in engine.detect(t)]
+        assert [(r["base_offset"] + x["start"], r["base_offset"] + x["end"], x["text"], x["entity_type"], x["meta"]) for r in mine for x in r["detections"]] == want
+
+
+def test_chunk_table_of_one_long_document(spark):
+    """100,000 chunks of one document: no task holds more than its share. (Small tasks are not joined here.)"""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    frame = spark.range(100_000).selectExpr("1 doc_id", "id chunk_no", "concat('line ', id, if(id % 10 = 0, ' joe@corp.io', ''), '\n') text", "id = 99999 is_last")
+    found = chunks.redact_chunk_table(frame, settings(types=("email",), overlap=128), 1 << 14).withColumn("task", F.spark_partition_id())
+    rows = found.select("seg_no", "base_offset", F.length("segment").alias("n"), F.size("detections").alias("k"), "task").orderBy("seg_no").collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["k"] for r in rows) == 10_000 and len({r["task"] for r in rows}) > 1
+    assert all(a["base_offset"] + a["n"] == b["base_offset"] for a, b in zip(rows, rows[1:], strict=False))
+
+
 def test_tree_and_texts(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / ".hidden").write_text("a@b.io")
