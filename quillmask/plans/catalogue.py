@@ -6,6 +6,7 @@ that the tables lack are shown on small inline rows, written alike for Spark and
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +20,8 @@ from quillmask.operators import evaluate, tiers
 from quillmask.operators.engine import Masker
 from quillmask.operators.clusters import resolved_rows
 from quillmask.operators.scoring import exploded
-from quillmask.session import ship_package
+from quillmask.session import shared_folder, ship_package
+from quillmask.sources import ranges
 from quillmask.streaming import chunks, halo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,6 +434,19 @@ def halo_equivalence(spark, sf_dir):
     return halo.halo_redact(_read(spark, sf_dir, "documents", "doc_id", "text"), Masker(types=("email",)), 2000, 256).select("doc_id", "redacted")
 
 
+@query("file_ranges", "SELECT md5(line) AS line_md5, count(*) AS n FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL) GROUP BY ALL")
+def file_ranges(spark, sf_dir):
+    """All documents written as one text file by many tasks, and read back in ranges of 1 MB: its lines."""
+    documents = _read(spark, sf_dir, "documents", "text").filter("text is not null")
+    content = F.concat(F.col("text"), F.lit("\n")).cast("binary")
+    folder = f"{shared_folder(spark)}/quillmask/{spark.sparkContext.applicationId}/file-{uuid.uuid4().hex}"
+    ranges.write_files(documents.select(F.lit("documents.txt").alias("path"), F.monotonically_increasing_id().alias("seg_no"), content.alias("content")), folder)
+    read = ranges.read_ranges(spark, f"{folder}/documents.txt", 1 << 20, keep_newlines=True)
+    # A range that ends a line leaves an empty string behind it; the file ends its last line.
+    lines = read.select(F.explode(F.split(F.regexp_replace("text", r"\n\z", ""), "\n")).alias("line"), F.length("text").alias("size")).filter("size > 0")
+    return lines.groupBy(F.md5(F.encode("line", "UTF-8")).alias("line_md5")).agg(F.count("*").alias("n"))
+
+
 def _chunks(documents: DataFrame, width: int) -> DataFrame:
     """Chunks of ``width`` characters, the last one marked, each third one twice, and one after the end."""
     last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / width).cast("int")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -38,6 +41,19 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+@contextmanager
+def staged(frame: DataFrame) -> Iterator[DataFrame]:
+    """``frame`` written to the shared folder and read back, for what is read more than once; deleted at the end."""
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark)}/quillmask/{spark.sparkContext.applicationId}/staged-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    try:
+        yield spark.read.schema(frame.schema).parquet(path)
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``quillmask`` importable in Python workers.
 

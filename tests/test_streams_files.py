@@ -15,7 +15,7 @@ from quillmask.functions.entities import Policy, settings
 from quillmask.functions.local import Later, LocalEngine
 from quillmask.operators import arrow_tiers, evaluate
 from quillmask.operators.engine import Masker
-from quillmask.sources import config, corpora, files
+from quillmask.sources import config, corpora, files, ranges
 from quillmask.streaming import chunks, halo, keyed
 from quillmask.streaming.windows import segments
 
@@ -157,6 +157,80 @@ def test_tree_and_texts(spark, tmp_path):
     assert not netguard.is_installed()
 
 
+ODD_BYTES = [
+    b"", b"\n", b"\r\n", b"one line", b"a\r\nb\rc\n\r\n", b"\xff" * 40, "é\U0001f600ab".encode() * 30, b"\xe2\x82" * 20, "日本".encode() * 9 + b"\n" + b"\x80" * 11,
+    b"joe@corp.io\r\n" * 30, b"x\r" * 30, b"\xf0\x9f\x98" + b"\n" * 9, "\U0001f600".encode()[:3] + b"tail",
+]
+
+
+@pytest.mark.parametrize("look", [4, 7, 1 << 16])
+def test_edges_of_ranges(tmp_path, monkeypatch, look):
+    """Ranges join to the file's text, wherever they are cut: bad bytes, CRLF, long and empty lines."""
+    monkeypatch.setattr(ranges, "LOOK", look)
+    for k, raw in enumerate([*ODD_BYTES, b"".join(ODD_BYTES)]):
+        path = tmp_path / f"{k}.txt"
+        path.write_bytes(raw)
+        for size in (1, 2, 3, 5, 17, 1000):
+            for keep in (False, True):
+                reader = ranges.TextReader({"path": str(path), "rangeBytes": str(size), "keepNewlines": str(keep)})
+                rows = sorted((r for share in reader.partitions() for r in reader.read(share)), key=lambda r: r[1])
+                with open(path, encoding="utf-8", errors="replace", newline="" if keep else None) as file:
+                    assert "".join(r[2] for r in rows) == file.read()
+                assert [r[3] for r in rows] == [False] * (len(rows) - 1) + [True]
+
+
+def test_shares_are_even():
+    """One large file among a thousand small ones: no task gets more than twice the mean."""
+    files_ = [("large", 1 << 30), *((f"s{i}", 1000 + i) for i in range(1000)), ("none", 0)]
+    dealt = ranges.shares(files_, 8 << 20)
+    held = [sum(r[3] - r[2] for r in share.ranges) for share in dealt]
+    assert len(dealt) > 100 and max(held) <= 2 * sum(held) / len(held)
+    assert sum(held) == sum(n for _, n in files_) and len([r for share in dealt for r in share.ranges if r[0] == "none"]) == 1
+
+
+def test_files_in_ranges(spark, tmp_path):
+    """Files larger than a range, empty ones and a tree, as the file-by-file form writes them."""
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    rng = random.Random(4)
+    bits = [b"a@corp.io", b"4111 1111 1111 1111", b"card", b"\r\n", b"\n", b"\xff", "é".encode(), b"10.1.2.3"]
+    (tmp_path / "in" / "a.txt").write_bytes(b" ".join(rng.choice(bits) for _ in range(4000)))
+    (tmp_path / "in" / "sub" / ".b").write_bytes(b"")
+    (tmp_path / "in" / "sub" / "c it's.txt").write_bytes(b"to joe@corp.io\r\nend")
+    chosen = settings(types=("email", "ipv4", "credit_card"), overlap=256, chunk_size=2000)
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    done = {r["input_path"]: (r["output_path"], r["bytes_written"]) for r in ranges.redact_files(spark, source, target, chosen, 3000).collect()}
+    assert ranges.read_ranges(spark, source, 3000).filter("path like '%a.txt'").count() > 5
+    for a, b in files.tree_jobs(source, target):
+        files.redact_file(a, str(tmp_path / "want"), chosen)
+        with open(b, "rb") as got, open(tmp_path / "want", "rb") as want:
+            assert got.read() == want.read()
+        assert done.pop(a) == (b, (tmp_path / "want").stat().st_size)
+    assert not done and sorted(p.name for p in (tmp_path / "out").rglob("*") if p.is_file()) == [".b", "a.txt", "c it's.txt"]
+    with pytest.raises(ValueError):
+        ranges.redact_files(spark, source, source + "/sub", chosen)
+
+
+def test_files_are_written_whole_or_not_at_all(spark, tmp_path):
+    """A task that fails half-way leaves nothing; a second run gives the same bytes."""
+    rows = spark.range(3000).selectExpr("'f.txt' path", "id seg_no", "cast(concat('row ', id, char(10)) as binary) content")
+    broken = rows.withColumn("content", F.when(F.col("seg_no") == 2500, F.raise_error("half-way").cast("binary")).otherwise(F.col("content")))
+    ranges.register(spark)
+    with pytest.raises(Exception, match="half-way"):
+        made = ranges.placed(rows).withColumn("content", F.when(F.col("at") > 15000, F.raise_error("half-way").cast("binary")).otherwise(F.col("content")))
+        made.repartition(4).write.format(ranges.NAME).mode("append").save(str(tmp_path / "out"))
+    with pytest.raises(Exception, match="half-way"):
+        ranges.write_files(broken, str(tmp_path / "out"))
+    assert not [p for p in (tmp_path / "out").rglob("*") if p.is_file()]
+    for _ in range(2):
+        ranges.write_files(rows.repartition(5), str(tmp_path / "out"))
+        assert (tmp_path / "out" / "f.txt").read_text() == "".join(f"row {i}\n" for i in range(3000))
+    writer = ranges.TextWriter({"path": str(tmp_path / "out"), "run": "r"})
+    message = writer.write(iter([type("R", (), {"path": "g", "at": 5, "content": b"abc"})()]))
+    with pytest.raises(OSError, match="not whole"):
+        writer.commit([message, None])
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["f.txt"]
+
+
 def test_workers():
     chosen = settings()
     assert files.workers(0, 8, None, chosen) == 1 and files.workers(3, 8, None, chosen) == 3
