@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmask.session import ship_package
+from quillmask.session import ship_package, stage
 
 BLOCK = 1 << 16
 
@@ -39,10 +39,11 @@ def carried(rows: DataFrame, key: str, block: str, value: str, out: str, combine
 
 def clustered(spans: DataFrame, keys: list[str], cluster: str, key: str, block: int = BLOCK) -> DataFrame:
     """Adds ``key``, a struct of the keys (so null is a key like others), and ``cluster``, the start of the
-    first span of each row's cluster; spans have the columns ``start`` and ``end``."""
+    first span of each row's cluster; spans have the columns ``start`` and ``end``. They are staged, since
+    the sums over blocks and the rows are read apart, and finding spans costs more than keeping them."""
     lead = free_prefix([*spans.columns, cluster, key])
     at, top, new, last = (lead + n for n in ("block", "top", "new", "last"))
-    rows = spans.withColumn(key, F.struct(*keys)).withColumn(at, F.floor(F.col("start") / block))
+    rows = stage(spans.withColumn(key, F.struct(*keys)).withColumn(at, F.floor(F.col("start") / block)), "spans")
     order = Window.partitionBy(key, at).orderBy("start", "end")
     reach = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col(top))
     rows = carried(rows, key, at, "end", top)

@@ -6,8 +6,6 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,17 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-@contextmanager
-def staged(frame: DataFrame) -> Iterator[DataFrame]:
-    """``frame`` written to the shared folder and read back, for what is read more than once; deleted at the end."""
+def stage(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written to the shared folder, below the application's id, and read back: for what is read
+    more than once, so that it is made once. Lost executors cannot take it with them."""
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/quillmask/{spark.sparkContext.applicationId}/staged-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/quillmask/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    try:
-        yield spark.read.schema(frame.schema).parquet(path)
-    finally:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -31,7 +31,7 @@ from pyspark.sql.types import StructType
 
 from quillmask.functions.entities import Settings
 from quillmask.operators.clusters import carried
-from quillmask.session import ship_package, staged
+from quillmask.session import ship_package, stage
 from quillmask.streaming.chunks import redact_chunk_table
 
 NAME = "quill_text"
@@ -214,9 +214,8 @@ def write_files(pieces: DataFrame, folder: str) -> None:
     """Writes (path, seg_no, content) as files below ``folder``; the pieces of a file add up to it. Pieces are
     staged, since their places are known only when all are made."""
     register(pieces.sparkSession)
-    with staged(pieces) as made:
-        rows = placed(made).sortWithinPartitions("path", "at")
-        rows.write.format(NAME).option("run", uuid.uuid4().hex).mode("append").save(folder)
+    rows = placed(stage(pieces, "pieces")).sortWithinPartitions("path", "at")
+    rows.write.format(NAME).option("run", uuid.uuid4().hex).mode("append").save(folder)
 
 
 def redact_files(spark: SparkSession, source: str, target: str, settings: Settings, range_bytes: int = RANGE_BYTES, keep_newlines: bool = False) -> DataFrame:

@@ -24,6 +24,7 @@ from quillmask.operators.engine import Masker, public
 from quillmask.operators.policy import applied
 from quillmask.operators.scoring import exploded
 from quillmask.operators.tiers import CANDIDATE
+from quillmask.session import stage
 
 #: Numbers of chunks of a block.
 BLOCK = 1024
@@ -37,7 +38,7 @@ def in_order(chunks: DataFrame) -> DataFrame:
     ended = F.coalesce("is_last", F.lit(False)) if "is_last" in chunks.columns else F.lit(False)
     rows = chunks.select(F.struct("doc_id").alias("key"), F.col("chunk_no").cast("long").alias("chunk_no"), F.coalesce("text", F.lit("")).alias("text"), ended.cast("int").alias("ended"))
     once = rows.filter("chunk_no >= 0").groupBy("key", "chunk_no").agg(F.min("text").alias("text"), F.max("ended").alias("ended"))
-    sizes = once.select("key", "chunk_no", F.length("text").cast("long").alias("size"), "ended", F.floor(F.col("chunk_no") / BLOCK).alias("block"))
+    sizes = stage(once.select("key", "chunk_no", F.length("text").cast("long").alias("size"), "ended", F.floor(F.col("chunk_no") / BLOCK).alias("block")), "sizes")
     order = Window.partitionBy("key", "block").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     known = carried(sizes, "key", "block", "ended", "before").withColumn("over", F.greatest(F.max("ended").over(order), "before"))
     known = known.filter(F.coalesce("over", F.lit(0)) == 0).drop("over", "before")
@@ -94,7 +95,7 @@ def redact_chunk_table(chunks: DataFrame, settings: Settings, size: int | None =
     range, its number is missing."""
     size, margin = size or settings.chunk_size, max(settings.overlap, LEAST_MARGIN)
     masker = Masker(settings)
-    ranges = chunk_ranges(chunks, size, margin)
+    ranges = stage(chunk_ranges(chunks, size, margin), "ranges")
     spans = chunk_spans(ranges, masker)
     touched = spans.withColumn("r", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / size))))
     lists = touched.groupBy("key", "r").agg(F.array_sort(F.collect_list(F.struct("start", "end", *SPAN))).alias("spans"))
