@@ -71,6 +71,8 @@ class Settings:
     load_plugins: bool = True
     chunk_size: int = CHUNK_CHARS
     overlap: int = OVERLAP_CHARS
+    #: Detectors in Python cannot connect to other machines while they run.
+    offline: bool = True
 
     def __post_init__(self) -> None:
         if self.types is not None:

@@ -66,17 +66,18 @@ class EntropyDetector:
 
 
 class CustomDetector:
-    """The user's words, as one alternation in their order, and expressions; no match is empty."""
+    """The user's words, as one alternation in their order (``wordlist``), and expressions; no match is empty."""
 
     name = "custom"
 
     def __init__(self, words: Iterable[str] = (), patterns: Iterable[str] = (), case_sensitive: bool = False):
-        flags = 0 if case_sensitive else re.IGNORECASE
-        words = "|".join(re.escape(w) for w in words if w)
-        self.regexes = [re.compile(p, flags) for p in ([words] if words else []) + list(patterns)]
+        from quillmask.functions.wordlist import WordList
+
+        self.words = WordList(tuple(words), case_sensitive)
+        self.regexes = [re.compile(p, 0 if case_sensitive else re.IGNORECASE) for p in patterns]
 
     def detect(self, text: str) -> list[Span]:
-        return [Span(m.start(), m.end(), m[0], "custom", 1.0, self.name) for r in self.regexes for m in r.finditer(text) if m[0]]
+        return self.words.detect(text) + [Span(m.start(), m.end(), m[0], "custom", 1.0, self.name) for r in self.regexes for m in r.finditer(text) if m[0]]
 
 
 class ContextDetector:

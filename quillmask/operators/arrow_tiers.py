@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from importlib.metadata import entry_points
 from typing import Protocol, runtime_checkable
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quillmask.functions.entities import Settings
 from quillmask.functions.local import CustomDetector, Span
+from quillmask.functions.netguard import offline
 from quillmask.operators.tiers import NONE, ORD_EXTRA, ORD_PYTHON
 
 PLUGIN_GROUP = "quillmask.detectors"
@@ -29,8 +30,16 @@ class Detector(Protocol):
     def detect(self, text: str) -> list[Span]: ...
 
 
+#: Texts and characters of one call of the language model.
+NER_TEXTS, NER_CHARS = 64, 200_000
+
+
 class NerDetector:
-    """People, organisations and places by a spaCy model, loaded when first used in a process."""
+    """People, organisations and places by a spaCy model, loaded when first used in a process.
+
+    Texts go to the model in calls of several, in order of length, so that those of a call take about as
+    long as each other; the results come back in the order of the texts. Texts without ink are not asked about.
+    """
 
     name = "ner"
 
@@ -40,18 +49,40 @@ class NerDetector:
     def __getstate__(self) -> dict:
         return {"model": self.model, "_pipe": None}
 
-    def detect(self, text: str) -> list[Span]:
+    def pipe(self):
         if self._pipe is None:
             try:
                 import spacy
             except ImportError as error:
                 raise ImportError("names need spaCy and its model: install spacy, then download the model") from error
             self._pipe = spacy.load(self.model, disable=["tagger", "parser", "lemmatizer", "attribute_ruler"])
-        return [
-            Span(e.start_char, e.end_char, e.text, NER_KINDS[e.label_], NER_CONFIDENCE, self.name, {"spacy_label": e.label_})
-            for e in self._pipe(text).ents
-            if e.label_ in NER_KINDS
-        ]
+        return self._pipe
+
+    def _spans(self, doc) -> list[Span]:
+        return [Span(e.start_char, e.end_char, e.text, NER_KINDS[e.label_], NER_CONFIDENCE, self.name, {"spacy_label": e.label_}) for e in doc.ents if e.label_ in NER_KINDS]
+
+    def detect(self, text: str) -> list[Span]:
+        return self._spans(self.pipe()(text))
+
+    def detect_all(self, texts: Sequence[str]) -> list[list[Span]]:
+        out: list[list[Span]] = [[] for _ in texts]
+        waiting: list[int] = []
+
+        def ask() -> None:
+            for i, doc in zip(waiting, self.pipe().pipe([texts[i] for i in waiting], batch_size=NER_TEXTS), strict=True):
+                out[i] = self._spans(doc)
+            waiting.clear()
+
+        held = 0
+        for i in sorted((i for i, t in enumerate(texts) if t and not t.isspace()), key=lambda i: len(texts[i])):
+            if waiting and (len(waiting) == NER_TEXTS or held + len(texts[i]) > NER_CHARS):
+                ask()
+                held = 0
+            waiting.append(i)
+            held += len(texts[i])
+        if waiting:
+            ask()
+        return out
 
 
 def plugins(group: str = PLUGIN_GROUP) -> list[Detector]:
@@ -83,18 +114,25 @@ def detectors(settings: Settings) -> list[tuple[int, Detector]]:
     return found
 
 
-def python_spans(text: Column, run: Sequence[tuple[int, Detector]]) -> Column:
-    """Candidates of the given detectors; a null text has none."""
+def python_spans(text: Column, run: Sequence[tuple[int, Detector]], guard: bool = True) -> Column:
+    """Candidates of the given detectors; a null text has none. Detectors that take several texts at once
+    (``detect_all``) get a batch's, others one at a time; ``guard``: none of them can connect to other machines."""
 
     @F.pandas_udf(NONE)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: [
-                {"start": s.start, "end": s.end, "text": s.text, "entity_type": s.entity_type, "confidence": float(s.confidence), "source": s.source,
-                 "context": s.meta.get("context"), "entropy": s.meta.get("entropy"), "ord": place}
-                for place, d in run
-                for s in (d.detect(t) if t is not None else [])
-            ]
-        )
+    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            known = [i for i, t in enumerate(texts) if t is not None]
+            given = [texts.iloc[i] for i in known]
+            out: list[list[dict]] = [[] for _ in range(len(texts))]
+            with offline(guard):
+                for place, d in run:
+                    found = d.detect_all(given) if hasattr(d, "detect_all") else map(d.detect, given)
+                    for i, some in zip(known, found, strict=True):
+                        out[i] += [
+                            {"start": s.start, "end": s.end, "text": s.text, "entity_type": s.entity_type, "confidence": float(s.confidence), "source": s.source,
+                             "context": s.meta.get("context"), "entropy": s.meta.get("entropy"), "ord": place}
+                            for s in some
+                        ]
+            yield pd.Series(out)
 
     return spans(text)

@@ -7,16 +7,20 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from quillmask.functions.entities import SPAN_DDL, SPAN_FIELDS, Settings
 from quillmask.functions.entities import settings as make_settings
 from quillmask.functions.local import Later, LocalEngine, Span
+from quillmask.functions.netguard import offline
 from quillmask.functions.patterns import HAS_DIGIT
+from quillmask.functions.wordlist import FEW, SharedWords
 from quillmask.operators.arrow_tiers import detectors, python_spans
 from quillmask.operators.clusters import free_prefix
 from quillmask.operators.policy import applied
 from quillmask.operators.scoring import adjusted, confident, exploded, resolved
-from quillmask.operators.tiers import native_tiers, none
+from quillmask.operators.tiers import ORD_WORDS, native_tiers, none
 from quillmask.session import ship_package
 from quillmask.sources import files
 
@@ -40,10 +44,12 @@ class Masker:
         copy, digits, by_python = f"{lead}text", f"{lead}digits", f"{lead}python"
         tiers = {lead + name: tier for name, tier in native_tiers(copy, self.settings, F.col(digits)).items()}
         python = detectors(self.settings)
+        if len(self.settings.custom_words) > FEW:
+            python.append((ORD_WORDS, SharedWords(frame.sparkSession.sparkContext, self.settings.custom_words)))
         wide = frame.withColumn(copy, F.col(text)).withColumn(digits, F.col(copy).rlike(HAS_DIGIT)).select("*", *[c.alias(n) for n, c in tiers.items()])
         if python:
             ship_package(frame.sparkSession)
-            wide = wide.withColumn(by_python, python_spans(F.col(copy), python))
+            wide = wide.withColumn(by_python, python_spans(F.col(copy), python, self.settings.offline))
         names = [*tiers, *[by_python] * bool(python)]
         joined = F.concat(*map(F.col, names)) if names else none()
         return wide.withColumn(out, joined).drop(digits, *names), copy
@@ -129,19 +135,41 @@ def public(spans: Column) -> Column:
 
 
 def register_sql(spark: SparkSession, masker: Masker) -> None:
-    """SQL functions ``quill_redact(text)`` and ``quill_count(text)``, in Arrow batches."""
+    """SQL functions ``quill_redact(text)`` and ``quill_count(text)``, in Arrow batches, and the table
+    function ``quill_detect(text)`` for LATERAL joins, a row a detection: start, end, text, entity_type,
+    confidence, source, meta. Its detectors cannot connect to other machines if the settings say so."""
     ship_package(spark)
-    engine_of = Later(masker.settings)
+    engine_of, guard = Later(masker.settings), masker.settings.offline
 
     @F.pandas_udf("string")
     def quill_redact(texts: pd.Series) -> pd.Series:
         engine = engine_of()
-        return texts.map(lambda t: None if t is None else engine.redact(t))
+        with offline(guard):
+            return texts.map(lambda t: None if t is None else engine.redact(t))
 
     @F.pandas_udf("int")
     def quill_count(texts: pd.Series) -> pd.Series:
         engine = engine_of()
-        return texts.map(lambda t: 0 if t is None else len(engine.detect(t)))
+        with offline(guard):
+            return texts.map(lambda t: 0 if t is None else len(engine.detect(t)))
+
+    class Detect:
+        @staticmethod
+        def analyze(text: AnalyzeArgument) -> AnalyzeResult:
+            if text.dataType != StringType():
+                raise ValueError(f"quill_detect takes a string, not {text.dataType.simpleString()}")
+            return AnalyzeResult(StructType.fromDDL(SPAN_DDL.removeprefix("struct<").removesuffix(">")))
+
+        def __init__(self, _analyzed: AnalyzeResult | None = None):
+            self.engine = engine_of()
+
+        def eval(self, text: str):
+            if text is not None:
+                with offline(guard):
+                    found = self.engine.detect(text)
+                for s in found:
+                    yield s.start, s.end, s.text, s.entity_type, float(s.confidence), s.source, s.meta
 
     spark.udf.register("quill_redact", quill_redact)
     spark.udf.register("quill_count", quill_count)
+    spark.udtf.register("quill_detect", F.udtf(Detect, useArrow=True))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmask.functions import patterns as P
 from quillmask.functions.entities import Settings
 from quillmask.functions.validators import CHECKS, shannon_entropy
+from quillmask.functions.wordlist import FEW
 
 CANDIDATE = "struct<start:int,end:int,text:string,entity_type:string,confidence:double,source:string,context:string,entropy:string,ord:int>"
 NONE = f"array<{CANDIDATE}>"
@@ -168,7 +169,7 @@ def word_spans(text: str, words: Iterable[str], case_sensitive: bool = False) ->
 def native_tiers(text: str, settings: Settings, digits: Column | None = None) -> dict[str, Column]:
     """Column name to candidates of every tier that needs no Python."""
     tiers = {f"_shape{i}": shape_spans(text, s, i, digits) for i, s in enumerate(P.SHAPES) if settings.wants(s.kind)}
-    if settings.custom_words:
+    if 0 < len(settings.custom_words) <= FEW:  # more go through an automaton, in Python
         tiers["_words"] = word_spans(text, settings.custom_words)
     if settings.entropy_on:
         tiers["_entropy"] = entropy_spans(text, *settings.entropy_knobs)

@@ -315,6 +315,20 @@ def custom_words(spark, sf_dir):
     return masker.redact(_read(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "redacted")
 
 
+@query(
+    "custom_word_list",
+    """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]{7,}')) AS w FROM benchmark),
+    p AS (SELECT '(?i)' || string_agg(w, '|' ORDER BY w) AS p FROM w), m AS (SELECT doc_id, unnest(regexp_extract_all(text, p)) AS m FROM documents, p)
+    SELECT doc_id, m AS match, count(*) AS n FROM m GROUP BY ALL""",
+)
+def custom_word_list(spark, sf_dir):
+    """A list of many words, those of seven letters and more in the benchmark, anywhere in documents."""
+    found = _read(spark, sf_dir, "benchmark", "text").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))).alias("w")).distinct()
+    words = sorted(r["w"] for r in found.collect())  # the user's list; its automaton's size is checked
+    spans = Masker(types=(), load_plugins=False, custom_words=words).spans(_read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
+    return spans.groupBy("doc_id", F.col("text").alias("match")).agg(F.count("*").alias("n"))
+
+
 def _python(spark, sf_dir, **options) -> DataFrame:
     spans = Masker(types=(), load_plugins=False, **options).spans(_read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"])
     return spans.groupBy("doc_id", F.col("text").alias("match"), "entity_type").agg(F.count("*").alias("n"))

@@ -2,7 +2,9 @@
 
 import hashlib
 import hmac
+import pickle
 import random
+import re
 import time
 
 import pytest
@@ -11,7 +13,7 @@ from hypothesis import settings as hypothesis_settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quillmask.functions import local, validators
+from quillmask.functions import local, validators, wordlist
 from quillmask.functions.entities import ENTITY_TYPES, Policy, entity_type, settings
 from quillmask.functions.local import Span
 from quillmask.operators import clusters, evaluate
@@ -252,6 +254,47 @@ def test_scorer(spark):
     assert evaluate.scores(frames[0].limit(0), frames[1].limit(0), ["doc_id"]).collect() == [("all", 0, 0, 0, 0.0, 0.0, 0.0)]
 
 
+def test_equal_letters_are_those_of_re():
+    folds = wordlist.folds()
+    chars = "".join(sorted({chr(c) for c in folds} | set(folds.values())))
+    for c in chars:
+        assert set(re.findall(re.escape(c), chars, re.IGNORECASE)) == {d for d in chars if folds.get(ord(d), d) == folds.get(ord(c), c)}
+
+
+@given(st.data())
+@hypothesis_settings(max_examples=300, deadline=None)
+def test_word_lists(data):
+    """Shared beginnings, repeated and empty words, letters with odd cases: as one alternation."""
+    letters = data.draw(st.sampled_from(["ab", "abAB.", "asſSßẞ", "iİıI", "kKK", "aé\U0001f600É"]))
+    words = data.draw(st.lists(st.text(letters, max_size=5), min_size=wordlist.FEW + 1, max_size=60))
+    text = data.draw(st.text(letters + " ", max_size=80))
+    cased = data.draw(st.booleans())
+    plain = re.compile("|".join(re.escape(w) for w in words if w) or "(?!)", 0 if cased else re.IGNORECASE)
+    assert pickle.loads(pickle.dumps(wordlist.WordList(words, cased))).places(text) == [m.span() for m in plain.finditer(text)]
+
+
+def test_many_custom_words(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6):06d}" for _ in range(5000)]
+    texts = [" ".join(rng.choice([*words[:50], "plain", "joe@corp.io", "W000001"]).upper() for _ in range(30)) for _ in range(300)] + [None, ""]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4).cache()
+    masker = Masker(custom_words=words)
+    assert sorted((r["redacted"] or "-") for r in masker.redact(frame).collect()) == sorted("-" if t is None else masker.redact_text(t) or "-" for t in texts)
+
+    def seconds(some):
+        began = time.perf_counter()
+        Masker(types=(), custom_words=some).redact(frame).collect()
+        return time.perf_counter() - began
+
+    few, many, most = wordlist.FEW + 1, 5000, 100_000
+    seconds(words[:few])
+    base = seconds(words[:few])
+    assert seconds(words[:many]) < 2 * base + 1 and seconds([f"x{i}" for i in range(most)]) < 2 * base + 4
+    monkeypatch.setattr(wordlist, "MOST_BYTES", 1000)
+    with pytest.raises(ValueError, match="fewer words"):
+        masker.redact(frame)
+
+
 def test_redacting_twice_changes_nothing(spark):
     once = Masker().redact(spark.createDataFrame([(t,) for t in MIXED], "text string")).select(F.col("redacted").alias("text"))
     assert all(r["text"] == r["redacted"] for r in Masker().redact(once).collect())
