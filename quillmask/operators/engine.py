@@ -140,6 +140,7 @@ def register_sql(spark: SparkSession, masker: Masker) -> None:
     confidence, source, meta. Its detectors cannot connect to other machines if the settings say so."""
     ship_package(spark)
     engine_of, guard = Later(masker.settings), masker.settings.offline
+    shape = StructType.fromDDL(f"span {SPAN_DDL}")["span"].dataType
 
     @F.pandas_udf("string")
     def quill_redact(texts: pd.Series) -> pd.Series:
@@ -158,7 +159,7 @@ def register_sql(spark: SparkSession, masker: Masker) -> None:
         def analyze(text: AnalyzeArgument) -> AnalyzeResult:
             if text.dataType != StringType():
                 raise ValueError(f"quill_detect takes a string, not {text.dataType.simpleString()}")
-            return AnalyzeResult(StructType.fromDDL(SPAN_DDL.removeprefix("struct<").removesuffix(">")))
+            return AnalyzeResult(shape)
 
         def __init__(self, _analyzed: AnalyzeResult | None = None):
             self.engine = engine_of()

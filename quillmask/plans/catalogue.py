@@ -1,7 +1,7 @@
 """Registered queries of the engine and the SQL that yields the same rows.
 
 Each query reads whole tables; columns that are computed carry the same names on both sides. Types
-that the tables lack are shown on small inline rows, written alike for Spark and SQL.
+that the documents lack are looked for in texts made from the customers, by expressions that both sides share.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ from quillmask.functions import validators as V
 from quillmask.functions.entities import Policy, settings
 from quillmask.functions.local import CustomDetector, Span
 from quillmask.operators import evaluate, tiers
-from quillmask.operators.engine import Masker
+from quillmask.operators.engine import Masker, register_sql
 from quillmask.operators.clusters import resolved_rows
 from quillmask.operators.scoring import exploded
 from quillmask.session import shared_folder, ship_package
-from quillmask.sources import ranges
+from quillmask.sources import files, ranges
 from quillmask.streaming import chunks, halo
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,18 +46,9 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    cell = lambda v: "NULL" if v is None else _quoted(v) if isinstance(v, str) else str(v)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") AS v({names})"
-
-
-def _inline(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {_values(rows, names)}".replace("\\", "\\\\"))
-
-
 # ---- scans: what a shape finds, before scoring --------------------------------------------------
 
-EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
+EMAIL = next(s.regex for s in P.SHAPES if s.kind == "email")
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _ASSIGNED = next(s.regex for s in P.SHAPES if s.kind == "api_key")
 _IPV4_SQL = rf"list_filter(list_transform(regexp_extract_all(text, '[0-9.]+'), lambda r: regexp_extract(r, '^((?:{_OCTET}\.){{3}}{_OCTET})(?:\.(?:\..*)?)?$', 1)), lambda r: r <> '')"
@@ -132,79 +123,114 @@ def scan_entropy(spark, sf_dir):
     return _found(_read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", tiers.entropy_spans("text"))
 
 
-# ---- types that the tables lack -----------------------------------------------------------------
-
-_AZ, _HEX = "Ab3dEf6hIj9lMn2pQr5tUv8xYz1BcD4FgH7JkL0", "0123456789abcdef0123456789abcdef"
-_SAMPLES = {
-    "private_key": ["-----BEGIN RSA " + "PRIVATE KEY-----\nMIIabc+/=\n-----END RSA " + "PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----\nMIIabc\n-----END PUBLIC KEY-----"],
-    "jwt": ["ey" + "JhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSMeK", "ey" + "Jshort.abc.def"],
-    "aws_key": ["AKIA" + "ABCDEFGHIJKLMNOP", "AKIA" + "ABCDEFGHIJKLMNOPQ", "ASIA" + "0123456789ABCDEF"],
-    "github_token": ["gh" + "p_" + _AZ[:36], "github" + "_pat_" + _AZ[:22], "gh" + "x_" + _AZ[:36]],
-    "slack_token": ["xo" + "xb-1234567890ab-1234567890ab", "xo" + "xz-1234567890ab"],
-    "slack_webhook": ["https://hooks.slack" + ".com/services/T12345678/B12345678/" + _AZ[:20], "https://hooks.slack" + ".com/services/T1/B1/x"],
-    "stripe_key": ["sk" + "_live_" + _AZ[:20], "sk" + "_prod_" + _AZ[:20]],
-    "google_api_key": ["AI" + "za" + _AZ[:35], "AI" + "za" + _AZ[:30]],
-    "sendgrid_key": ["SG" + "." + _AZ[:22] + "." + (_AZ + _AZ)[:43], "SG" + "." + _AZ[:10]],
-    "twilio_key": ["SK" + _HEX, "SK" + _HEX.upper()],
-    "npm_token": ["np" + "m_" + _AZ[:36], "np" + "m_" + _AZ[:20]],
+# ---- types that the documents lack: texts made from customers, by expressions that Spark and SQL share ----
+
+_H = "md5(cast(c_custkey AS string))"
+
+
+def _digits_sql(number: str, size: int) -> str:
+    return f"lpad(cast({number} AS string), {size}, '0')"
+
+
+#: A credential of each kind, put together from pieces, and one that is just not; h: a hash in hex digits.
+_MADE = {
+    "private_key": ("concat('-----BEGIN RSA ', 'PRIVATE KEY-----', chr(10), h, chr(10), '-----END RSA ', 'PRIVATE KEY-----')", "concat('-----BEGIN PUBLIC KEY-----', chr(10), h, '-----END PUBLIC KEY-----')"),
+    "jwt": ("concat('ey', 'J', h, '.', h, '.', h)", "concat('ey', 'J', h, '.', substr(h, 1, 5), '.', h)"),
+    "aws_key": ("concat('AK', 'IA', substr(upper(h), 1, 16))", "concat('AK', 'IA', substr(upper(h), 1, 17))"),
+    "github_token": ("concat('gh', 'p_', h, substr(h, 1, 4))", "concat('gh', 'x_', h, h)"),
+    "slack_token": ("concat('xo', 'xb-', substr(h, 1, 12), '-', substr(h, 5, 12))", "concat('xo', 'xz-', h)"),
+    "slack_webhook": ("concat('https://hooks.slack', '.com/services/T', substr(upper(h), 1, 8), '/B', substr(upper(h), 9, 9), '/', h)", "concat('https://hooks.slack', '.com/services/T1/B1/', h)"),
+    "stripe_key": ("concat('sk', '_live_', substr(h, 1, 20))", "concat('sk', '_prod_', h)"),
+    "google_api_key": ("concat('AI', 'za', h, substr(h, 1, 3))", "concat('AI', 'za', substr(h, 1, 30))"),
+    "sendgrid_key": ("concat('SG', '.', substr(h, 1, 22), '.', h, substr(h, 1, 11))", "concat('SG', '.', substr(h, 1, 10))"),
+    "twilio_key": ("concat('S', 'K', h)", "concat('S', 'K', upper(h))"),
+    "npm_token": ("concat('np', 'm_', h, substr(h, 1, 4))", "concat('np', 'm_', h)"),
 }
+_SSN = f"concat({_digits_sql('c_custkey * 7919 % 1000', 3)}, '-', {_digits_sql('c_custkey % 100', 2)}, '-', {_digits_sql('c_custkey * 31 % 10000', 4)})"
+_GROUPS = ", ':', ".join(f"substr(h, {4 * i + 1}, {i % 4 + 1})" for i in range(7))
+_IPV6 = (
+    f"CASE c_custkey % 7 WHEN 0 THEN concat(substr(h, 1, 4), '::', substr(h, 5, 2)) WHEN 1 THEN concat({_GROUPS}, ':', substr(h, 30, 2)) WHEN 2 THEN '10:20:30' WHEN 3 THEN concat(substr(h, 1, 1), '::', substr(h, 2, 1), '::', substr(h, 3, 1)) "
+    f"WHEN 4 THEN concat('::', substr(h, 1, 3)) WHEN 5 THEN concat({_GROUPS}, '::') ELSE concat(':', {_GROUPS}) END"
+)
+
+
+def _made_sql(text: str) -> str:
+    return f"(SELECT c_custkey, {text} AS text FROM (SELECT c_custkey, {_H} AS h FROM customer))"
 
 
-def _fixture(kind: str, rows: list[tuple]):
+def _customers(spark, sf_dir, text: str) -> DataFrame:
+    """c_custkey and a text made from it."""
+    return _read(spark, sf_dir, "customer", "c_custkey").withColumn("h", F.expr(_H)).select("c_custkey", F.expr(text).alias("text"))
+
+
+def _fixture(kind: str, text: str):
     i, shape = _shape(kind)
-    return lambda spark, sf_dir: _found(_inline(spark, rows, "case_id, text"), "case_id", tiers.shape_spans("text", shape, i))
-
-
-for _kind, _texts in _SAMPLES.items():
-    _rows = [(k, f"see {t} here") for k, t in enumerate(_texts)]
-    QUERIES[f"fixture_{_kind}"] = _fixture(_kind, _rows)
-    ORACLE[f"fixture_{_kind}"] = (
-        f"WITH m AS (SELECT case_id, unnest(regexp_extract_all(text, {_quoted(_shape(_kind)[1].regex)})) AS m FROM {_values(_rows, 'case_id, text')}) "
-        "SELECT case_id, m AS match, count(*) AS n FROM m GROUP BY ALL"
-    )
-_SSN_ROWS = [(0, "id 123-45-6789."), (1, "id 666-45-6789"), (2, "id 123-00-6789"), (3, "id 1123-45-6789"), (4, "id 900-12-3456"), (5, "a 219-09-9999 b 219-09-0000")]
-QUERIES["fixture_ssn"] = _fixture("ssn", _SSN_ROWS)
+    return lambda spark, sf_dir: _found(_customers(spark, sf_dir, text), "c_custkey", tiers.shape_spans("text", shape, i))
+
+
+for _kind, (_good, _bad) in _MADE.items():
+    _text = f"concat('see ', CASE WHEN c_custkey % 3 = 1 THEN {_bad} ELSE {_good} END, ' here')"
+    QUERIES[f"fixture_{_kind}"] = _fixture(_kind, _text)
+    ORACLE[f"fixture_{_kind}"] = f"WITH m AS (SELECT c_custkey, unnest(regexp_extract_all(text, {_quoted(_shape(_kind)[1].regex)})) AS m FROM {_made_sql(_text)}) SELECT c_custkey, m AS match, count(*) AS n FROM m GROUP BY ALL"
+_SSN_TEXT = f"concat('id ', {_SSN}, CASE WHEN c_custkey % 5 = 0 THEN '-1 ' ELSE '. ' END, {_SSN})"
+QUERIES["fixture_ssn"] = _fixture("ssn", _SSN_TEXT)
 ORACLE["fixture_ssn"] = (
-    f"WITH m AS (SELECT case_id, unnest(regexp_extract_all(text, '[0-9-]+')) AS m FROM {_values(_SSN_ROWS, 'case_id, text')}) SELECT case_id, m AS match, count(*) AS n FROM m "
+    f"WITH m AS (SELECT c_custkey, unnest(regexp_extract_all(text, '[0-9-]+')) AS m FROM {_made_sql(_SSN_TEXT)}) SELECT c_custkey, m AS match, count(*) AS n FROM m "
     "WHERE regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND m[1:3] NOT IN ('000', '666') AND m[1:1] <> '9' AND m[5:6] <> '00' AND m[8:11] <> '0000' GROUP BY ALL"
 )
-_IPV6_ROWS = [(0, "at 2001:db8::1 up"), (1, "at fe80:0:0:0:1:2:3:4 up"), (2, "at 1:2:3 up"), (3, "at :: up"), (4, "time 10:20:30 up"), (5, "at 1::2::3 up"), (6, "at ::1 up")]
 _IPV6_OK = (
     "((len(string_split(t, ':')) = 8 AND NOT list_contains(string_split(t, ':'), '')) OR (len(t) - len(replace(t, '::', '')) = 2 AND NOT contains(t, ':::') "
     "AND NOT regexp_matches(t, '^:[^:]') AND NOT regexp_matches(t, '[^:]:$') AND len(list_filter(string_split(t, ':'), lambda g: g <> '')) <= 7))"
 )
-QUERIES["fixture_ipv6"] = _fixture("ipv6", _IPV6_ROWS)
+_IPV6_TEXT = f"concat('at ', {_IPV6}, ' up')"
+QUERIES["fixture_ipv6"] = _fixture("ipv6", _IPV6_TEXT)
 ORACLE["fixture_ipv6"] = (
-    rf"WITH m AS (SELECT case_id, unnest(regexp_extract_all(text, '(?:^|[^\w:.])([0-9A-Fa-f]{{0,4}}(?::[0-9A-Fa-f]{{0,4}}){{2,7}})(?:[^\w:]|$)', 1)) AS t FROM {_values(_IPV6_ROWS, 'case_id, text')}) "
-    f"SELECT case_id, t AS match, count(*) AS n FROM m WHERE {_IPV6_OK} GROUP BY ALL"
+    rf"WITH m AS (SELECT c_custkey, unnest(regexp_extract_all(text, '(?:^|[^\w:.])([0-9A-Fa-f]{{0,4}}(?::[0-9A-Fa-f]{{0,4}}){{2,7}})(?:[^\w:]|$)', 1)) AS t FROM {_made_sql(_IPV6_TEXT)}) "
+    f"SELECT c_custkey, t AS match, count(*) AS n FROM m WHERE {_IPV6_OK} GROUP BY ALL"
+)
+_BARE = (
+    "concat(CASE c_custkey % 5 WHEN 0 THEN 'Social Security ' WHEN 1 THEN 'order ' WHEN 2 THEN 'ssn of a customer, which nobody is to see or to keep, is this: ' WHEN 3 THEN 'his SSN: ' ELSE 'social insecurity ' END, "
+    f"{_digits_sql('c_custkey * 7919 % 1000000000', 9)}, ' end')"
 )
 
 
-# ---- validators and scalar functions ------------------------------------------------------------
+@query(
+    "contextual_ssn",
+    f"""WITH t AS (SELECT c_custkey, text, regexp_extract(text, '[0-9]{{9}}') AS m FROM {_made_sql(_BARE)}), p AS (SELECT *, strpos(text, m) - 1 AS start FROM t),
+    w AS (SELECT *, lower(text[greatest(start - 48, 0) + 1 : start]) AS before FROM p)
+    SELECT c_custkey, CAST(start AS INT) AS start, m AS match, CAST(1 AS DOUBLE) AS confidence FROM w WHERE contains(before, 'ssn') OR contains(before, 'social security') OR contains(before, 'social-security')""",
+)
+def contextual_ssn(spark, sf_dir):
+    """Nine bare digits, which count only shortly after a word of social security."""
+    spans = Masker(types=("ssn",)).spans(_customers(spark, sf_dir, _BARE), ["c_custkey"])
+    return spans.select("c_custkey", "start", F.col("text").alias("match"), F.round("confidence", 6).alias("confidence"))
 
-_NUMBERS = ["4111111111111111", "4111 1111 1111 1112", "378282246310005", "1234", "6011-1111-1111-1117", "0000000000000", "79927398713", "30569309025904"]
-_PHONES = ["+1 415 555 2671", "2020-01-02", "123-45-6789", "12 34", "(415) 555-2671", "1234567890123456"]
-_ADDRESSES = ["::", "::1", "1:2:3:4:5:6:7:8", "1::2::3", "1:2:3", ":1:2:3:4:5:6:7", "fe80::", "1:2:3:4:5:6:7::", ":::"]
-_TEXTS = ["", "a", "ab", "aab", "abcd", "0123456789abcdef", "hello world", "ééàa"]
 
+# ---- validators and scalar functions ------------------------------------------------------------
 
-def _scalar(name: str, texts: list[str], function: Callable[[Column], Column], sql: str, places: int | None = None) -> None:
-    rows = [(i, t) for i, t in enumerate(texts)]
 
+def _scalar(name: str, text: str, function: Callable[[Column], Column], sql: str, places: int | None = None) -> None:
     def run(spark, sf_dir):
-        value = function(F.col("t"))
-        return _inline(spark, rows, "i, t").select("t", (value if places is None else F.round(value, places)).alias("value"))
+        value = function(F.col("text"))
+        return _customers(spark, sf_dir, text).select("c_custkey", F.col("text").alias("t"), (value if places is None else F.round(value, places)).alias("value"))
 
     QUERIES[name] = run
-    ORACLE[name] = f"SELECT t, {sql} AS value FROM {_values(rows, 'i, t')}"
+    ORACLE[name] = f"SELECT c_custkey, t, {sql} AS value FROM (SELECT c_custkey, text AS t FROM {_made_sql(text)})"
 
 
 _luhn = _LUHN_SQL.replace("d[", "string_split(regexp_replace(t, '[^0-9]', '', 'g'), '')[").replace("len(d)", "len(regexp_replace(t, '[^0-9]', '', 'g'))")
-_scalar("validator_luhn", _NUMBERS, V.luhn_ok, f"len(regexp_replace(t, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND {_luhn}")
-_scalar("validator_ssn", ["123-45-6789", "000-45-6789", "666-45-6789", "900-45-6789", "123-00-6789", "123-45-0000"], V.ssn_ok, "t[1:3] NOT IN ('000', '666') AND t[1:1] <> '9' AND t[5:6] <> '00' AND t[8:11] <> '0000'")
+_CARD = "cast(4000000000000000 + c_custkey * 104729 AS string)"
+_CARDS = f"CASE c_custkey % 4 WHEN 0 THEN substr({_CARD}, 1, 12) WHEN 1 THEN concat(substr({_CARD}, 1, 4), ' ', substr({_CARD}, 5, 4), '-', substr({_CARD}, 9, 8)) WHEN 2 THEN concat({_CARD}, '000', substr(h, 1, 1)) ELSE {_CARD} END"
+_PHONES = (
+    f"CASE c_custkey % 5 WHEN 0 THEN concat('+1 415 555 ', {_digits_sql('c_custkey', 4)}) WHEN 1 THEN concat('20', {_digits_sql('c_custkey % 30', 2)}, '-01-02') WHEN 2 THEN {_SSN} "
+    f"WHEN 3 THEN cast(c_custkey * 7919 AS string) ELSE concat('(415) ', {_digits_sql('c_custkey * 104729', 9)}, ' 12 34') END"
+)
+_RUNS = "CASE c_custkey % 4 WHEN 0 THEN h WHEN 1 THEN substr(h, 1, cast(c_custkey % 9 AS int)) WHEN 2 THEN concat('é', substr(h, 1, 3), 'éà') ELSE cast(c_custkey AS string) END"
+_scalar("validator_luhn", _CARDS, V.luhn_ok, f"len(regexp_replace(t, '[^0-9]', '', 'g')) BETWEEN 13 AND 19 AND {_luhn}")
+_scalar("validator_ssn", _SSN, V.ssn_ok, "t[1:3] NOT IN ('000', '666') AND t[1:1] <> '9' AND t[5:6] <> '00' AND t[8:11] <> '0000'")
 _scalar("validator_phone", _PHONES, V.phone_ok, _PHONE_OK.replace("(m,", "(t,"))
-_scalar("validator_ipv6", _ADDRESSES, V.ipv6_ok, _IPV6_OK)
-_scalar("shannon_entropy", _TEXTS, V.shannon_entropy, "CASE WHEN t = '' THEN 0.0 ELSE round(list_entropy(string_split(t, '')), 6) END", 6)
+_scalar("validator_ipv6", _IPV6, V.ipv6_ok, _IPV6_OK)
+_scalar("shannon_entropy", _RUNS, V.shannon_entropy, "CASE WHEN t = '' THEN 0.0 ELSE round(list_entropy(string_split(t, '')), 6) END", 6)
 
 
 # ---- scoring ------------------------------------------------------------------------------------
@@ -431,12 +457,29 @@ def types_filter(spark, sf_dir):
     return found.groupBy("doc_id", F.col("text").alias("match")).agg(F.count("*").alias("n"))
 
 
+@query("sql_detect", _EMAIL_ROWS + 'SELECT doc_id, start, CAST(start + len(m) AS INT) AS "end", m AS match, round(confidence, 6) AS confidence FROM r')
+def sql_detect(spark, sf_dir):
+    """The table function in SQL, a row a detection."""
+    register_sql(spark, Masker(types=("email",)))
+    found = spark.sql("SELECT d.doc_id, s.* FROM {documents} d, LATERAL quill_detect(d.text) s", documents=_read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "start", "end", F.col("text").alias("match"), F.round("confidence", 6).alias("confidence"))
+
+
+@query(
+    "email_listing",
+    _EMAIL_ROWS
+    + """SELECT CAST(to_json({'type': 'email', 'start': start, 'end': CAST(start + len(m) AS INT), 'text': m, 'confidence': round(confidence, 3), 'source': 'deterministic'}) AS VARCHAR) AS json,
+    format('{:>13}  conf={:.2f}  {}{}{}', 'email', confidence, chr(39), m, chr(39)) AS line FROM r""",
+)
+def email_listing(spark, sf_dir):
+    """Emails of all documents in both formats of a listing."""
+    return _email_spans(spark, sf_dir).select(files.json_line().alias("json"), files.text_line().alias("line"))
+
+
 @query("detect_listing")
 def detect_listing(spark, sf_dir):
     """Detections of all tiers as JSON lines."""
-    from quillmask.sources.files import listing_json
-
-    return listing_json(Masker().spans(_read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"]))
+    return files.listing_json(Masker().spans(_read(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"]))
 
 
 # ---- ranges, chunks and scores ------------------------------------------------------------------

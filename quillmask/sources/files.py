@@ -15,7 +15,7 @@ from pathlib import Path
 from typing import TextIO
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmask.functions.entities import Settings
@@ -95,7 +95,8 @@ def tree_jobs(source: str | os.PathLike[str], target: str | os.PathLike[str]) ->
 def redact_tree(spark: SparkSession, source: str, target: str, settings: Settings, tasks: int | None = None, encoding: str = "utf-8", guard: bool = True) -> DataFrame:
     """Rewrites a tree of files, mirrored below ``target``; a row a file, in order of path.
 
-    Writing happens when the result is read; a task run twice writes the same files again.
+    Files are written when this is called, each by one task (``ranges.redact_files`` shares large ones); a
+    task run twice writes the same files again.
     """
     ship_package(spark)
     jobs = tree_jobs(source, target)
@@ -118,12 +119,21 @@ def stdin_chunks(stream: TextIO, chunk_size: int) -> Iterator[str]:
         yield chunk
 
 
+def json_line() -> Column:
+    """A detection as JSON: type, start, end, text, confidence to 3 places, source."""
+    return F.to_json(F.struct(F.col("entity_type").alias("type"), "start", "end", "text", F.round("confidence", 3).alias("confidence"), "source"))
+
+
+def text_line() -> Column:
+    """A detection as a readable line."""
+    return F.format_string("%13s  conf=%.2f  '%s'", "entity_type", "confidence", "text")
+
+
 def listing_json(spans: DataFrame) -> DataFrame:
-    """One JSON text a detection: type, start, end, text, confidence to 3 places, source."""
-    fields = F.struct(F.col("entity_type").alias("type"), "start", "end", "text", F.round("confidence", 3).alias("confidence"), "source")
-    return spans.select(F.to_json(fields).alias("value"))
+    """One JSON text a detection."""
+    return spans.select(json_line().alias("value"))
 
 
 def listing_text(spans: DataFrame) -> DataFrame:
     """One readable line a detection."""
-    return spans.select(F.format_string("%13s  conf=%.2f  '%s'", "entity_type", "confidence", "text").alias("value"))
+    return spans.select(text_line().alias("value"))
