@@ -4,6 +4,7 @@ import io
 import json
 import random
 import socket
+import time
 import tracemalloc
 
 import pytest
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from quillmask import cli
 from quillmask.functions import netguard
 from quillmask.functions.entities import Policy, settings
-from quillmask.functions.local import Later, LocalEngine
+from quillmask.functions.local import Later, LocalEngine, Span
 from quillmask.operators import arrow_tiers, evaluate
-from quillmask.operators.engine import Masker
+from quillmask.operators.engine import Masker, register_sql
 from quillmask.sources import config, corpora, files, ranges
 from quillmask.streaming import chunks, halo, keyed
 from quillmask.streaming.windows import segments
@@ -80,6 +81,146 @@ def test_keyed_state(spark, tmp_path):
     assert place(table) == place([r for r in got if r["doc_id"] == 1])
 
 
+CHUNKS = "doc_id long, chunk_no long, text string, is_last boolean"
+
+
+def _fed(spark, tmp_path, parts, chosen=None):
+    """Segments and state rows written of each trigger; one start of the query a part, from its checkpoint."""
+    rows, written = [], []
+    for part in parts:
+        spark.createDataFrame(part, CHUNKS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(CHUNKS).parquet(str(tmp_path / "in"))
+        found = keyed.redact_chunks(stream, chosen or settings(overlap=64))
+        query = found.writeStream.foreachBatch(lambda frame, _: rows.extend(frame.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        written.append(sum(p["stateOperators"][0]["numRowsUpdated"] for p in query.recentProgress if p["stateOperators"]))
+    return rows, written
+
+
+def test_keyed_state_over_restarts(spark, tmp_path):
+    """The first chunk comes last: a trigger writes what came in it, however much waits."""
+    pieces = [TEXT[i : i + 5] for i in range(0, 600, 5)]
+    rows = [(1, i, t, i == len(pieces) - 1) for i, t in enumerate(pieces)]
+    parts = [rows[-40:], rows[40:80], rows[10:40], [*rows[1:10], *rows[50:60]], rows[:1]]
+    got, written = _fed(spark, tmp_path, parts)
+    assert "".join(r["redacted"] for r in sorted(got, key=lambda r: r["seg_no"])) == LocalEngine(settings(overlap=64)).redact(TEXT[:600])
+    assert all(n <= len(part) + 3 for n, part in zip(written[:-1], parts, strict=False))
+
+
+def test_keyed_state_times_out(spark, tmp_path):
+    """What is held of a document without an end comes out after the timeout, and its state is gone."""
+    rows, source = [], str(tmp_path / "in")
+    put = lambda part: spark.createDataFrame(part, CHUNKS).coalesce(1).write.mode("append").parquet(source)
+    put([(1, 0, "to joe@corp.io", None), (2, 3, "ahead", None), (3, 0, "end", True)])
+    found = keyed.redact_chunks(spark.readStream.schema(CHUNKS).parquet(source), settings(overlap=64), 2000)
+    # Batches go on without input, so that time passes; the query is stopped here.
+    query = found.writeStream.foreachBatch(lambda frame, _: rows.extend(frame.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+
+    def until(n):
+        for _ in range(120):
+            if len(rows) >= n or query.exception():
+                return
+            time.sleep(0.5)
+
+    try:
+        until(2)
+        put([(1, 0, "anew", True), (2, 0, "first", True)])
+        until(4)
+    finally:
+        query.stop()
+    assert sorted((r["doc_id"], r["redacted"]) for r in rows) == [(1, "anew"), (1, "to [REDACTED]"), (2, "first"), (3, "end")]
+
+
+def test_detectors_cannot_connect(spark, tmp_path):
+    """In the Arrow tier, SQL functions, streams of chunks and trees."""
+
+    class Caller:
+        """Asks another machine, at an address that nobody has."""
+
+        name = "caller"
+
+        def detect(self, text):
+            import socket
+
+            socket.create_connection(("192.0.2.1", 9), timeout=2)
+            return []
+
+    chosen = settings(types=(), extra_detectors=(Caller(),), load_plugins=False)
+    masker, frame = Masker(chosen), spark.createDataFrame([("a text",)], "text string")
+    register_sql(spark, masker)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "tree").mkdir()
+    (tmp_path / "tree" / "a.txt").write_text("a text")
+    ways = [
+        lambda: masker.redact(frame).collect(),
+        lambda: spark.sql("SELECT quill_redact('a text')").collect(),
+        lambda: spark.sql("SELECT * FROM quill_detect('a text')").collect(),
+        lambda: _fed(spark, tmp_path, [[(1, 0, "a text", True)]], chosen),
+        lambda: files.redact_tree(spark, str(tmp_path / "tree"), str(tmp_path / "out"), chosen),
+    ]
+    for way in ways:
+        with pytest.raises(Exception, match="is blocked while redacting|Blocked"):
+            way()
+    assert not netguard.is_installed()
+
+
+def test_sql_table_function(spark):
+    masker = Masker()
+    register_sql(spark, masker)
+    frame = spark.createDataFrame([(1, TEXT), (2, ""), (3, None)], "doc_id long, text string")
+    got = spark.sql("SELECT d.doc_id, s.* FROM {d} d, LATERAL quill_detect(d.text) s", d=frame)
+    want = masker.spans(frame, ["doc_id"]).drop("ord")
+    assert got.schema == want.schema or [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 3
+    with pytest.raises(Exception, match="takes a string"):
+        spark.sql("SELECT * FROM quill_detect(5)").collect()
+
+
+def test_language_model_in_batches(spark, tmp_path):
+    """One load and few calls; texts in order of length, results in the order of the texts."""
+    calls = []
+
+    class Pipe:
+        def pipe(self, texts, batch_size):
+            calls.append(list(texts))
+            entity = lambda t: type("E", (), {"start_char": 0, "end_char": len(t), "text": t, "label_": "PERSON"})
+            return [type("D", (), {"ents": [entity(t)]}) for t in texts]
+
+    detector = arrow_tiers.NerDetector()
+    detector._pipe = Pipe()
+    texts = ["ccc", "", "a", " ", "bb" * 150_000, "bb"] + ["x" * (1 + i % 7) for i in range(200)]
+    assert [[s.text for s in found] for found in detector.detect_all(texts)] == [[t] if t.strip() else [] for t in texts]
+    assert [len(t) for c in calls for t in c] == sorted(len(t) for t in texts if t.strip())
+    assert max(map(len, calls)) == arrow_tiers.NER_TEXTS and all(sum(map(len, c)) <= arrow_tiers.NER_CHARS or len(c) == 1 for c in calls)
+    log = str(tmp_path / "log")
+
+    class Batched:
+        name = "batched"
+
+        def detect(self, text):
+            raise AssertionError("one at a time")
+
+        def detect_all(self, texts):
+            with open(log, "a") as out:
+                out.write(f"{len(texts)}\n")
+            return [[Span(0, len(t), t, "org", 0.7, self.name)] if t == "Acme" else [] for t in texts]
+
+    frame = spark.createDataFrame([("Acme",), (None,), ("",), ("none",)] * 50, "text string").coalesce(1)
+    found = Masker(types=(), extra_detectors=(Batched(),), load_plugins=False).detect(frame).collect()
+    assert [len(r["detections"]) for r in found] == [1, 0, 0, 0] * 50
+    with open(log) as lines:
+        assert [int(n) for n in lines] == [150]
+
+
+def test_listings(spark):
+    spans = spark.createDataFrame([("email", 3, 9, "a@b.io", 0.98765, "deterministic"), ("credit_card", 0, 2, 'q"é', 1.0, "custom")], "entity_type string, start int, end int, text string, confidence double, source string")
+    assert [r["value"] for r in files.listing_json(spans).collect()] == [
+        '{"type":"email","start":3,"end":9,"text":"a@b.io","confidence":0.988,"source":"deterministic"}',
+        '{"type":"credit_card","start":0,"end":2,"text":"q\\"é","confidence":1.0,"source":"custom"}',
+    ]
+    assert [r["value"] for r in files.listing_text(spans).collect()] == ["        email  conf=0.99  'a@b.io'", "  credit_card  conf=1.00  'q\"é'"]
+
+
 def test_ranges_equal_whole(spark):
     rng = random.Random(2)
     bits = ["a@corp.io", "4111 1111 1111 1111", "ssn 219-09-9999", "10.1.2.3", "call 415-555-2671", "x" * 90, "\n", " ", "test", "key=abcdEFGH12345678", "é"]
