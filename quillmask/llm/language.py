@@ -9,6 +9,7 @@ Learning reads about ``SAMPLE`` labelled documents, or ``EACH`` a language if th
 numbers, held by a hash of id and text); every label that has a text with a letter is learned, from
 one document at least. Prediction reads every document whole. Null texts and texts without a letter
 get ``und``, score 0. Null labels are not learned from. Without any label every text is ``und``.
+A row without a doc_id is scored like others; its ``held_out`` is null, and it is never learned from.
 """
 
 from __future__ import annotations

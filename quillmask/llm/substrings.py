@@ -5,8 +5,8 @@ it; consecutive windows that share a minimiser form a super-k-mer. Equal windows
 minimisers, so only minimisers met in two documents matter: their super-k-mers travel as one packed
 string each to the minimiser's bucket. Equal strings are one row there, with the least document that
 has it; among the different strings of a bucket, sorting the windows finds the least document of each
-window exactly. A bucket with more than ``BUCKET`` strings is not gathered: its windows are
-aggregated by their digests over all tasks.
+window exactly. A bucket with more than ``BUCKET`` strings or ``BUCKET_BYTES`` bytes is not gathered: its
+windows are aggregated by their digests over all tasks. (A text that repeats one word is one such string.)
 
 A word goes if a window that covers it also starts in a document with a smaller doc_id. Null texts
 have no words; rows without a doc_id lose nothing; rows with equal ids and texts are one document; rows
@@ -18,6 +18,7 @@ arrays for each of its bytes.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -30,8 +31,12 @@ from quillmask.llm.staging import partitions, stage, table
 from quillmask.llm.words import Words, as_bytes, blocks, runs
 
 WINDOW, MINI = 50, 12
-#: Most strings of one bucket that a task gathers.
-BUCKET = 2000
+#: Most strings, and bytes of them, of one bucket that a task gathers; sorting holds its windows, 50 times the bytes.
+BUCKET, BUCKET_BYTES = 2000, 1 << 20
+#: Windows whose digests leave a task together.
+DIGESTS = 1 << 15
+
+GAPS = re.compile(rb"[\x20\x09-\x0D]+")
 
 #: A document: its id and 64 bits of its text's hash, for ids that several texts share.
 ROW = ["doc_id", "text_key"]
@@ -78,18 +83,21 @@ def _rows(documents: DataFrame) -> DataFrame:
 
 def _packed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int, int, int, bytes]]:
     """(doc_id, text_key, minimiser, first window, windows, packed string) of (doc_id, text_key, text, hits)."""
-    for doc_id, text_key, text, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-        words = text.split()
+    for i in range(batch.num_rows):
+        (doc_id, text_key, hits), (text,) = (batch.column(c)[i].as_py() for c in (0, 1, 3)), as_bytes(batch.column(2).slice(i, 1))
+        words = Words([text])
         for hit in hits:
-            yield doc_id, text_key, hit["key"], hit["start"], hit["windows"], b" ".join(words[hit["start"] : hit["start"] + hit["windows"] + WINDOW - 1])
+            first, last = hit["start"], hit["start"] + hit["windows"] + WINDOW - 2
+            yield doc_id, text_key, hit["key"], first, hit["windows"], GAPS.sub(b" ", text[words.start[first] : words.end[last]])
 
 
-def _windows(packed: bytes) -> list[bytes]:
-    """The windows of a packed string, as slices of it."""
+def _windows(packed: bytes) -> Iterator[bytes]:
+    """The windows of a packed string, as slices of it, one at a time."""
     gap = np.flatnonzero(np.frombuffer(packed, np.uint8) == 32)
-    first = np.concatenate(([0], gap + 1)).tolist()
-    last = np.append(gap, len(packed)).tolist()
-    return [packed[a:b] for a, b in zip(first, last[WINDOW - 1 :], strict=False)]
+    first, last = np.append(0, gap + 1), np.append(gap, len(packed))[WINDOW - 1 :]
+    for at in range(0, len(last), DIGESTS):
+        for a, b in zip(first[at : at + DIGESTS].tolist(), last[at : at + DIGESTS].tolist(), strict=False):
+            yield packed[a:b]
 
 
 def _digest(packed: bytes) -> bytes:
@@ -143,10 +151,22 @@ def spread(strings: DataFrame) -> DataFrame:
     """The same for keys with more strings: windows meet by their digests, combined before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(_digest(p), least, j, _digest(w)) for p, least in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True) for j, w in enumerate(_windows(p))]
+        rows: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["digest", "least", "j", "w"])
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["digest", "least", "j", "w"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (packed,), least = as_bytes(batch.column(0).slice(i, 1)), batch.column(1)[i].as_py()
+                own = _digest(packed)
+                for j, window in enumerate(_windows(packed)):
+                    rows.append((own, least, j, _digest(window)))
+                    if len(rows) == DIGESTS:
+                        yield flush()
+        yield flush()
 
     cut = stage(strings.select("packed", "least").mapInArrow(run, "digest binary, least long, j int, w binary"), "windows")
     lowest = cut.groupBy("w").agg(F.min("least").alias("lowest"), F.max("least").alias("top")).filter("lowest < top").select("w", "lowest")
@@ -178,7 +198,8 @@ def repeats(documents: DataFrame, scanned: DataFrame) -> tuple[DataFrame, DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["digest", *ROW, "start", "n"])
 
     strings = stage(held.mapInArrow(pack, "key long, packed string, doc_id long").groupBy("key", "packed").agg(F.min("doc_id").alias("least")), "strings")
-    crowded = stage(strings.groupBy("key").count().filter(F.col("count") > BUCKET).select("key"), "crowded")
+    held_in = strings.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.octet_length("packed")).alias("bytes"))
+    crowded = stage(held_in.filter((F.col("n") > BUCKET) | (F.col("bytes") > BUCKET_BYTES)).select("key"), "crowded")
     covered = gathered(strings.join(crowded, "key", "left_anti")).unionByName(spread(strings.join(crowded, "key", "left_semi")))
     met = held.mapInArrow(place, "digest binary, doc_id long, text_key long, start int, n int").join(covered, "digest")
     whole = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b")))

@@ -6,6 +6,7 @@ are hashed to ``1 << BITS`` places. The per-coordinate rates and the L1 term of
 that are not 0; these are what the executors get. Learning reads at most ``SAMPLE`` labelled
 documents; scoring reads every text whole. Null and empty texts get the score of the bias alone;
 null labels are not learned from, and of several labels of a document the highest counts.
+A row without a doc_id is scored like others; its ``held_out`` is null, and it is never learned from.
 """
 
 from __future__ import annotations

@@ -72,6 +72,29 @@ def test_edit_prints_of_one_row_and_no_id(spark):
     assert row["doc_id"] is None and row["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+def test_windows_are_cut_one_at_a_time():
+    """A text of one word, 3 MB: its windows are 50 times as much, and never held together."""
+    import tracemalloc
+
+    packed = b" ".join([b"word"] * 600_000)
+    tracemalloc.start()
+    n = sum(1 for _ in substrings._windows(packed))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 600_000 - substrings.WINDOW + 1 and peak < 40 << 20
+
+
+def test_substring_dedup_of_crowded_bytes(spark, monkeypatch):
+    """Buckets over their bytes go the other way, also texts that repeat one word; the result is the same."""
+    rows = [(1, "same " * 3000), (2, "same " * 2000 + "end"), (3, " ".join(f"w{i}" for i in range(90))), (4, "lead " + " ".join(f"w{i}" for i in range(80))), (None, "same " * 60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(str, substrings.substring_dedup(frame).collect()))
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 1)
+    assert sorted(map(str, substrings.substring_dedup(frame).collect())) == whole
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.substring_dedup(frame).collect()}
+    assert got == {1: 0, 2: 2000, 3: 0, 4: 80, None: 0}
+
+
 TOP = 2**63 - 1
 
 
