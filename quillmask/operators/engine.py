@@ -113,9 +113,12 @@ class Masker:
 
     # -- chunks and files, in bounded memory ------------------------------
 
-    def detect_stream(self, chunks: Iterable[str]) -> Iterator[Span]:
+    def detect_stream(self, chunks: Iterable[str]) -> Iterator[tuple[str, list[Span]]]:
         return files.detect_stream(chunks, self.settings)
 
+    def span_stream(self, chunks: Iterable[str]) -> Iterator[Span]:
+        return files.span_stream(chunks, self.settings)
+
     def redact_stream(self, chunks: Iterable[str]) -> Iterator[str]:
         return files.redact_stream(chunks, self.settings)
 

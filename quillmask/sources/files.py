@@ -41,12 +41,21 @@ def redact_stream(chunks: Iterable[str], settings: Settings) -> Iterator[str]:
         yield spliced(segment, spans, settings.policy)
 
 
-def detect_stream(chunks: Iterable[str], settings: Settings) -> Iterator[Span]:
-    """Detections of a text that comes in chunks; places count from its start."""
+def detect_stream(chunks: Iterable[str], settings: Settings) -> Iterator[tuple[str, list[Span]]]:
+    """(segment, detections) of a text that comes in chunks; the segments add up to it, and places count from
+    the segment's start."""
     engine = LocalEngine(settings)
-    for base, _, spans in segments(chunks, engine.detect, settings.overlap):
+    for _, segment, spans in segments(chunks, engine.detect, settings.overlap):
+        yield segment, spans
+
+
+def span_stream(chunks: Iterable[str], settings: Settings) -> Iterator[Span]:
+    """Its detections alone; places count from the text's start."""
+    at = 0
+    for segment, spans in detect_stream(chunks, settings):
         for s in spans:
-            yield replace(s, start=base + s.start, end=base + s.end)
+            yield replace(s, start=at + s.start, end=at + s.end)
+        at += len(segment)
 
 
 def redact_file(source: str | os.PathLike[str], target: str | os.PathLike[str], settings: Settings, encoding: str = "utf-8", keep_newlines: bool = False) -> int:

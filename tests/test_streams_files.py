@@ -480,7 +480,9 @@ def test_masker_over_chunks_and_files(tmp_path):
     masker = Masker(overlap=64)
     pieces = [TEXT[i : i + 17] for i in range(0, len(TEXT), 17)]
     assert "".join(masker.redact_stream(pieces)) == masker.redact_text(TEXT)
-    assert [(s.start, s.end, s.text) for s in masker.detect_stream(pieces)] == [(s.start, s.end, s.text) for s in masker.detect_text(TEXT)]
+    assert [(s.start, s.end, s.text) for s in masker.span_stream(pieces)] == [(s.start, s.end, s.text) for s in masker.detect_text(TEXT)]
+    pairs = list(masker.detect_stream(pieces))
+    assert "".join(segment for segment, _ in pairs) == TEXT and all(segment[s.start : s.end] == s.text for segment, spans in pairs for s in spans)
     source = tmp_path / "a.txt"
     source.write_text(TEXT)
     masker.redact_file(source, tmp_path / "b.txt")
