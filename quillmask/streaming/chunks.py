@@ -2,24 +2,23 @@
 
 Rows are (doc_id, chunk_no, text, is_last). Where a chunk stands in its document is the sum of the
 lengths before it: sums inside blocks of chunks, and over the blocks' sums. The places cut documents in
-ranges of equal size, whatever the size of the chunks. A range reads a margin on either side, keeps the
-spans that start in it, and all spans of a document are resolved together; a span that reaches into
-ranges after its own goes to each of them.
+ranges of equal size, whatever the size of the chunks. A range reads a margin on either side, resolves
+the spans that it sees there, and rewrites those that start in it.
 
-As in a stream, a chunk that comes again is dropped (of different texts with one number the least
-counts), and so is what comes after ``is_last`` and what has no number or one below 0. A null text is empty. Numbers that are
+As in a stream, a chunk that comes again is dropped (of different texts with one number the one of the
+least hash counts), and so is what comes after ``is_last`` and what has no number or one below 0. A null text is empty. Numbers that are
 missing are passed over: a finished table has nothing to wait for. A document without text has no
-segments. The result is that of the whole text if no span and no run without white space is longer than
-the margin (the settings' overlap, 128 characters at least).
+segments. The result is that of the whole text if no run of overlapping spans and none without white space
+is longer than the margin (the settings' overlap, 128 characters at least).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmask.functions.entities import Settings
-from quillmask.operators.clusters import carried, resolved_rows
+from quillmask.operators.clusters import carried
 from quillmask.operators.engine import Masker, public
 from quillmask.operators.policy import applied
 from quillmask.operators.scoring import exploded
@@ -33,12 +32,13 @@ LINE, GAP = r"(?s)^[^\n]*\n", r"(?s)^[^\s\p{Z}]*[\s\p{Z}]"
 
 
 def in_order(chunks: DataFrame) -> DataFrame:
-    """(key, chunk_no, text, base, total): each chunk once, up to the end of its document, with the number
-    of characters before it and in all. Only lengths go through the sums; texts are dealt once."""
+    """(key, text, base, total): each chunk up to the end of its document, with the number of characters
+    before it and in all; one that came twice is here twice. Only lengths and hashes go through the sums."""
     ended = F.coalesce("is_last", F.lit(False)) if "is_last" in chunks.columns else F.lit(False)
-    rows = chunks.select(F.struct("doc_id").alias("key"), F.col("chunk_no").cast("long").alias("chunk_no"), F.coalesce("text", F.lit("")).alias("text"), ended.cast("int").alias("ended"))
-    once = rows.filter("chunk_no >= 0").groupBy("key", "chunk_no").agg(F.min("text").alias("text"), F.max("ended").alias("ended"))
-    sizes = stage(once.select("key", "chunk_no", F.length("text").cast("long").alias("size"), "ended", F.floor(F.col("chunk_no") / BLOCK).alias("block")), "sizes")
+    rows = chunks.select(F.struct("doc_id").alias("key"), F.col("chunk_no").cast("long").alias("chunk_no"), F.coalesce("text", F.lit("")).alias("text"), ended.cast("int").alias("ended")).filter("chunk_no >= 0")
+    hashes = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("chunk"), "text").alias("h2"), F.length("text").cast("long").alias("size"))
+    once = rows.groupBy("key", "chunk_no").agg(F.min(hashes).alias("h"), F.max("ended").alias("ended"))
+    sizes = stage(once.select("key", "chunk_no", "h.h1", "h.h2", "h.size", "ended", F.floor(F.col("chunk_no") / BLOCK).alias("block")), "sizes")
     order = Window.partitionBy("key", "block").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     known = carried(sizes, "key", "block", "ended", "before").withColumn("over", F.greatest(F.max("ended").over(order), "before"))
     known = known.filter(F.coalesce("over", F.lit(0)) == 0).drop("over", "before")
@@ -47,7 +47,8 @@ def in_order(chunks: DataFrame) -> DataFrame:
     earlier = whole.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = blocks.select("key", "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("first"), F.sum("size").over(whole).alias("total"))
     placed = known.join(sums, ["key", "block"]).withColumn("base", F.col("first") + F.coalesce(F.sum("size").over(order), F.lit(0)))
-    return once.select("key", "chunk_no", "text").join(placed.select("key", "chunk_no", "base", "total"), ["key", "chunk_no"])
+    texts = rows.select("key", "chunk_no", "text", hashes.alias("h")).select("key", "chunk_no", "text", "h.h1", "h.h2")
+    return texts.join(placed.select("key", "chunk_no", "h1", "h2", "base", "total"), ["key", "chunk_no", "h1", "h2"]).select("key", "text", "base", "total")
 
 
 def chunk_ranges(chunks: DataFrame, size: int, margin: int) -> DataFrame:
@@ -63,7 +64,7 @@ def chunk_ranges(chunks: DataFrame, size: int, margin: int) -> DataFrame:
     skip = F.greatest(F.col("r") * size - 2 * margin - F.col("at"), F.lit(0))
     keep = F.least(F.length("part").cast("long"), (F.col("r") + 1) * size + margin - F.col("at")) - skip
     dealt = dealt.select("key", "r", "total", F.struct((F.col("at") + skip).alias("at"), F.substring(F.col("part"), (skip + 1).cast("int"), keep.cast("int")).alias("part")).alias("p"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_set("p")), lambda p: p["part"]), "")
     ranges = dealt.groupBy("key", "r").agg(joined.alias("text"), F.max("total").alias("total"))
     read = F.greatest(F.col("r") * size - 2 * margin, F.lit(0))
     head = F.substring("text", 1, margin)
@@ -75,38 +76,27 @@ def chunk_ranges(chunks: DataFrame, size: int, margin: int) -> DataFrame:
 SPAN = ["text", "entity_type", "confidence", "source", "context", "entropy", "ord"]
 
 
-def chunk_spans(ranges: DataFrame, masker: Masker) -> DataFrame:
-    """key, start, end (from the document's beginning) and the other fields of every detection."""
-    rows = exploded(masker.scored(ranges, "text", "c"), ["key", "lo", "hi", "read"], "c", "s")
-    placed = rows.select("key", "lo", "hi", (F.col("s.start") + F.col("read")).alias("start"), (F.col("s.end") + F.col("read")).alias("end"), *[f"s.{c}" for c in SPAN])
-    return resolved_rows(placed.filter("start >= lo and start < hi").drop("lo", "hi"), ["key"])
-
-
-def _relative(spans: Column, base: Column) -> Column:
-    """The spans as candidates of a text that begins at ``base``."""
-    one = lambda s: F.struct((s["start"] - base).cast("int").alias("start"), (s["end"] - base).cast("int").alias("end"), *[s[c].alias(c) for c in SPAN])
-    return F.transform(spans, one).cast(f"array<{CANDIDATE}>")
-
-
 def redact_chunk_table(chunks: DataFrame, settings: Settings, size: int | None = None) -> DataFrame:
     """doc_id, seg_no, base_offset, segment, redacted, detections (from the segment's beginning): the
     segments of a document add up to its text. A segment is a range of ``size`` characters (the settings'
     chunk size), whose edges move to the end of a span that they would cut; where one span takes a whole
-    range, its number is missing."""
+    range, its number is missing. A range and the next find a span at their edge alike, each in its own
+    margins, so nothing passes between them."""
     size, margin = size or settings.chunk_size, max(settings.overlap, LEAST_MARGIN)
-    masker = Masker(settings)
-    ranges = stage(chunk_ranges(chunks, size, margin), "ranges")
-    spans = chunk_spans(ranges, masker)
-    touched = spans.withColumn("r", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.greatest(F.col("end"), F.col("start") + 1) - 1) / size))))
-    lists = touched.groupBy("key", "r").agg(F.array_sort(F.collect_list(F.struct("start", "end", *SPAN))).alias("spans"))
-    met = ranges.join(lists, ["key", "r"], "left").withColumn("spans", F.coalesce("spans", F.array().cast(lists.schema["spans"].dataType)))
-    cut = lambda of, edge: F.greatest(F.array_max(F.transform(F.filter("spans", of), lambda s: s["end"])), edge)
-    first, last = cut(lambda s: s["start"] < F.col("lo"), F.col("lo")), cut(lambda s: s["start"] >= F.col("lo"), F.col("hi"))
-    edged = met.withColumn("first", first).withColumn("last", last).filter("first < last")
-    own = _relative(F.filter("spans", lambda s: s["start"] >= F.col("lo")), F.col("first"))
-    segment = F.col("text").substr((F.col("first") - F.col("read") + 1).cast("int"), (F.col("last") - F.col("first")).cast("int"))
-    held = edged.select("key", "r", "first", segment.alias("segment"), own.alias("own"))
-    return held.select(
-        F.col("key.doc_id").alias("doc_id"), F.col("r").cast("int").alias("seg_no"), F.col("first").alias("base_offset"), "segment",
-        applied(F.col("segment"), F.col("own"), settings.policy).alias("redacted"), public(F.col("own")).alias("detections"),
+    found, copy = Masker(settings)._kept(chunk_ranges(chunks, size, margin), "text", "spans")
+    place = lambda s, side: s[side] + F.col("read")
+    here = F.filter("spans", lambda s: (place(s, "start") < F.col("hi")) & (place(s, "end") > F.col("lo")))
+    met = found.drop(copy).withColumn("spans", here)
+    edge = lambda of, least: F.greatest(F.array_max(F.transform(F.filter("spans", of), lambda s: place(s, "end"))), least)
+    first, last = edge(lambda s: place(s, "start") < F.col("lo"), F.col("lo")), edge(lambda s: place(s, "start") >= F.col("lo"), F.col("hi"))
+    edged = met.withColumn("first", first).withColumn("last", last)
+    lead = (F.col("first") - F.col("read")).cast("int")
+    own = F.transform(F.filter("spans", lambda s: place(s, "start") >= F.col("lo")), lambda s: F.struct((s["start"] - lead).alias("start"), (s["end"] - lead).alias("end"), *[s[c].alias(c) for c in SPAN]))
+    segment = F.col("text").substr(lead + 1, (F.col("last") - F.col("first")).cast("int"))
+    given = F.struct(F.col("first").alias("base_offset"), segment.alias("segment"), own.cast(f"array<{CANDIDATE}>").alias("own"))
+    # A filter would be pushed below detection, and repeat it.
+    rows = exploded(edged.select("key", "r", F.when(F.col("first") < F.col("last"), F.array(given)).alias("given")), ["key", "r"], "given", "g")
+    return rows.select(
+        F.col("key.doc_id").alias("doc_id"), F.col("r").cast("int").alias("seg_no"), "g.base_offset", "g.segment",
+        applied(F.col("g.segment"), F.col("g.own"), settings.policy).alias("redacted"), public(F.col("g.own")).alias("detections"),
     )
