@@ -25,7 +25,7 @@ def _value(v):
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "labels", "conversations"):
+    for table in ("documents", "pages", "labels", "conversations", "customer", "lineitem", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     found = con.sql(catalogue.ORACLE[name])
     frame = catalogue.QUERIES[name](spark, str(DATA))
