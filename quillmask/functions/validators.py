@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 _DATE, _TAX = r"^(?:19|20)\d{2}-\d{2}-\d{2}$", r"^\d{3}-\d{2}-\d{4}$"
 
 
+_ZEROS = [z for z in range(0x0660, 0x10000) if chr(z).isdecimal() and int(chr(z)) == 0]
+#: Decimal digits of other scripts (those that fit the basic plane and come in tens), and theirs in 0-9.
+ODD_DIGITS, PLAIN_DIGITS = "".join(chr(z + k) for z in _ZEROS for k in range(10)), "0123456789" * len(_ZEROS)
+
+
 def _ascii_digits(text: Column) -> Column:
-    """Decimal digits of any script as 0-9 (those that fit the basic plane and come in tens), the rest dropped."""
-    zeros = [z for z in range(0x0660, 0x10000) if chr(z).isdecimal() and int(chr(z)) == 0]
-    odd = "".join(chr(z + k) for z in zeros for k in range(10))
-    plain = F.translate(text, odd, "0123456789" * len(zeros))
+    """Decimal digits of any script as 0-9, the rest dropped."""
+    plain = F.translate(text, ODD_DIGITS, PLAIN_DIGITS)
     return F.regexp_replace(F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text), "[^0-9]", "")
 
 
@@ -34,7 +37,8 @@ def ssn_ok(text: Column) -> Column:
 
 def phone_ok(text: Column) -> Column:
     """Not shaped like a date or a tax number, 7 to 15 digits."""
-    return ~text.rlike(_DATE) & ~text.rlike(_TAX) & F.length(F.regexp_replace(text, r"\P{Nd}", "")).between(7, 15)
+    date, tax = (rx.replace(r"\d", r"\p{Nd}") for rx in (_DATE, _TAX))
+    return ~text.rlike(date) & ~text.rlike(tax) & F.length(F.regexp_replace(text, r"\P{Nd}", "")).between(7, 15)
 
 
 def ipv6_ok(text: Column) -> Column:

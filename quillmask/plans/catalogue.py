@@ -62,6 +62,62 @@ _PHONE_OK = rf"(len({_DIGITS}) BETWEEN 7 AND 15 AND NOT regexp_matches(m, '^(19|
 _CARD_SQL = "regexp_extract_all(regexp_replace(text, '([0-9]{13,}) ([0-9]{13,})', '\\1  \\2', 'g'), '(?:^|[^0-9-])((?:[0-9][ -]?){12,18}[0-9])(?:[^0-9-]|$)', 1)"
 
 
+#: Words, as Python and the plans know them: letters and digits of any script.
+_W = r"\p{L}\p{N}_"
+_D = r"\p{Nd}"
+
+
+def _spans_sql(table: str, columns: str, run: str, shape: str, least: str = "") -> str:
+    r"""SQL of a row a match: the columns, s (characters before it) and m.
+
+    RE2 has no look at neighbours without taking them, so that of two matches with one character between
+    them the second would be lost. ``run`` finds stretches that hold all matches; in each of them ``shape``
+    is tried at every place, as ``^`` the neighbour before, the match as a group, the neighbour behind; the
+    first that does not begin in the one before it is taken. Line feeds stand for the text's edges.
+    """
+    at = "len(array_to_string(gaps[1:i], '')) + len(array_to_string(runs[1:i - 1], ''))"
+    pieces = f"list_transform(range(1, len(runs) + 1), lambda i: {{'at': {at}, 'piece': right(gaps[i], 1) || runs[i] || left(gaps[i + 1], 1)}})"
+    found = f"list_filter(list_transform(range(1, len(p.piece)), lambda j: {{'s': p.at + j - 2, 'm': regexp_extract(p.piece[j:{least}], '{shape}', 1)}}), lambda x: x.m <> '')"
+    none = "CAST([] AS STRUCT(s BIGINT, m VARCHAR)[])"
+    taken = f"list_reduce(list_concat([{none}], list_transform({found}, lambda x: [x])), lambda a, x: CASE WHEN len(a) = 0 OR a[-1].s + len(a[-1].m) <= x[1].s THEN list_concat(a, x) ELSE a END)"
+    return (
+        f"(SELECT {columns}, h.s AS s, h.m AS m FROM (SELECT {columns}, unnest({taken}) AS h FROM (SELECT {columns}, unnest({pieces}) AS p FROM "
+        f"(SELECT {columns}, string_split_regex(chr(10) || text || chr(10), '{run}') AS gaps, regexp_extract_all(chr(10) || text || chr(10), '{run}') AS runs FROM {table}))))"
+    )
+
+
+def _cards_sql(table: str, columns: str) -> str:
+    found = _spans_sql(table, columns, rf"[{_D} -]{{13,}}", rf"^[^{_D}-]((?:{_D}[ -]?){{12,18}}{_D})[^{_D}-]", "j + 40")
+    digits = f"string_split(regexp_replace(translate(m, '{V.ODD_DIGITS}', '{V.PLAIN_DIGITS}'), '[^0-9]', '', 'g'), '')"
+    return f"(SELECT {columns}, s, m FROM (SELECT *, {digits} AS d FROM {found}) WHERE len(d) BETWEEN 13 AND 19 AND {_LUHN_SQL})"
+
+
+def _emails_sql(table: str, columns: str) -> str:
+    local, domain = "[A-Za-z0-9._%+-]", r"@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+    # A match begins and ends where words do.
+    shape = rf"^(?:[^{_W}]([A-Za-z0-9_]{local}*{domain})|[{_W}]([.%+-]{local}*{domain}))[^{_W}]"
+    both = _spans_sql(table, columns, f"{local}+@[A-Za-z0-9._%+@-]+", shape)
+    one = f"regexp_extract(p.piece[j:], '{shape}', 1)"
+    return both.replace(one, f"{one} || {one[:-2]}2)")
+
+
+def _ipv4_sql(table: str, columns: str) -> str:
+    octet = f"(?:25[0-5]|2[0-4]{_D}|1{_D}{_D}|[1-9]?{_D})"
+    return _spans_sql(table, columns, rf"[{_D}.]{{7,}}", rf"^[^{_D}.]((?:{octet}\.){{3}}{octet})(?:[^{_D}.]|\.[^{_D}])", "j + 18")
+
+
+def _phones_sql(run: str, shape: str) -> str:
+    """doc_id, match and how often, of phone numbers of this shape."""
+    shape, digits = shape.replace(r"\d", _D).replace(r"\w", _W), f"regexp_replace(m, '[^{_D}]', '', 'g')"
+    shaped = f"regexp_matches(m, '^(19|20){_D}{{2}}-{_D}{{2}}-{_D}{{2}}$') OR regexp_matches(m, '^{_D}{{3}}-{_D}{{2}}-{_D}{{4}}$')"
+    found = _spans_sql("documents", "doc_id", run, rf"^{shape}(?:[^{_W}.-]|\.[^{_D}])", "j + 48")
+    return f"SELECT doc_id, m AS match, count(*) AS n FROM {found} WHERE len({digits}) BETWEEN 7 AND 15 AND NOT ({shaped}) GROUP BY ALL"
+
+
+#: Words near a span, or in it, that lower its confidence.
+_PLACEHOLDERS = "example|sample|dummy|test|fake|placeholder|lorem|xxx-xx"
+
+
 def _found(frame: DataFrame, key: str, spans: Column) -> DataFrame:
     """key, match and how often."""
     return exploded(frame.select(key, spans.alias("c")), [key], "c", "s").groupBy(key, F.col("s.text").alias("match")).agg(F.count("*").alias("n"))
@@ -91,10 +147,7 @@ ORACLE["scan_email_pages"] = _scan_sql("pages", "page_id", "html", f"regexp_extr
 QUERIES["scan_ipv4"] = _scan("ipv4")
 ORACLE["scan_ipv4"] = _scan_sql("documents", "doc_id", "text", _IPV4_SQL)
 QUERIES["scan_cards_luhn"] = _scan("credit_card")
-ORACLE["scan_cards_luhn"] = (
-    f"WITH m AS (SELECT doc_id, unnest({_CARD_SQL}) AS m FROM documents), d AS (SELECT *, string_split({_DIGITS}, '') AS d FROM m) "
-    f"SELECT doc_id, m AS match, count(*) AS n FROM d WHERE len(d) BETWEEN 13 AND 19 AND {_LUHN_SQL} GROUP BY ALL"
-)
+ORACLE["scan_cards_luhn"] = f"SELECT doc_id, m AS match, count(*) AS n FROM {_cards_sql('documents', 'doc_id')} GROUP BY ALL"
 QUERIES["scan_phone_structured"] = _scan("phone")
 ORACLE["scan_phone_structured"] = _scan_sql(
     "documents", "doc_id", "text",
@@ -403,6 +456,20 @@ UNION ALL SELECT doc_id, lang, source, 'credit_card', m FROM (SELECT *, string_s
   WHERE len(d) BETWEEN 13 AND 19 AND {_LUHN_SQL})
 """
 _COUNTED_TYPES = ("email", "ipv4", "credit_card")
+_OF_ROW = "row_no, doc_id, lang, source, text"
+#: What is detected: of spans that overlap, such as a card and the first octet behind it, the surest is kept.
+_DETECTED = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row_no, * FROM documents),
+f AS (SELECT *, 'email' AS entity_type, 0.95::DOUBLE AS sure, 'email|e-mail|mail|contact' AS words, 0 AS ord FROM {_emails_sql("d", _OF_ROW)}
+  UNION ALL SELECT *, 'credit_card', 0.9, 'card|visa|mastercard|amex|cc|payment', 1 FROM {_cards_sql("d", _OF_ROW)}
+  UNION ALL SELECT *, 'ipv4', 0.9, 'ip|host|server|addr', 2 FROM {_ipv4_sql("d", _OF_ROW)}),
+b AS (SELECT *, CASE WHEN regexp_matches(lower(text[greatest(s - 48, 0) + 1 : s]), words) THEN least(1.0::DOUBLE, sure + 0.2::DOUBLE) ELSE sure END AS raised,
+  regexp_matches(lower(text[greatest(s - 16, 0) + 1 : s]), '{_PLACEHOLDERS}') OR regexp_matches(lower(m), '{_PLACEHOLDERS}') AS down FROM f),
+c AS (SELECT *, s + len(m) AS e, CASE WHEN down THEN greatest(0.0::DOUBLE, raised - 0.4::DOUBLE) ELSE raised END AS confidence FROM b),
+l AS (SELECT row_no, doc_id, lang, source, list([{{'s': s, 'e': e, 't': entity_type}}] ORDER BY confidence DESC, s - e, s, ord) AS spans FROM c WHERE confidence >= 0.5 GROUP BY ALL),
+k AS (SELECT doc_id, lang, source, unnest(list_reduce(list_concat([CAST([] AS STRUCT(s BIGINT, e BIGINT, t VARCHAR)[])], spans), lambda a, x:
+  CASE WHEN len(list_filter(a, lambda y: y.s < x[1].e AND x[1].s < y.e)) = 0 THEN list_concat(a, x) ELSE a END)).t AS entity_type FROM l)
+"""
 
 
 def _by_type(spark, sf_dir, masker: Masker) -> DataFrame:

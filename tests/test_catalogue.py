@@ -1,5 +1,6 @@
 """Every registered query of the engine against its SQL twin, and the registry without optional parts."""
 
+import random
 import subprocess
 import sys
 from collections import Counter
@@ -33,6 +34,34 @@ def test_query_equals_sql(spark, name):
     want = sorted(repr([_value(v) for _, v in sorted(zip(found.columns, r, strict=True))]) for r in found.fetchall())
     assert sorted(repr([_value(r[c]) for c in sorted(frame.columns)]) for r in frame.collect()) == want
 
+#: Pieces of texts in which neighbours touch, spans overlap, and placeholder words and digits of other scripts stand.
+PIECES = (
+    "4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004", " 4000 0000 0000 0002", " ", "-", ".", "\n", "+1 415 555 2671", "(415) 555-2671", "415-555-2671", "2024-01-02",
+    "123-45-6789", "10.0.0.1", "1.2.3.4", "é", "x", "_", ", ", "(", "+", "@", "12", "7", "٣", "20٢٤-٠١-٠٢", "joe@corp.io", ".com", "test ", "example", "card ", "mail ", "host ", "License",
+)
+
+
+@pytest.fixture(scope="module")
+def odd_texts(spark, tmp_path_factory):
+    folder, draw = tmp_path_factory.mktemp("odd"), random.Random(5)
+    texts = [None, "", "4111 1111 1111 1111 10.0.0.1", "test License, License", "+1 415 555 2671 +1 415 555 2671", "415-555-2671 415-555-2671"]
+    texts += ["".join(draw.choices(PIECES, k=draw.randint(0, 14))) for _ in range(2000)]
+    rows = [(i, t, ("en", None)[i % 2], f"s{i % 3}", i % 2) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, toxic int")
+    frame.drop("toxic").write.parquet(str(folder / "documents.parquet"))
+    frame.select("doc_id", "toxic").write.parquet(str(folder / "labels.parquet"))
+    return folder
+
+
+@pytest.mark.parametrize("name", ("scan_cards_luhn",))
+def test_query_equals_sql_on_odd_texts(spark, odd_texts, name):
+    con = duckdb.connect()
+    for table in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{odd_texts}/{table}.parquet/*.parquet'")
+    found = con.sql(catalogue.ORACLE[name])
+    want = Counter(repr([v for _, v in sorted(zip(found.columns, r, strict=True))]) for r in found.fetchall())
+    assert want and Counter(repr([r[c] for c in sorted(found.columns)]) for r in catalogue.QUERIES[name](spark, str(odd_texts)).collect()) == want
+
 
 SUMMARIES = {"summary_by_type": (), "summary_by_lang_source": ("lang", "source"), "summary_by_label": ("toxic",)}
 
