@@ -154,10 +154,7 @@ ORACLE["scan_phone_structured"] = _scan_sql(
     r"regexp_extract_all(text, '(?:^|[^\w.-])((?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?|\([0-9]{1,4}\)[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4})(?:[^\w.-]|\.[^0-9]|\.?$)', 1)", _PHONE_OK,
 )
 QUERIES["scan_phone_bare"] = _scan("phone", 1)
-ORACLE["scan_phone_bare"] = _scan_sql(
-    "documents", "doc_id", "text",
-    r"regexp_extract_all(text, '(?:^|[^\w.+(-])([0-9]{2,4}(?:[ .-][0-9]{2,4}){2,4})(?:[^\w.-]|\.[^0-9]|\.?$)', 1)", _PHONE_OK,
-)
+ORACLE["scan_phone_bare"] = _phones_sql(rf"[{_D} .-]{{8,}}", r"[^\w.+(-](\d{2,4}(?:[ .-]\d{2,4}){2,4})")
 
 
 @query("scan_bare9", "WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9-]+')) AS m FROM documents) SELECT doc_id, m AS match, count(*) AS n FROM m WHERE regexp_full_match(m, '[0-9]{9}') GROUP BY ALL")
