@@ -149,10 +149,9 @@ ORACLE["scan_ipv4"] = _scan_sql("documents", "doc_id", "text", _IPV4_SQL)
 QUERIES["scan_cards_luhn"] = _scan("credit_card")
 ORACLE["scan_cards_luhn"] = f"SELECT doc_id, m AS match, count(*) AS n FROM {_cards_sql('documents', 'doc_id')} GROUP BY ALL"
 QUERIES["scan_phone_structured"] = _scan("phone")
-ORACLE["scan_phone_structured"] = _scan_sql(
-    "documents", "doc_id", "text",
-    r"regexp_extract_all(text, '(?:^|[^\w.-])((?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?|\([0-9]{1,4}\)[ .-]?)[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4})(?:[^\w.-]|\.[^0-9]|\.?$)', 1)", _PHONE_OK,
-)
+ORACLE["scan_phone_structured"] = _phones_sql(
+    rf"[+(){_D} .-]{{7,}}", r"[^\w.-]((?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?|\(\d{1,4}\)[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,4})"
+)
 QUERIES["scan_phone_bare"] = _scan("phone", 1)
 ORACLE["scan_phone_bare"] = _phones_sql(rf"[{_D} .-]{{8,}}", r"[^\w.+(-](\d{2,4}(?:[ .-]\d{2,4}){2,4})")
 
