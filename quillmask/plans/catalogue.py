@@ -516,7 +516,7 @@ def email_ipv4_card_by_lang_source(spark, sf_dir):
     return _by_lang_source(spark, sf_dir, Masker(types=_COUNTED_TYPES))
 
 
-@query("email_ipv4_card_by_label", _COUNTED + "SELECT toxic, entity_type, count(*) AS n FROM f JOIN labels USING (doc_id) GROUP BY ALL")
+@query("email_ipv4_card_by_label", _DETECTED + "SELECT toxic, entity_type, count(*) AS n FROM k JOIN labels USING (doc_id) GROUP BY ALL")
 def email_ipv4_card_by_label(spark, sf_dir):
     return _by_label(spark, sf_dir, Masker(types=_COUNTED_TYPES))
 
