@@ -511,7 +511,7 @@ def email_ipv4_card_by_type(spark, sf_dir):
     return _by_type(spark, sf_dir, Masker(types=_COUNTED_TYPES))
 
 
-@query("email_ipv4_card_by_lang_source", _COUNTED + "SELECT lang, source, entity_type, count(*) AS n FROM f GROUP BY ALL")
+@query("email_ipv4_card_by_lang_source", _DETECTED + "SELECT lang, source, entity_type, count(*) AS n FROM k GROUP BY ALL")
 def email_ipv4_card_by_lang_source(spark, sf_dir):
     return _by_lang_source(spark, sf_dir, Masker(types=_COUNTED_TYPES))
 
