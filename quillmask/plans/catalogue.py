@@ -506,7 +506,7 @@ def summary_by_label(spark, sf_dir):
     return _by_label(spark, sf_dir, Masker())
 
 
-@query("email_ipv4_card_by_type", _COUNTED + "SELECT entity_type, count(*) AS n FROM f GROUP BY ALL")
+@query("email_ipv4_card_by_type", _DETECTED + "SELECT entity_type, count(*) AS n FROM k GROUP BY ALL")
 def email_ipv4_card_by_type(spark, sf_dir):
     return _by_type(spark, sf_dir, Masker(types=_COUNTED_TYPES))
 

@@ -53,7 +53,7 @@ def odd_texts(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ("scan_cards_luhn", "scan_phone_bare", "scan_phone_structured", "ner_stub", "email_ipv4_card_by_label", "email_ipv4_card_by_lang_source"))
+@pytest.mark.parametrize("name", ("scan_cards_luhn", "scan_phone_bare", "scan_phone_structured", "ner_stub", "email_ipv4_card_by_label", "email_ipv4_card_by_lang_source", "email_ipv4_card_by_type"))
 def test_query_equals_sql_on_odd_texts(spark, odd_texts, name):
     con = duckdb.connect()
     for table in ("documents", "labels"):
