@@ -2,8 +2,8 @@
 
 A prediction counts if it covers half of a gold span of its type that no earlier prediction has taken.
 Predictions go by start, then end; each takes the free gold span nearest to its end (the last by start,
-then end). Spans that overlap, predicted or gold, form clusters; matching runs inside a cluster in
-order and holds its gold spans, so a document of any length is the work of many tasks.
+then end). Spans that overlap, predicted or gold, form clusters; matching runs inside a cluster, or a document
+of one block, in order and holds its gold spans, so a document of any length is the work of many tasks.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmask.operators.clusters import clustered, free_prefix
+from quillmask.operators.clusters import free_prefix, grouped
 from quillmask.operators.engine import Masker
 from quillmask.session import ship_package
 
@@ -57,11 +57,10 @@ def matched(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame
     ship_package(predicted.sparkSession)
     names = [*keys, "entity_type"]
     lead = free_prefix([*names, "start", "end", "gold_start", "gold_end"])
-    key, cluster, first, mine = (lead + n for n in ("key", "cluster", "first", "mine"))
+    first, mine = (lead + n for n in ("first", "mine"))
     spans = lambda frame, is_mine: frame.select(*names, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(is_mine).alias(mine))
     both = spans(predicted, True).unionByName(spans(gold, False))
-    order = Window.partitionBy(key, cluster).orderBy(mine, "start", "end")
-    ordered = clustered(both, names, cluster, key).withColumn(first, F.row_number().over(order) == 1).select(*names, "start", "end", mine, first)
+    ordered = grouped(both, names, [mine, "start", "end"], first)
     width = len(names) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
