@@ -6,6 +6,7 @@ import pickle
 import random
 import re
 import time
+from collections import Counter
 
 import pytest
 from hypothesis import given
@@ -194,6 +195,20 @@ def test_resolved_in_one_document_of_many_spans(spark):
     assert got == [(s.start, s.end) for s in local.resolve(spans)]
 
 
+
+@pytest.mark.parametrize("block", [1 << 16, 64])
+def test_partitions_of_spans_grow_with_their_number(spark, monkeypatch, block):
+    """Short documents beside long ones, null keys too, in partitions of about 100 spans; one shuffle where all are short."""
+    monkeypatch.setattr(clusters, "ROWS", 100)
+    draw = random.Random(3)
+    rows = [(d or None, a := draw.randrange(40 if d % 3 else 400), a + draw.randint(1, 9), draw.choice((0.5, 0.9)), k) for d in range(40) for k in range(60)]
+    found = resolved_rows(spark.createDataFrame(rows, "doc_id long, start int, end int, confidence double, ord int"), ["doc_id"], block)
+    want = [(d or None, s.start, s.end, s.confidence) for d in range(40) for s in local.resolve([Span(a, b, "", "custom", c) for e, a, b, c, _ in rows if e == (d or None)])]
+    assert Counter((r["doc_id"], r["start"], r["end"], r["confidence"]) for r in found.collect()) == Counter(want)
+    assert found.rdd.getNumPartitions() >= 2400 // 100
+    assert block == 64 or found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
 @pytest.mark.parametrize("words", [3, 40, 500])
 def test_dense_texts(spark, words):
     """Overlaps in chains and clusters, places beyond many pages, characters outside the basic plane."""
