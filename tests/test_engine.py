@@ -341,3 +341,26 @@ def test_names_of_the_top_level():
 
     assert all(getattr(quillmask, name) for name in quillmask.__all__) and quillmask.Masker is Masker
     assert quillmask.LocalEngine(quillmask.Settings()).redact("to joe@corp.io") == "to [REDACTED]"
+
+
+def test_python_detectors_hold_a_slice_of_a_batch(spark):
+    """Texts come to the detectors, and spans leave them, in slices of a batch; nothing is lost or moved."""
+    import pyarrow as pa
+
+    from quillmask.operators import arrow_tiers
+
+    texts = [None if i % 7 == 0 else "x" * (i % 900) * 30 + "joe" for i in range(3000)]
+    parts = list(arrow_tiers.slices(pa.array(texts)))
+    assert [t for p in parts for t in p.to_pylist()] == texts and len(parts) > 12
+    assert all(len(p) <= arrow_tiers.SLICE_TEXTS and (len(p) == 1 or sum(len(t or "") for t in p.to_pylist()) <= arrow_tiers.SLICE_BYTES) for p in parts)
+
+    class Sizes:
+        name = "sizes"
+
+        def detect_all(self, given):
+            return [[Span(len(t) - 3, len(t), str(len(given)), "custom", 1.0, self.name)] for t in given]
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = Masker(types=(), load_plugins=False, extra_detectors=(Sizes(),)).spans(frame, ["doc_id"]).collect()
+    assert sorted((r["doc_id"], r["end"]) for r in got) == [(i, len(t)) for i, t in enumerate(texts) if t is not None]
+    assert max(int(r["text"]) for r in got) <= arrow_tiers.SLICE_TEXTS
