@@ -62,6 +62,9 @@ SHAPES = (
 SECRET_RUN = r"[A-Za-z0-9+/=_-]{20,}"
 # A run is found at its start or not at all.
 SECRET_LEAD = r"(?<![A-Za-z0-9+/=_-])"
+# A run of letters alone is no secret. The first other character of a run of 20 has 10 letters before it or 10
+# characters of the run behind it: rare in prose, and found by a look at one character at most places.
+SECRET_HINT = r"[0-9+/=_-](?:[A-Za-z0-9+/=_-]{10}|(?<=[A-Za-z]{10}[0-9+/=_-]))"
 SECRET_LENGTH, SECRET_CONFIDENCE = 24, 0.6
 BASE64_FLOOR, HEX_FLOOR, HEX_LENGTH = 4.0, 3.0, 32
 

@@ -31,7 +31,10 @@ def possible(text: Column, needs: tuple[str, ...], digits: Column | None = None)
     """A cheap condition that every match of a shape fulfils; ``digits``: whether the text has any."""
     if needs == P.DIGIT:
         return text.rlike(P.HAS_DIGIT) if digits is None else digits
-    return contains_any(text, needs) if needs else F.lit(True)
+    # Where all literals have an underscore, texts without one are read once and not once a literal.
+    shared = len(needs) > 1 and all("_" in w for w in needs)
+    found = contains_any(text, needs) if needs else F.lit(True)
+    return text.contains("_") & found if shared else found
 
 
 def literal(text: str) -> str:
@@ -114,7 +117,8 @@ def entropy_spans(text: str, min_length: int = P.SECRET_LENGTH, base64_entropy:
     def shown(h: Column) -> Column:
         return candidate(h, "secret", confidence, "entropy", ORD_ENTROPY, F.format_string("%.2f", F.bround(shannon_entropy(h["text"]), 2)))
 
-    return F.coalesce(F.transform(F.filter(matches(text, P.SECRET_LEAD + P.SECRET_RUN), random), shown), none())
+    hits = matches(text, P.SECRET_LEAD + P.SECRET_RUN, F.col(text).rlike(P.SECRET_HINT))
+    return F.coalesce(F.transform(F.filter(hits, random), shown), none())
 
 
 #: Characters of a page.

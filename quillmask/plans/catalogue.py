@@ -576,12 +576,15 @@ def file_ranges(spark, sf_dir):
 
 def _chunks(documents: DataFrame, width: int) -> DataFrame:
     """Chunks of ``width`` characters, the last one marked, each third one twice, and one after the end."""
-    last = F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / width).cast("int")
-    part = lambda i: F.struct(i.cast("long").alias("chunk_no"), F.substring(F.col("text"), i * width + 1, F.lit(width)).alias("text"), (i == last).alias("is_last"))
+    # One pass cuts a text; a text without characters, or none, is one chunk.
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    parts = documents.select("doc_id", F.when(F.size(cut) > 0, cut).otherwise(F.array("text")).alias("parts"))
+    last = F.size("parts") - 1
+    part = lambda t, i: F.struct(i.cast("long").alias("chunk_no"), t.alias("text"), (i == last).alias("is_last"))
     late = F.struct((last + 1).cast("long").alias("chunk_no"), F.lit(" late@corp.io").alias("text"), F.lit(False).alias("is_last"))
-    numbers = F.sequence(F.lit(0), last)
-    parts = F.concat(F.transform(numbers, part), F.transform(F.filter(numbers, lambda i: i % 3 == 0), part), F.array(late))
-    return documents.select("doc_id", F.explode(parts).alias("c")).select("doc_id", "c.*")
+    chunks = F.transform("parts", part)
+    parts = parts.select("doc_id", F.explode(F.concat(chunks, F.filter(chunks, lambda c: c["chunk_no"] % 3 == 0), F.array(late))).alias("c"))
+    return parts.select("doc_id", "c.*")
 
 
 def _whole(documents: DataFrame, segments: DataFrame) -> DataFrame:

@@ -37,7 +37,9 @@ def in_order(chunks: DataFrame) -> DataFrame:
     ended = F.coalesce("is_last", F.lit(False)) if "is_last" in chunks.columns else F.lit(False)
     rows = chunks.select(F.struct("doc_id").alias("key"), F.col("chunk_no").cast("long").alias("chunk_no"), F.coalesce("text", F.lit("")).alias("text"), ended.cast("int").alias("ended")).filter("chunk_no >= 0")
     hashes = F.struct(F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("chunk"), "text").alias("h2"), F.length("text").cast("long").alias("size"))
-    once = rows.groupBy("key", "chunk_no").agg(F.min(hashes).alias("h"), F.max("ended").alias("ended"))
+    # Dealt out before they are grouped: what groups by the least hash sorts its rows, here without texts.
+    hashed = rows.select("key", "chunk_no", "ended", hashes.alias("h")).repartition("key", "chunk_no")
+    once = hashed.groupBy("key", "chunk_no").agg(F.min("h").alias("h"), F.max("ended").alias("ended"))
     sizes = stage(once.select("key", "chunk_no", "h.h1", "h.h2", "h.size", "ended", F.floor(F.col("chunk_no") / BLOCK).alias("block")), "sizes")
     order = Window.partitionBy("key", "block").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     known = carried(sizes, "key", "block", "ended", "before").withColumn("over", F.greatest(F.max("ended").over(order), "before"))
@@ -55,7 +57,7 @@ def chunk_ranges(chunks: DataFrame, size: int, margin: int) -> DataFrame:
     """(key, r, lo, hi, read, text): the ranges [lo, hi) of each document, with the text from ``read`` on that
     they look at. It begins ``margin`` to twice that before ``lo``, at a line, else after white space."""
     placed = in_order(chunks)
-    part = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    part = F.when(F.length("text").between(1, size), F.array("text")).otherwise(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0)))
     parts = placed.select("key", "base", "total", F.posexplode(part).alias("k", "part")).withColumn("at", F.col("base") + F.col("k") * size)
     end = F.col("at") + F.length("part")
     low = F.greatest(F.floor((F.col("at") - margin) / size), F.lit(0))
