@@ -22,6 +22,9 @@ from quillmask.session import ship_package, stage
 BLOCK = 1 << 16
 #: Spans of a partition, about.
 ROWS = 500_000
+#: Spans of a staged file. A task of a scan takes at most 32 files, however small (128 MB, 4 MB for opening each),
+#: so this bounds what it buffers for the shuffle.
+FILE = 100_000
 
 
 def free_prefix(columns: list[str]) -> str:
@@ -32,22 +35,25 @@ def free_prefix(columns: list[str]) -> str:
     return lead
 
 
-def carried(rows: DataFrame, key: str, block: str, value: str, out: str, combine: Callable = F.max) -> DataFrame:
-    """Adds ``out``: ``combine`` (max or sum) of the values in the key's earlier blocks; null where there is none."""
+def carried(rows: DataFrame, key: str, block: str, value: str, out: str, combine: Callable = F.max, parts: int | None = None) -> DataFrame:
+    """Adds ``out``: ``combine`` (max or sum) of the values in the key's earlier blocks; null where there is none.
+    The blocks are taken in ``parts`` partitions, if given."""
     tops = rows.groupBy(key, block).agg(combine(value).alias(out))
+    tops = tops.repartition(parts, key) if parts else tops
     earlier = Window.partitionBy(key).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(tops.select(key, block, combine(out).over(earlier).alias(out)), [key, block])
 
 
-def clustered(rows: DataFrame, key: str, at: str, cluster: str) -> DataFrame:
-    """Adds ``cluster``, the start of the first span of each row's cluster; ``at`` is the block of its start."""
+def clustered(rows: DataFrame, key: str, at: str, cluster: str, parts: int) -> DataFrame:
+    """Adds ``cluster``, the start of the first span of each row's cluster; ``at`` is the block of its start, and
+    the rows are dealt by key and block."""
     lead = free_prefix([*rows.columns, cluster])
     top, new, last = (lead + n for n in ("top", "new", "last"))
     order = Window.partitionBy(key, at).orderBy("start", "end")
     reach = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col(top))
-    rows = carried(rows, key, at, "end", top)
+    rows = carried(rows, key, at, "end", top, parts=parts)
     rows = rows.withColumn(new, F.when(F.coalesce(reach <= F.col("start"), F.lit(True)), F.col("start")))
-    rows = carried(rows, key, at, new, last)
+    rows = carried(rows, key, at, new, last, parts=parts)
     # Spans of one start come in any order here, so all of them count.
     own = F.max(new).over(Window.partitionBy(key, at).orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumn(cluster, F.coalesce(own, last)).drop(top, new, last)
@@ -55,27 +61,29 @@ def clustered(rows: DataFrame, key: str, at: str, cluster: str) -> DataFrame:
 
 def grouped(spans: DataFrame, keys: list[str], by: list[Column | str], first: str, block: int = BLOCK) -> DataFrame:
     """The spans in groups that no overlap leaves, each in one partition and in the order ``by``; ``first`` marks
-    a group's first row. Keys are compared as a struct, so null is a key like others.
+    a group's first row. Null is a key like others, so where keys are joined they are compared as a struct.
 
     A document whose spans all start in its first block is a group as it is, which takes one shuffle; in
-    the others groups are clusters. The spans are staged, which counts them: partitions hold about
-    ``ROWS`` of them, however many there are."""
+    the others groups are clusters. The spans are staged, in files of ``FILE``, which counts them: the
+    partitions of every shuffle hold about ``ROWS`` of them, however many there are."""
     lead = free_prefix([*spans.columns, first])
-    key, at, cluster = (lead + n for n in ("key", "at", "cluster"))
-    rows = stage(spans.withColumn(at, F.floor(F.col("start") / block)), "spans")
-    n, beyond = rows.agg(F.count("*"), F.max(F.col(at) != 0)).first()
+    key, at, cluster, far = (lead + n for n in ("key", "at", "cluster", "far"))
+    rows, place = stage(spans, "spans", FILE), F.floor(F.col("start") / block)
+    n, beyond = rows.agg(F.count("*"), F.max(place != 0)).first()
     parts = max(int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS))
-    rows = rows.withColumn(key, F.struct(*keys))
 
     def marked(some: DataFrame, *group: str) -> DataFrame:
         return some.select(*spans.columns, (F.row_number().over(Window.partitionBy(*group).orderBy(*by)) == 1).alias(first))
 
     if not beyond:
-        return marked(rows.repartition(parts, key), key)
-    long = rows.filter(F.col(at) != 0).select(key).distinct()
-    dealt = rows.repartition(parts, key)
-    short = marked(dealt.join(long, key, "left_anti"), key)
-    return short.unionByName(marked(clustered(dealt.join(long, key, "left_semi"), key, at, cluster), key, cluster))
+        return marked(rows.repartition(parts, *keys), *keys)
+    dealt = rows.withColumns({key: F.struct(*keys), at: place}).repartition(parts, key, at)
+    # A row for each block; whether its document has later ones tells long documents from short ones.
+    blocks = dealt.select(key, at).distinct().repartition(parts, key)
+    dealt = dealt.join(blocks.select(key, at, F.max(F.col(at) != 0).over(Window.partitionBy(key)).alias(far)), [key, at])
+    short = marked(dealt.filter(~F.col(far)), key, at)
+    long = clustered(dealt.filter(far).drop(far), key, at, cluster, parts)
+    return short.unionByName(marked(long.repartition(parts, key, cluster), key, cluster))
 
 
 class Disjoint:

@@ -39,12 +39,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def stage(frame: DataFrame, name: str) -> DataFrame:
+def stage(frame: DataFrame, name: str, most: int = 0) -> DataFrame:
     """``frame`` written to the shared folder, below the application's id, and read back: for what is read
-    more than once, so that it is made once. Lost executors cannot take it with them."""
+    more than once, so that it is made once. Lost executors cannot take it with them. Files hold at most ``most``
+    rows, if it is given."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/quillmask/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    (frame.write.option("maxRecordsPerFile", most) if most else frame.write).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -20,6 +20,7 @@ from quillmask.functions.local import Span
 from quillmask.operators import clusters, evaluate
 from quillmask.operators.clusters import resolved_rows
 from quillmask.operators.engine import Masker, register_sql
+from quillmask.session import stage
 
 AZ = "Ab3dEf6hIj9lMn2pQr5tUv8xYz1BcD4FgH7JkL0"
 # Values that look like credentials are put together here, never written whole.
@@ -209,6 +210,22 @@ def test_partitions_of_spans_grow_with_their_number(spark, monkeypatch, block):
     assert block == 64 or found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
 
 
+@pytest.mark.parametrize("block", [1 << 20, 64])
+def test_no_task_of_overlaps_holds_more_with_more_spans(spark, monkeypatch, block):
+    """20,000 spans apart in one source partition: neither the tasks that deal them out nor those that
+    resolve them, of 400 short documents or of one long, get a share of the whole."""
+    staged = []
+    monkeypatch.setattr(clusters, "ROWS", 200)
+    monkeypatch.setattr(clusters, "FILE", 100, raising=False)
+    monkeypatch.setattr(clusters, "stage", lambda *given: staged.append(stage(*given)) or staged[-1])
+    rows = spark.range(0, 20_000, 1, 1).selectExpr(f"if({block} = 64, 7, id % 400) doc_id", "cast(id * 10 as int) start", "cast(id * 10 + 5 as int) end", "0.5D confidence", "0 ord")
+    found = resolved_rows(rows, ["doc_id"], block)
+    most = lambda frame: frame.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert found.count() == 20_000
+    assert most(staged[0]) <= 3_200
+    assert most(found) <= 1_000
+
+
 @pytest.mark.parametrize("words", [3, 40, 500])
 def test_dense_texts(spark, words):
     """Overlaps in chains and clusters, places beyond many pages, characters outside the basic plane."""
